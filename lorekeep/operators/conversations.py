@@ -101,14 +101,16 @@ def _several_blocks(blocked: DataFrame) -> DataFrame:
     return ends.filter(F.col("_a") < F.col("_z")).select("conv_id")
 
 
-_IN_BLOCK = Window.partitionBy("conv_id", "_block")
-_RUNNING = _IN_BLOCK.orderBy("turn").rowsBetween(_FIRST, _HERE)
+def _users_so_far() -> Column:
+    """User messages up to this row, within its block."""
+    running = Window.partitionBy("conv_id", "_block").orderBy("turn").rowsBetween(_FIRST, _HERE)
+    return F.sum(_is_role("user")).over(running)
 
 
 def exchange_ids(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Add ``exchange``: how many user messages the conversation has seen up to this row."""
     blocked = _blocked(messages, block_turns)
-    numbered = blocked.withColumn("_seen", F.sum(_is_role("user")).over(_RUNNING))
+    numbered = blocked.withColumn("_seen", _users_so_far())
     per_block = (
         blocked.join(_several_blocks(blocked), "conv_id", "left_semi")
         .groupBy("conv_id", "_block")
@@ -131,7 +133,7 @@ def _answers_from_later_blocks(blocked: DataFrame) -> DataFrame:
     such value up to that block.
     """
     inside = blocked.join(_several_blocks(blocked), "conv_id", "left_semi")
-    seen = inside.withColumn("_seen", F.sum(_is_role("user")).over(_RUNNING))
+    seen = inside.withColumn("_seen", _users_so_far())
     leading = (F.col("role") == "assistant") & (F.col("_seen") == 0)
     heads = seen.groupBy("conv_id", "_block").agg(
         F.sum(_is_role("user")).alias("_users"),
@@ -165,8 +167,8 @@ def exchanges(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     blocked = _blocked(messages, block_turns)
     segmented = blocked.withColumns(
         {
-            "_seen": F.sum(_is_role("user")).over(_RUNNING),
-            "_users": F.sum(_is_role("user")).over(_IN_BLOCK),
+            "_seen": _users_so_far(),
+            "_users": F.sum(_is_role("user")).over(Window.partitionBy("conv_id", "_block")),
         }
     )
     spoken = F.when(F.col("role") == "assistant", F.struct("content"))

@@ -28,8 +28,16 @@ _PARSED_ARROW = pa.list_(
         ]
     )
 )
-_PARSED = (
-    "ARRAY<STRUCT<ordinal: INT, id: STRING, name: STRING, arguments: STRING, outcome: STRING>>"
+_PARSED = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("ordinal", T.IntegerType()),
+            T.StructField("id", T.StringType()),
+            T.StructField("name", T.StringType()),
+            T.StructField("arguments", T.StringType()),
+            T.StructField("outcome", T.StringType()),
+        ]
+    )
 )
 
 

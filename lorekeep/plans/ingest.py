@@ -67,7 +67,7 @@ def index_pending(store: Store, models: Models, last: bool) -> None:
     """
     done = index_chunks(pending_chunks(store), models.summarize, models.embed, dim=models.dim)
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
-    held = store.questions.select("chunk_id").distinct()
+    held = store.questions.select("chunk_id")
     store.append_questions(explode_questions(done).join(held, "chunk_id", "left_anti"))
     outcome = F.when(F.col("status") == "complete", "complete").otherwise(
         F.lit("failed" if last else "pending")

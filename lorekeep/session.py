@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage reliably, so that the rows and their partitions stay fixed from here on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *folders: str | Path) -> None:
+    """Make Python packages importable in the executors, once per application."""
+    application = spark.sparkContext.applicationId
+    for folder in map(Path, folders):
+        if (application, str(folder)) in _SHIPPED:
+            continue
+        archive = Path(tempfile.mkdtemp(prefix="lorekeep-")) / f"{folder.name}.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for source in sorted(folder.rglob("*.py")):
+                packed.write(source, source.relative_to(folder.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add((application, str(folder)))

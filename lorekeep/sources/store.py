@@ -62,7 +62,7 @@ class Store:
         return self.chunks.drop("text")
 
     def next_id(self) -> int:
-        """One above the highest id; the highest comes from the Parquet statistics."""
+        """One above the highest id; reads the id column alone."""
         highest = self.chunks.agg(F.max("chunk_id")).first()[0]
         return 0 if highest is None else highest + 1
 

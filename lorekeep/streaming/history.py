@@ -15,37 +15,41 @@ _OUTPUT = "conv_id LONG, position INT, turn LONG, role STRING, content STRING"
 _STATE = "turn LONG, role STRING, content STRING"
 
 
-class _LastMessages(StatefulProcessor):
-    """State: the last ``n`` messages of a conversation, by turn."""
-
-    def __init__(self, n: int):
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        window = {turn: (turn, role, content) for turn, role, content in self.kept.get()}
-        for frame in rows:
-            for turn, role, content in zip(frame["turn"], frame["role"], frame["content"]):
-                window[int(turn)] = (int(turn), role, content)
-            # A batch may hold a large part of a conversation; no more than n rows are kept of it.
-            for turn in sorted(window)[: -self.n]:
-                del window[turn]
-        kept = [window[turn] for turn in sorted(window)]
-        self.kept.put(kept)
-        yield pd.DataFrame(
-            {
-                "conv_id": [key[0]] * len(kept),
-                "position": range(1, len(kept) + 1),
-                "turn": [turn for turn, _, _ in kept],
-                "role": [role for _, role, _ in kept],
-                "content": [content for _, _, content in kept],
-            }
-        )
-
-    def close(self) -> None:
-        pass
+def _last_messages(n: int) -> StatefulProcessor:
+    """State: the last ``n`` messages of a conversation, by turn.
+
+    The class is local so that it travels with the query and needs no module on the workers.
+    """
+    state = _STATE
+
+    class LastMessages(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.kept = handle.getListState("kept", state)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            window = {turn: (turn, role, content) for turn, role, content in self.kept.get()}
+            for frame in rows:
+                for turn, role, content in zip(frame["turn"], frame["role"], frame["content"]):
+                    window[int(turn)] = (int(turn), role, content)
+                # A batch may hold much of one conversation; no more than n rows are kept of it.
+                for turn in sorted(window)[:-n]:
+                    del window[turn]
+            kept = [window[turn] for turn in sorted(window)]
+            self.kept.put(kept)
+            yield pd.DataFrame(
+                {
+                    "conv_id": [key[0]] * len(kept),
+                    "position": range(1, len(kept) + 1),
+                    "turn": [turn for turn, _, _ in kept],
+                    "role": [role for _, role, _ in kept],
+                    "content": [content for _, _, content in kept],
+                }
+            )
+
+        def close(self) -> None:
+            pass
+
+    return LastMessages()
 
 
 def history_stream(messages: DataFrame, n: int = schemas.HISTORY_MESSAGES) -> DataFrame:
@@ -55,7 +59,7 @@ def history_stream(messages: DataFrame, n: int = schemas.HISTORY_MESSAGES) -> Da
     """
     talk = messages.filter("role <> 'system'").select("conv_id", "turn", "role", "content")
     return talk.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=_LastMessages(n),
+        statefulProcessor=_last_messages(n),
         outputStructType=_OUTPUT,
         outputMode="Update",
         timeMode="None",
