@@ -505,7 +505,7 @@ def exchange_final_answer(spark, folder):
 
 def exchange_split_turns(spark, folder):
     """Exchanges of the event log, whose conversations reach over many blocks of turns."""
-    return cv.exchanges(inputs.tool_messages(spark, folder), block_turns=500)
+    return cv.exchanges(inputs.tool_messages(spark, folder), block_turns=40)
 
 
 def iteration_limit(spark, folder):

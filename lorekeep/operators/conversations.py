@@ -124,39 +124,61 @@ def exchange_ids(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFra
     return joined.withColumn("exchange", exchange).select(*messages.columns, "exchange")
 
 
-def _answers_from_later_blocks(blocked: DataFrame) -> DataFrame:
-    """Per block: user messages before it, and the answer that later blocks give to the exchange
-    left open at its end.
+def _users_in_block() -> Column:
+    return F.sum(_is_role("user")).over(Window.partitionBy("conv_id", "_block"))
 
-    Computed on one row per block: the last answer ahead of the block's first user message. An
-    exchange that runs on ends in the next block with a user message, so its answer is the last
-    such value up to that block.
+
+def _across_blocks(blocked: DataFrame) -> DataFrame:
+    """What each block of a long conversation must know of the others, from one row per block.
+
+    ``_before`` counts earlier user messages. ``_later`` is the answer that later blocks give to the
+    exchange left open at the block's end; ``_earlier`` the one that earlier blocks gave to the
+    exchange the block begins in. A block's ``_head`` is its last answer ahead of its first user
+    message, its ``_tail`` the last one behind its last user message.
     """
     inside = blocked.join(_several_blocks(blocked), "conv_id", "left_semi")
-    seen = inside.withColumn("_seen", _users_so_far())
-    leading = (F.col("role") == "assistant") & (F.col("_seen") == 0)
-    heads = seen.groupBy("conv_id", "_block").agg(
+    seen = inside.withColumns({"_seen": _users_so_far(), "_all": _users_in_block()})
+    spoken = F.col("role") == "assistant"
+
+    def last_answer(where: Column) -> Column:
+        return F.max_by(F.when(where, F.struct("content")), F.when(where, F.col("turn")))
+
+    ends = seen.groupBy("conv_id", "_block").agg(
         F.sum(_is_role("user")).alias("_users"),
-        F.max_by(F.when(leading, F.struct("content")), F.when(leading, F.col("turn"))).alias("_head"),
+        last_answer(spoken & (F.col("_seen") == 0)).alias("_head"),
+        last_answer(spoken & (F.col("_seen") == F.col("_all"))).alias("_tail"),
     )
     ascending = Window.partitionBy("conv_id").orderBy("_block")
     descending = Window.partitionBy("conv_id").orderBy(F.desc("_block"))
-    answered = F.when(F.col("_head").isNotNull(), F.struct("_block", "_head"))
-    heads = heads.withColumn(
-        "_upto", F.last(answered, ignorenulls=True).over(ascending.rowsBetween(_FIRST, _HERE))
+    so_far, earlier = ascending.rowsBetween(_FIRST, _HERE), ascending.rowsBetween(_FIRST, -1)
+    following = descending.rowsBetween(_FIRST, -1)
+
+    def last_known(answer: str, over) -> Column:
+        known = F.when(F.col(answer).isNotNull(), F.struct("_block", F.col(answer).alias("answer")))
+        return F.last(known, ignorenulls=True).over(over)
+
+    has_user = F.col("_users") > 0
+    ends = ends.withColumns(
+        {
+            "_before": F.sum("_users").over(earlier),
+            "_upto": last_known("_head", so_far),
+            "_past": last_known("_tail", earlier),
+            "_opened": F.last(F.when(has_user, F.col("_block")), ignorenulls=True).over(earlier),
+        }
     )
-    closing = F.when(F.col("_users") > 0, F.struct(F.col("_upto").alias("answer")))
-    heads = heads.withColumns(
+    # The exchange left open ends in the next block with a user message, else in the last block.
+    closing = F.when(has_user, F.struct(F.col("_upto").alias("known")))
+    ends = ends.withColumns(
         {
-            "_before": F.sum("_users").over(ascending.rowsBetween(_FIRST, -1)),
-            # Nearest later block with a user message, else the conversation's last block.
-            "_closed": F.last(closing, ignorenulls=True).over(descending.rowsBetween(_FIRST, -1)),
+            "_closed": F.last(closing, ignorenulls=True).over(following),
             "_end": F.first("_upto").over(descending.rowsBetween(_FIRST, _HERE)),
         }
     )
-    found = F.when(F.col("_closed").isNotNull(), F.col("_closed.answer")).otherwise(F.col("_end"))
-    later = F.when(found["_block"] > F.col("_block"), found["_head"])
-    return heads.select("conv_id", "_block", "_before", later.alias("_later"))
+    known = F.when(F.col("_closed").isNotNull(), F.col("_closed.known")).otherwise(F.col("_end"))
+    later = F.when(known["_block"] > F.col("_block"), known["answer"])
+    begun_there = F.col("_opened").isNull() | (F.col("_past._block") >= F.col("_opened"))
+    before = F.when(begun_there, F.col("_past.answer"))
+    return ends.select("conv_id", "_block", "_before", later.alias("_later"), before.alias("_earlier"))
 
 
 def exchanges(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -165,21 +187,20 @@ def exchanges(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     ``content`` is kept as it was. The messages are shuffled once, by conversation and block.
     """
     blocked = _blocked(messages, block_turns)
-    segmented = blocked.withColumns(
-        {
-            "_seen": _users_so_far(),
-            "_users": F.sum(_is_role("user")).over(Window.partitionBy("conv_id", "_block")),
-        }
-    )
+    segmented = blocked.withColumns({"_seen": _users_so_far(), "_users": _users_in_block()})
     spoken = F.when(F.col("role") == "assistant", F.struct("content"))
     segment = Window.partitionBy("conv_id", "_block", "_seen").orderBy("turn").rowsBetween(_FIRST, _LAST)
     segmented = segmented.withColumn("_own", F.last(spoken, ignorenulls=True).over(segment))
-    joined = segmented.join(_answers_from_later_blocks(blocked), ["conv_id", "_block"], "left")
-    open_end = F.when(F.col("_seen") == F.col("_users"), F.col("_later"))
+    joined = segmented.join(_across_blocks(blocked), ["conv_id", "_block"], "left")
+    answer = F.coalesce(
+        F.when(F.col("_seen") == F.col("_users"), F.col("_later")),
+        F.col("_own"),
+        F.when(F.col("_seen") == 0, F.col("_earlier")),
+    )
     return joined.select(
         *messages.columns,
         (F.coalesce("_before", F.lit(0)) + F.col("_seen")).alias("exchange"),
-        F.coalesce(open_end, F.col("_own"))["content"].alias("final_answer"),
+        answer["content"].alias("final_answer"),
     )
 
 

@@ -125,7 +125,10 @@ class _Kernel:
         table = table.combine_chunks()
         order = [(self.item, "ascending")] if self.cap else [(self.group, "ascending"), (self.item, "ascending")]
         table = table.sort_by(order).combine_chunks()
-        unit, kept = _unit_rows(_matrix(table.column("embedding").combine_chunks()))
+        matrix = _matrix(table.column("embedding").combine_chunks())
+        if matrix.shape[1] != queries.unit.shape[1]:
+            raise ValueError("queries and vectors are of different lengths")
+        unit, kept = _unit_rows(matrix)
         if not len(kept):
             return
         table = table.select([self.group, self.item]).take(pa.array(kept))
