@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorekeep import schemas
-from lorekeep.functions.vectors import hash_embedding
 from lorekeep.operators.models import embed
 from lorekeep.sources.rpc import with_parameters
+from lorekeep.sources.tables import read_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -19,9 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that outweighs reading them."""
+    return read_table(spark, f"{folder}/documents.parquet", spread_by="doc_id")
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as ``doc_key, source, text``."""
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     return rows.select(F.col("doc_id").cast("string").alias("doc_key"), "source", "text")
 
 
@@ -56,10 +61,10 @@ def tool_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one chunk with one vector: ``question_id, chunk_id, embedding``."""
-    rows = table(spark, folder, "documents").select(
+    rows = documents(spark, folder).select(
         F.col("doc_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "text"
     )
-    return embed(rows, "text").drop("text")
+    return embed(rows, "text", keep=["question_id", "chunk_id"])
 
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:

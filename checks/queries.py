@@ -135,7 +135,7 @@ def render_results(spark, folder):
 
 
 def hash_embed(spark, folder):
-    rows = models.embed(inputs.table(spark, folder, "documents").select("doc_id", "text"))
+    rows = models.embed(inputs.documents(spark, folder), keep=["doc_id"])
     cells = rows.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return cells.filter("weight <> 0").select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
@@ -154,7 +154,7 @@ def vector_functions(spark, folder):
 
 
 def text_search(spark, folder):
-    queries = models.embed(inputs.benchmark_queries(spark, folder)).select("query_id", "embedding")
+    queries = models.embed(inputs.benchmark_queries(spark, folder), keep=["query_id"])
     return _rounded(search.search_chunks(queries, inputs.document_vectors(spark, folder)))
 
 
@@ -174,7 +174,7 @@ def expand_queries(spark, folder):
 
 
 def parse_statements(spark, folder):
-    rows = inputs.table(spark, folder, "documents").select(
+    rows = inputs.documents(spark, folder).select(
         "doc_id", tx.parse_statements(F.col("text"), 3).alias("_found")
     )
     return rows.select(
@@ -243,7 +243,8 @@ def refine_answers(spark, folder):
 
 def _batch(spark, folder) -> DataFrame:
     """Documents as a batch of chunks with status, statements and error."""
-    done = models.summarize(inputs.document_chunks(spark, folder), n=2)
+    chunks = inputs.documents(spark, folder).withColumnRenamed("doc_id", "chunk_id")
+    done = models.summarize(chunks, n=2)
     return done.select(
         "chunk_id",
         "source",
@@ -468,7 +469,7 @@ def batch_retrieve_calls(spark, folder):
 
 def batch_store_calls(spark, folder):
     """Each document is a store call with its language as context."""
-    rows = inputs.table(spark, folder, "documents")
+    rows = inputs.documents(spark, folder)
     arguments = F.to_json(F.struct(F.col("text").alias("information"), F.col("lang").alias("context")))
     calls = rows.select(F.col("doc_id").alias("call_id"), F.lit(rt.STORE_TOOL).alias("name"), arguments.alias("arguments"))
     stored = spark.createDataFrame([], "hash STRING")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as the source data's producer counts it: Unicode white space and the four separators.
+# White space, Unicode included, as a set of characters and as a pattern.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _SPACE = r"[\s\x1c-\x1f]"
-_OUTER_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
 _INNER_SPACE = rf"(?U){_SPACE}+"
+_NO_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 # A line holding one of these is an instruction, not a statement.
 INSTRUCTION_PHRASES = (
@@ -27,15 +31,17 @@ LEADING_MARKS = "0123456789.)-•*# "
 LEADING_LABEL = rf"(?U)^[0-9a-zA-Z]+[.)]{_SPACE}+"
 MIN_STATEMENT_WORDS = 10
 SUMMARY_WORDS = (10, 40)
+_LINES_AHEAD = 8
 
 
 def strip(text: Column) -> Column:
     """Cut white space, Unicode included, from both ends."""
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    """Whether there is nothing but white space; stops at the first other character."""
+    return ~text.rlike(_NO_SPACE)
 
 
 def word_count(text: Column) -> Column:
@@ -62,19 +68,34 @@ def _statement(line: Column) -> Column:
     return strip(F.rtrim(strip(_without_label(line)), F.lit("?")))
 
 
-def all_statements(text: Column) -> Column:
-    """Every line of ``text`` that reads as a statement, cleaned, in order."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    lines = F.filter(lines, lambda line: (line != "") & ~_is_instruction(line))
-    return F.filter(
-        F.transform(lines, _statement),
-        lambda line: word_count(line) >= MIN_STATEMENT_WORDS,
-    )
+def _is_long_enough(line: Column) -> Column:
+    """At least ten words in a stripped line; splitting stops at the tenth."""
+    return F.size(F.split(line, _INNER_SPACE, MIN_STATEMENT_WORDS)) >= MIN_STATEMENT_WORDS
+
+
+def _statements(lines: Column) -> Column:
+    """Those of the lines that read as statements, cleaned, in order."""
+    stripped = F.transform(lines, strip)
+    candidates = F.filter(stripped, lambda line: (line != "") & ~_is_instruction(line))
+    return F.filter(F.transform(candidates, _statement), _is_long_enough)
 
 
 def parse_statements(text: Column, n: int | Column = 3) -> Column:
-    """The first ``n`` statements of ``text``; an empty array means that parsing failed."""
-    return F.slice(all_statements(text), F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    """The first ``n`` statements of ``text``; an empty array means that parsing failed.
+
+    The first lines are tried on their own; only where they hold too few statements are all lines
+    looked at.
+    """
+    wanted = n if isinstance(n, Column) else F.lit(n)
+    lines = F.split(text, "\n")
+
+    def enough(found: Column) -> Column:
+        done = (F.size(found) >= wanted) | (F.size(lines) <= _LINES_AHEAD)
+        return F.when(done, found).otherwise(_statements(lines))
+
+    # The one-element array binds the first result, so that it is computed once.
+    ahead = F.array(_statements(F.slice(lines, 1, _LINES_AHEAD)))
+    return F.slice(F.transform(ahead, enough)[0], F.lit(1), wanted)
 
 
 def summary_quality(summary: Column) -> Column:

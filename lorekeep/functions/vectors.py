@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Sequence
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
+
+_TOKEN_GAP = re.compile("[ \t\n\x0b\f\r]+")
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -27,49 +34,27 @@ def similarity_from_distance(distance: Column) -> Column:
     return F.lit(1.0) - distance
 
 
-def token_buckets(text: Column, dim: int) -> Column:
-    """Bucket of each lower-cased token: the first 8 hex digits of its md5, modulo ``dim``."""
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda token: token != "")
-    return F.transform(
-        tokens,
-        lambda token: (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int"),
-    )
-
-
-def _histogram(lists: pa.Array, dim: int) -> pa.Array:
-    rows = len(lists)
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    cells = np.repeat(np.arange(rows, dtype=np.int64), sizes) * dim + flat
-    counts = np.bincount(cells, minlength=rows * dim).reshape(rows, dim).astype(np.float64)
-    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-    unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
-    return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32).ravel()))
-
-
-def bucket_histogram(buckets: Column, dim: int) -> Column:
-    """Unit-length histogram of an array of bucket numbers; zero when there is none."""
-
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def histogram(lists: pa.Array) -> pa.Array:
-        return _histogram(lists, dim)
-
-    return histogram(buckets)
-
+@lru_cache(maxsize=1 << 17)
+def _token_number(token: str) -> int:
+    """The first 8 hex digits of the token's md5."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
 
-def bucket_histograms(buckets: Column, dim: int) -> Column:
-    """``bucket_histogram`` for each array of an array of arrays."""
 
-    @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-    def histograms(lists: pa.Array) -> pa.Array:
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), _histogram(lists.flatten(), dim))
+def hash_vectors(texts: Sequence[str | None], dim: int = 256) -> np.ndarray:
+    """A unit vector per text: how often each bucket is hit by its lower-cased tokens.
 
-    return histograms(buckets)
+    A token's bucket is its number modulo ``dim``. A text without tokens has the zero vector.
+    """
+    counts = np.zeros((len(texts), dim))
+    for row, text in zip(counts, texts):
+        numbers = [_token_number(token) for token in _TOKEN_GAP.split((text or "").lower()) if token]
+        if numbers:
+            row[:] = np.bincount(np.array(numbers) % dim, minlength=dim)
+    norms = np.linalg.norm(counts, axis=1, keepdims=True)
+    return np.divide(counts, norms, out=counts, where=norms > 0).astype(np.float32)
 
 
-def hash_embedding(text: Column, dim: int = 256) -> Column:
-    """Hashed bag-of-words vector, the default where no model is given."""
-    return bucket_histogram(token_buckets(text, dim), dim)
+def vector_lists(vectors: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    rows, dim = vectors.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))

@@ -14,6 +14,7 @@ from lorekeep.functions.records import iso_timestamp, message_json
 from lorekeep.operators.toolcalls import OPEN_TAG
 
 BLOCK_TURNS = 4096
+BROADCAST_CONVERSATIONS = 100_000
 MAX_STEPS_ANSWER = "I've reached the maximum number of steps. Let me summarize what I found..."
 
 _FIRST, _LAST, _HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
@@ -95,10 +96,21 @@ def _blocked(messages: DataFrame, block_turns: int) -> DataFrame:
     return messages.withColumn("_block", F.expr(f"turn div {int(block_turns)}"))
 
 
-def _several_blocks(blocked: DataFrame) -> DataFrame:
-    """Conversations that reach over more than one block; a scan of two narrow columns."""
+def _only_long(blocked: DataFrame) -> DataFrame | None:
+    """The rows of conversations that reach over more than one block; None when there are none.
+
+    A look at two narrow columns finds those conversations. Where they are few, as they are unless
+    most of the log is made of very long ones, their ids are broadcast and nothing else is moved;
+    beyond the checked number the join is left to the planner.
+    """
     ends = blocked.groupBy("conv_id").agg(F.min("_block").alias("_a"), F.max("_block").alias("_z"))
-    return ends.filter(F.col("_a") < F.col("_z")).select("conv_id")
+    long = ends.filter(F.col("_a") < F.col("_z")).select("conv_id")
+    ids = long.limit(BROADCAST_CONVERSATIONS + 1).toArrow()
+    if ids.num_rows == 0:
+        return None
+    if ids.num_rows <= BROADCAST_CONVERSATIONS:
+        long = F.broadcast(blocked.sparkSession.createDataFrame(ids))
+    return blocked.join(long, "conv_id", "left_semi")
 
 
 def _users_so_far() -> Column:
@@ -111,11 +123,10 @@ def exchange_ids(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFra
     """Add ``exchange``: how many user messages the conversation has seen up to this row."""
     blocked = _blocked(messages, block_turns)
     numbered = blocked.withColumn("_seen", _users_so_far())
-    per_block = (
-        blocked.join(_several_blocks(blocked), "conv_id", "left_semi")
-        .groupBy("conv_id", "_block")
-        .agg(F.sum(_is_role("user")).alias("_users"))
-    )
+    long = _only_long(blocked)
+    if long is None:
+        return numbered.withColumn("exchange", F.col("_seen")).select(*messages.columns, "exchange")
+    per_block = long.groupBy("conv_id", "_block").agg(F.sum(_is_role("user")).alias("_users"))
     earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(_FIRST, -1)
     offsets = per_block.select("conv_id", "_block", F.sum("_users").over(earlier).alias("_before"))
     offsets = offsets.filter(F.col("_before") > 0)
@@ -128,7 +139,7 @@ def _users_in_block() -> Column:
     return F.sum(_is_role("user")).over(Window.partitionBy("conv_id", "_block"))
 
 
-def _across_blocks(blocked: DataFrame) -> DataFrame:
+def _across_blocks(long: DataFrame) -> DataFrame:
     """What each block of a long conversation must know of the others, from one row per block.
 
     ``_before`` counts earlier user messages. ``_later`` is the answer that later blocks give to the
@@ -136,8 +147,7 @@ def _across_blocks(blocked: DataFrame) -> DataFrame:
     exchange the block begins in. A block's ``_head`` is its last answer ahead of its first user
     message, its ``_tail`` the last one behind its last user message.
     """
-    inside = blocked.join(_several_blocks(blocked), "conv_id", "left_semi")
-    seen = inside.withColumns({"_seen": _users_so_far(), "_all": _users_in_block()})
+    seen = long.withColumns({"_seen": _users_so_far(), "_all": _users_in_block()})
     spoken = F.col("role") == "assistant"
 
     def last_answer(where: Column) -> Column:
@@ -191,7 +201,14 @@ def exchanges(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     spoken = F.when(F.col("role") == "assistant", F.struct("content"))
     segment = Window.partitionBy("conv_id", "_block", "_seen").orderBy("turn").rowsBetween(_FIRST, _LAST)
     segmented = segmented.withColumn("_own", F.last(spoken, ignorenulls=True).over(segment))
-    joined = segmented.join(_across_blocks(blocked), ["conv_id", "_block"], "left")
+    long = _only_long(blocked)
+    if long is None:
+        return segmented.select(
+            *messages.columns,
+            F.col("_seen").alias("exchange"),
+            F.col("_own.content").alias("final_answer"),
+        )
+    joined = segmented.join(_across_blocks(long), ["conv_id", "_block"], "left")
     answer = F.coalesce(
         F.when(F.col("_seen") == F.col("_users"), F.col("_later")),
         F.col("_own"),

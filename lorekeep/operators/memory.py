@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorekeep.functions import text as tx
@@ -51,9 +53,14 @@ def find_by_text(chunks: DataFrame, text: str | Column) -> DataFrame:
     return chunks.filter(F.col("hash") == tx.content_hash(wanted))
 
 
-def latest_status(chunk_status: DataFrame) -> DataFrame:
-    """The last recorded status of each chunk, with the number of attempts."""
-    last = F.max_by(F.struct("status", "error", "questions"), "attempt").alias("last")
+def latest_status(
+    chunk_status: DataFrame, fields: Sequence[str] = ("status", "error", "questions")
+) -> DataFrame:
+    """The last recorded status of each chunk, with the number of attempts.
+
+    Only the named fields of the log are read.
+    """
+    last = F.max_by(F.struct(*fields), "attempt").alias("last")
     return (
         chunk_status.groupBy("chunk_id")
         .agg(F.max("attempt").alias("attempt"), last)

@@ -9,10 +9,11 @@ bags of words; both then run without a Python model.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lorekeep import schemas
@@ -67,28 +68,57 @@ def _lists(flat: pa.Array, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def answer(prompt: Column, fn: TextModel) -> Column:
-    """STRUCT<text, error> of the model's answer to each prompt."""
+def _arrow_step(
+    df: DataFrame,
+    inputs: dict[str, Column],
+    added: T.StructType,
+    compute: Callable[..., list[pa.Array]],
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add the columns that ``compute`` makes of the input columns, batch by batch.
+
+    A step of its own rather than a UDF: filters on its output cannot be pushed below it, where the
+    model, or the parsing that leads to it, would run a second time.
+    """
+    kept = [name for name in (df.columns if keep is None else keep) if name not in added.fieldNames()]
+    staged = df.select(*kept, *[column.alias(f"_in_{name}") for name, column in inputs.items()])
+    taken, made = [f"_in_{name}" for name in inputs], added.fieldNames()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute(*[batch.column(name) for name in taken])
+            old = [batch.column(name) for name in kept]
+            yield pa.RecordBatch.from_arrays(old + new, names=kept + made)
+
+    return staged.mapInArrow(run, T.StructType([df.schema[name] for name in kept] + added.fields))
+
+
+def _one(name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind)])
+
 
-    @F.arrow_udf(_ANSWER)
-    def call(texts: pa.Array) -> pa.Array:
-        return pa.array(_answer_rows(fn, texts.to_pylist()), _ANSWER_ARROW)
+def with_answer(df: DataFrame, prompt: Column, fn: TextModel, out: str) -> DataFrame:
+    """Add STRUCT<text, error>, the model's answer to each prompt; null prompts are not sent."""
 
-    return call.asNondeterministic()(prompt)
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(_answer_rows(fn, texts.to_pylist()), _ANSWER_ARROW)]
 
+    return _arrow_step(df, {"prompt": prompt}, _one(out, _ANSWER), compute)
 
-def answer_each(prompt_list: Column, fn: TextModel) -> Column:
-    """``answer`` for each element of an array column."""
 
-    @F.arrow_udf(T.ArrayType(_ANSWER))
-    def call(lists: pa.Array) -> pa.Array:
-        flat = pa.array(_answer_rows(fn, lists.flatten().to_pylist()), _ANSWER_ARROW)
-        return _lists(flat, lists)
+def _with_answers(df: DataFrame, prompt_list: Column, fn: TextModel, out: str) -> DataFrame:
+    """``with_answer`` for each element of an array column."""
 
-    return call.asNondeterministic()(prompt_list)
+    def compute(lists: pa.Array) -> list[pa.Array]:
+        return [_lists(pa.array(_answer_rows(fn, lists.flatten().to_pylist()), _ANSWER_ARROW), lists)]
 
+    return _arrow_step(df, {"prompts": prompt_list}, _one(out, T.ArrayType(_ANSWER)), compute)
 
-def _vector_rows(fn: EmbeddingModel, inputs: list) -> pa.Array:
+
+def _vectors(fn: EmbeddingModel | None, dim: int, inputs: list) -> pa.Array:
+    """A vector per input; null where the model failed."""
+    if fn is None:
+        return vx.vector_lists(vx.hash_vectors(inputs, dim))
     rows = [
         None if vector is None else np.asarray(vector, dtype=np.float32)
         for vector, _ in _answers(fn, inputs)
@@ -96,40 +126,24 @@ def _vector_rows(fn: EmbeddingModel, inputs: list) -> pa.Array:
     return pa.array(rows, pa.list_(pa.float32()))
 
 
-def embedding(text: Column, fn: EmbeddingModel | None = None, dim: int = schemas.EMBEDDING_DIM) -> Column:
-    """Vector of each text; null where the model failed."""
-    if fn is None:
-        return vx.hash_embedding(text, dim)
-
-    @F.arrow_udf(_VECTOR)
-    def call(texts: pa.Array) -> pa.Array:
-        return _vector_rows(fn, texts.to_pylist())
-
-    return call.asNondeterministic()(text)
-
-
 def embed(
     df: DataFrame,
     text_col: str = "text",
     fn: EmbeddingModel | None = None,
     out: str = "embedding",
     dim: int = schemas.EMBEDDING_DIM,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the vector of a text column."""
-    return df.withColumn(out, embedding(F.col(text_col), fn, dim))
-
+    """Add the vector of a text column, null where the model failed.
 
-def _embedding_each(texts: Column, fn: EmbeddingModel | None, dim: int) -> Column:
-    """Vectors of each element of an array column."""
-    if fn is None:
-        buckets = F.transform(texts, lambda text: vx.token_buckets(text, dim))
-        return vx.bucket_histograms(buckets, dim)
+    ``keep`` names the columns wanted besides the vector; leaving the text out saves moving it
+    back from Python.
+    """
 
-    @F.arrow_udf(T.ArrayType(_VECTOR))
-    def call(lists: pa.Array) -> pa.Array:
-        return _lists(_vector_rows(fn, lists.flatten().to_pylist()), lists)
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        return [_vectors(fn, dim, texts.to_pylist())]
 
-    return call.asNondeterministic()(texts)
+    return _arrow_step(df, {"text": F.col(text_col)}, _one(out, _VECTOR), compute, keep)
 
 
 def _collect_statements(
@@ -164,18 +178,16 @@ def _collect_statements(
                 F.size(part["got"]) < n, prompt_of(text, F.lit(n) - F.size(part["got"]))
             ),
         )
-        df = df.withColumn("_answers", answer_each(asked, fn))
+        df = _with_answers(df, asked, fn, "_answers")
         merged = F.zip_with(
             "_parts",
             "_answers",
             lambda part, reply: F.struct(
-                F.slice(
-                    F.concat(
-                        part["got"],
-                        F.coalesce(tx.all_statements(reply["text"]), nothing),
+                F.concat(
+                    part["got"],
+                    F.coalesce(
+                        tx.parse_statements(reply["text"], F.lit(n) - F.size(part["got"])), nothing
                     ),
-                    1,
-                    n,
                 ).alias("got"),
                 F.coalesce(reply["error"], part["error"]).alias("error"),
             ),
@@ -184,23 +196,51 @@ def _collect_statements(
     return df.drop("_texts")
 
 
+def _joined_statements(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Per row: the statements of all its parts in order, and the reason when there are none."""
+    flat = parts.flatten()
+    found, errors = pc.struct_field(flat, "got"), pc.struct_field(flat, "error").to_pylist()
+    ends = np.r_[0, np.cumsum(parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    places = np.r_[0, np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    statements = pa.ListArray.from_arrays(pa.array(places[ends].astype(np.int32)), found.flatten())
+    reasons: list[str | None] = [None] * len(parts)
+    for row in np.flatnonzero(places[ends[1:]] == places[ends[:-1]]):
+        told = [error for error in errors[ends[row] : ends[row + 1]] if error is not None]
+        reasons[row] = told[-1] if told else "Failed to generate any summaries"
+    return statements, pa.array(reasons, pa.string())
+
+
+def _finished(df: DataFrame, out: str, embed_with: tuple[EmbeddingModel | None, int] | None = None) -> DataFrame:
+    """Replace ``_parts`` by the statements, the error and, on request, their vectors."""
+    added = [T.StructField(out, T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]
+    if embed_with is not None:
+        added.append(T.StructField("embeddings", T.ArrayType(_VECTOR)))
+
+    def compute(parts: pa.Array) -> list[pa.Array]:
+        statements, errors = _joined_statements(parts)
+        if embed_with is None:
+            return [statements, errors]
+        vectors = _vectors(*embed_with, statements.flatten().to_pylist())
+        return [statements, errors, _lists(vectors, statements)]
+
+    keep = [name for name in df.columns if name != "_parts"]
+    return _arrow_step(df, {"parts": F.col("_parts")}, T.StructType(added), compute, keep)
+
+
 def summarize(
     df: DataFrame, text_col: str = "text", fn: TextModel | None = None, n: int = 3, attempts: int = 2
 ) -> DataFrame:
-    """Add ``summaries``: up to ``n`` statements per text, and ``error`` when there is none."""
+    """Replace the text by ``summaries``, up to ``n`` statements, and ``error`` when there is none."""
     parts = _collect_statements(df, F.array(F.col(text_col)), prompts.summary_prompt, fn, n, attempts)
-    return _with_summaries(parts, "summaries")
+    return _finished(parts.drop(text_col), "summaries")
 
 
-def _with_summaries(df: DataFrame, out: str) -> DataFrame:
-    found = F.flatten(F.transform("_parts", lambda part: part["got"]))
-    errors = F.filter(F.transform("_parts", lambda part: part["error"]), lambda error: error.isNotNull())
-    reason = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.lit("Failed to generate any summaries"))
-    return (
-        df.withColumn(out, found)
-        .withColumn("error", F.when(F.size(out) == 0, reason))
-        .drop("_parts")
-    )
+def _chunk_statements(
+    chunks: DataFrame, fn: TextModel | None, n: int, attempts: int, size: int, overlap: int
+) -> DataFrame:
+    pieces = chunks.withColumn("_pieces", sub_chunk_array("text", size, overlap))
+    parts = _collect_statements(pieces, F.col("_pieces"), prompts.summary_prompt, fn, n, attempts)
+    return parts.drop("_pieces", "text")
 
 
 def summarize_chunks(
@@ -211,14 +251,12 @@ def summarize_chunks(
     size: int = schemas.SUB_CHUNK_SIZE,
     overlap: int = schemas.SUB_CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Add ``questions``: ``n`` statements per embedding-sized piece of each chunk, in order.
+    """Replace the text by ``questions``: ``n`` statements per embedding-sized piece, in order.
 
     Pieces that give nothing are skipped; ``error`` is set only when all of them fail. Everything
     happens inside the row, so there is no shuffle.
     """
-    pieces = chunks.withColumn("_pieces", sub_chunk_array("text", size, overlap))
-    parts = _collect_statements(pieces, F.col("_pieces"), prompts.summary_prompt, fn, n, attempts)
-    return _with_summaries(parts, "questions").drop("_pieces")
+    return _finished(_chunk_statements(chunks, fn, n, attempts, size, overlap), "questions")
 
 
 def index_chunks(
@@ -226,15 +264,17 @@ def index_chunks(
     summarize_fn: TextModel | None = None,
     embed_fn: EmbeddingModel | None = None,
     n: int = schemas.SUMMARIES_PER_CHUNK,
+    attempts: int = 2,
     dim: int = schemas.EMBEDDING_DIM,
 ) -> DataFrame:
     """One indexing attempt per chunk: ``questions``, ``embeddings``, ``status`` and ``error``.
 
     A chunk is ``complete`` when it has statements and each of them has a vector.
     """
-    done = summarize_chunks(chunks, summarize_fn, n).withColumn(
-        "embeddings", _embedding_each(F.col("questions"), embed_fn, dim)
+    parts = _chunk_statements(
+        chunks, summarize_fn, n, attempts, schemas.SUB_CHUNK_SIZE, schemas.SUB_CHUNK_OVERLAP
     )
+    done = _finished(parts, "questions", (embed_fn, dim))
     no_vector = F.exists("embeddings", lambda vector: vector.isNull())
     error = F.coalesce("error", F.when(no_vector, "Failed to embed a summary"))
     return done.withColumn("error", error).withColumn(
@@ -273,7 +313,7 @@ def expand_queries(
         found = queries.join(expansions.select("query_id", "expansion"), "query_id", "left")
     elif fn is not None:
         asked = F.when(short, prompts.expand_prompt(F.col("text")))
-        found = queries.withColumn("_answer", answer(asked, fn)).withColumn(
+        found = with_answer(queries, asked, fn, "_answer").withColumn(
             "expansion", tx.strip(F.col("_answer.text"))
         )
     else:
@@ -294,7 +334,7 @@ def refine_answers(
     draft = tx.truncated(F.col(answer_col), max_chars, prompts.TRUNCATION_MARKER)
     asked = F.when(F.col(answer_col) != "", prompts.refine_prompt(F.col(question_col), draft))
     return (
-        df.withColumn("_answer", answer(asked, fn))
+        with_answer(df, asked, fn, "_answer")
         .withColumn("refined", F.coalesce(tx.strip(F.col("_answer.text")), F.col(answer_col)))
         .drop("_answer")
     )

@@ -26,9 +26,12 @@ RANK_DIGITS = 9
 # Largest query set that is sent to every task: rows, and bytes as doubles.
 BROADCAST_QUERIES = 8192
 BROADCAST_BYTES = 64 << 20
-# Rows per cell in the plan without a broadcast.
-CELL_QUERIES = 8192
-CELL_VECTORS = 65536
+# Hits that may be broadcast when they are joined: few queries times k.
+BROADCAST_HITS = 100_000
+# Rows per cell in the plan without a broadcast. Each side is sent once per cell of the other, which
+# is least for equal sizes.
+CELL_QUERIES = 32768
+CELL_VECTORS = 32768
 # Similarities held at once by one task.
 _BLOCK_CELLS = 4_000_000
 
@@ -190,13 +193,13 @@ class _Kernel:
         return rows[hit][first]
 
 
-def _vector_rows(df: DataFrame, *ids: str) -> DataFrame:
-    return df.select(*ids, "embedding").filter(F.col("embedding").isNotNull())
+def _with_vector(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("embedding").isNotNull())
 
 
 def _small_queries(queries: DataFrame, rows: int, limit_bytes: int) -> _Queries | None:
     """The query matrix when it is small enough to broadcast; reads at most ``rows + 1`` rows."""
-    head = queries.limit(rows + 1).toArrow().combine_chunks()
+    head = _with_vector(queries).limit(rows + 1).toArrow().combine_chunks()
     if head.num_rows > rows:
         return None
     vectors = head.column("embedding").combine_chunks() if head.num_rows else None
@@ -214,21 +217,22 @@ def _scan_with_broadcast(vectors: DataFrame, kernel: _Kernel, queries: _Queries,
         for batch in batches:
             yield from kernel.scan(batch, shared.value)
 
-    return vectors.mapInArrow(run, schema)
+    return _with_vector(vectors).mapInArrow(run, schema)
 
 
 def _scan_in_cells(
     vectors: DataFrame, kernel: _Kernel, queries: DataFrame, schema, cell_queries: int, cell_vectors: int
 ) -> DataFrame:
     """Every pair of a query cell and a vector cell as one bounded co-group."""
-    query_cells = -(-queries.count() // cell_queries) or 1
-    vector_cells = -(-vectors.count() // cell_vectors) or 1
+    # Counting rows does not compute or read the vectors.
+    query_cells = -(-queries.select("query_id").count() // cell_queries) or 1
+    vector_cells = -(-vectors.select(kernel.item).count() // cell_vectors) or 1
     every_query_cell = F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1)))
     every_vector_cell = F.explode(F.sequence(F.lit(0), F.lit(vector_cells - 1)))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).cast("int"))
+    left = _with_vector(queries).withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).cast("int"))
     left = left.withColumn("_v", every_vector_cell)
     placed = F.pmod(F.xxhash64(kernel.group, kernel.item), F.lit(vector_cells)).cast("int")
-    right = vectors.withColumn("_v", placed).withColumn("_q", every_query_cell)
+    right = _with_vector(vectors).withColumn("_v", placed).withColumn("_q", every_query_cell)
 
     def pair(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
@@ -272,8 +276,8 @@ def top_groups(
     """
     if method not in ("exact", "lsh"):
         raise ValueError("method is 'exact' or 'lsh'")
-    queries = _vector_rows(queries.withColumn("query_id", F.col("query_id").cast("long")), "query_id")
-    vectors = _vector_rows(vectors, group, item)
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    vectors = vectors.select(group, item, "embedding")
     schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
@@ -285,7 +289,7 @@ def top_groups(
     small = _small_queries(queries, broadcast_queries, broadcast_bytes)
     planes = None
     if method == "lsh":
-        dim = small.unit.shape[1] if small is not None else queries.select(F.size("embedding")).first()[0]
+        dim = small.unit.shape[1] if small is not None else _with_vector(queries).select(F.size("embedding")).first()[0]
         planes = _planes(dim, bits, probes, seed)
     kernel = _Kernel(group, item, k, cap, planes)
     if small is not None:
@@ -299,7 +303,7 @@ def top_groups(
     best = F.min(F.struct((-F.col("similarity")).alias("_far"), F.col(item))).alias("_best")
     grouped = found.groupBy("query_id", group).agg(best)
     ranked = Window.partitionBy("query_id").orderBy("_best._far", group)
-    return (
+    hits = (
         grouped.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
         .select(
@@ -310,6 +314,10 @@ def top_groups(
             F.col(f"_best.{item}").alias(item),
         )
     )
+    # The number of hits is bounded by the queries counted above: joins may broadcast them instead of
+    # moving a table of texts.
+    few = small is not None and len(small.ids) * k <= BROADCAST_HITS
+    return F.broadcast(hits) if few else hits
 
 
 def search_chunks(
@@ -346,11 +354,11 @@ def attach_text(hits: DataFrame, payload: DataFrame, metadata: DataFrame | None
     """
     found = payload.filter(F.col("text") != "")
     if metadata is not None:
-        found = found.select("chunk_id", "text")
-        hits = hits.join(metadata.select("chunk_id", "source"), "chunk_id", "left")
+        # Only the metadata of the hits is moved.
+        known = metadata.select("chunk_id", "source").join(hits.select("chunk_id"), "chunk_id", "left_semi")
+        joined = hits.join(found.select("chunk_id", "text"), "chunk_id").join(known, "chunk_id", "left")
     else:
-        found = found.select("chunk_id", "text", "source")
-    joined = hits.join(found, "chunk_id")
+        joined = hits.join(found.select("chunk_id", "text", "source"), "chunk_id")
     return joined.withColumn("source", F.coalesce("source", F.lit("unknown"))).select(
         *[name for name in hits.columns if name not in ("source", "text")], "source", "text"
     )

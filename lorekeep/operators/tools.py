@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lorekeep import schemas
 from lorekeep.functions import prompts, text as tx, vectors as vx
-from lorekeep.operators.models import EmbeddingModel, TextModel, answer, embedding
+from lorekeep.operators.models import EmbeddingModel, TextModel, embed, with_answer
 from lorekeep.operators.search import top_groups
 
 
@@ -54,12 +54,11 @@ def index_tools(
         asked = F.when(
             missing, prompts.tool_summary_prompt(F.col("name"), F.col("description"), n)
         )
-        known = known.withColumn("_answer", answer(asked, summarize_fn))
+        known = with_answer(known, asked, summarize_fn, "_answer")
         fresh = F.col("_answer.text")
     summaries = F.coalesce("summaries", _listed_lines(fresh, n))
     rows = known.select(F.col("name").alias("tool"), F.posexplode(summaries).alias("ordinal", "summary"))
-    vectors = rows.withColumn("embedding", embedding(F.col("summary"), embed_fn, dim))
-    return vectors.filter(F.col("embedding").isNotNull())
+    return embed(rows, "summary", embed_fn, dim=dim).filter(F.col("embedding").isNotNull())
 
 
 def tool_index(tool_summaries: DataFrame, tools: DataFrame) -> DataFrame:

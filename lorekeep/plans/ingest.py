@@ -53,19 +53,33 @@ def store_pending(docs: DataFrame, store: Store, size: int, overlap: int) -> Dat
     return added
 
 
-def pending_chunks(store: Store) -> DataFrame:
-    """Chunks that wait for vectors: the last status is pending, with the attempts made so far."""
-    waiting = latest_status(store.chunk_status).filter(F.col("status") == "pending")
-    return store.chunks.join(waiting.select("chunk_id", "attempt"), "chunk_id")
+def pending_chunks(store: Store) -> DataFrame | None:
+    """Chunks that wait for vectors, with the attempts made so far; None when there are none.
+
+    Ids are dense and appended in order, so the range of the waiting ids lets the scan of the texts
+    skip the files and row groups of everything stored before.
+    """
+    status = latest_status(store.chunk_status, ("status",))
+    waiting = status.filter(F.col("status") == "pending").select("chunk_id", "attempt")
+    low, high = waiting.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+    if low is None:
+        return None
+    recent = store.chunks.filter(F.col("chunk_id").between(low, high))
+    return recent.join(waiting, "chunk_id")
 
 
-def index_pending(store: Store, models: Models, last: bool) -> None:
+def index_pending(store: Store, models: Models, last: bool) -> bool:
     """Phase two: one attempt at every pending chunk; those failing the ``last`` one are failed.
 
+    False when no chunk was pending.
+
     Vectors go before the status, so that a chunk is only complete once it can be found. Vectors
     of an attempt that broke off are skipped when it is repeated.
     """
-    done = index_chunks(pending_chunks(store), models.summarize, models.embed, dim=models.dim)
+    waiting = pending_chunks(store)
+    if waiting is None:
+        return False
+    done = index_chunks(waiting, models.summarize, models.embed, dim=models.dim)
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
     held = store.questions.select("chunk_id")
     store.append_questions(explode_questions(done).join(held, "chunk_id", "left_anti"))
@@ -82,6 +96,7 @@ def index_pending(store: Store, models: Models, last: bool) -> None:
             found.alias("questions"),
         )
     )
+    return True
 
 
 def ingest(
@@ -98,8 +113,7 @@ def ingest(
     """
     added = store_pending(docs, store, size, overlap)
     for attempt in range(1, max_attempts + 1):
-        index_pending(store, models, last=attempt == max_attempts)
-        if pending_chunks(store).select("chunk_id").isEmpty():
+        if not index_pending(store, models, last=attempt == max_attempts):
             break
     return batch_stats(added, store)
 

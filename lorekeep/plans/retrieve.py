@@ -47,7 +47,7 @@ def retrieve(
 ) -> DataFrame:
     """``query_id, rank, chunk_id, similarity, source, text`` for ``query_id, text`` rows."""
     asked = expand_queries(queries, expand_fn)
-    vectors = embed(asked, "search_text", embed_fn, dim=dim).select("query_id", "embedding")
+    vectors = embed(asked, "search_text", embed_fn, dim=dim, keep=["query_id"])
     return attach_text(search_chunks(vectors, questions, k, **search), chunks)
 
 

@@ -22,8 +22,9 @@ def log():
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 50, 4096])
-def test_exchanges_match_a_plain_walk(spark, log, block):
+@pytest.mark.parametrize("block, few", [(1, 100), (3, 100), (7, 0), (50, 100), (4096, 100)])
+def test_exchanges_match_a_plain_walk(spark, log, block, few, monkeypatch):
+    monkeypatch.setattr(cv, "BROADCAST_CONVERSATIONS", few)
     expected = {}
     for conv in {row[0] for row in log}:
         exchange, members, answer = 0, {}, {}
@@ -110,5 +111,7 @@ def test_export(spark, tmp_path):
     assert got[1].wire == '{"role":"assistant","tool_calls":[{"id":"c","type":"function","function":{"name":"f","arguments":"{}"}}]}'
     assert got[2].wire == '{"role":"tool","content":"r","tool_call_id":"c","name":"f"}'
     assert got[1].timestamp == "2024-01-02T03:04:05.678000"
-    write_conversations(frame, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    for folders, column in ((None, "conv_id"), (4, "folder")):
+        write_conversations(frame, str(tmp_path / column), folders)
+        saved = spark.read.json(str(tmp_path / column))
+        assert saved.count() == 2 and {column, "conv_id", "wire"} <= set(saved.columns)

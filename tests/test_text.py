@@ -66,8 +66,22 @@ def test_vectors(spark):
     assert got[1][1] is None
 
 
-def test_hash_embedding_is_a_unit_histogram(spark):
-    df = spark.createDataFrame([("A a b",), ("  ",), ("",), (None,)], "t string")
-    got = [np.array(r[0]) if r[0] is not None else None for r in df.select(vx.hash_embedding(F.col("t"), 16)).collect()]
-    assert sorted(got[0][got[0] > 0].round(4).tolist()) == [0.4472, 0.8944]
-    assert not got[1].any() and not got[2].any()
+def test_hash_embedding_is_a_unit_histogram():
+    got = vx.hash_vectors(["A a b", "  ", "", None], 16)
+    assert sorted(got[0][got[0] > 0].tolist()) == pytest.approx([0.2**0.5, 0.8**0.5])
+    assert not got[1:].any()
+
+
+def test_spaces_are_those_of_unicode():
+    assert set(tx.SPACES) == {chr(code) for code in range(0x110000) if chr(code).isspace()}
+
+
+def test_statements_far_down_are_found(statements):
+    noise = "short line\n" * 30
+    assert statements(noise + TEN + "\n" + noise + TEN + " x", 3) == [TEN, TEN + " x"]
+    assert statements(TEN + "\n" + noise + TEN + " x", 1) == [TEN]
+
+
+def test_blank(spark):
+    df = spark.createDataFrame([("  \n",), ("",), (" x ",)], "t string")
+    assert [r[0] for r in df.select(tx.is_blank(F.col("t"))).collect()] == [True, True, False]
