@@ -9,7 +9,7 @@ bags of words; both then run without a Python model.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lorekeep import schemas
 from lorekeep.functions import prompts, text as tx, vectors as vx
+from lorekeep.operators.arrow import arrow_step
 from lorekeep.operators.chunking import sub_chunk_array
 
 TextModel = Callable[[list[str]], Sequence[str]]
@@ -68,31 +69,6 @@ def _lists(flat: pa.Array, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def _arrow_step(
-    df: DataFrame,
-    inputs: dict[str, Column],
-    added: T.StructType,
-    compute: Callable[..., list[pa.Array]],
-    keep: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add the columns that ``compute`` makes of the input columns, batch by batch.
-
-    A step of its own rather than a UDF: filters on its output cannot be pushed below it, where the
-    model, or the parsing that leads to it, would run a second time.
-    """
-    kept = [name for name in (df.columns if keep is None else keep) if name not in added.fieldNames()]
-    staged = df.select(*kept, *[column.alias(f"_in_{name}") for name, column in inputs.items()])
-    taken, made = [f"_in_{name}" for name in inputs], added.fieldNames()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = compute(*[batch.column(name) for name in taken])
-            old = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays(old + new, names=kept + made)
-
-    return staged.mapInArrow(run, T.StructType([df.schema[name] for name in kept] + added.fields))
-
-
 def _one(name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind)])
 
@@ -103,7 +79,7 @@ def with_answer(df: DataFrame, prompt: Column, fn: TextModel, out: str) -> DataF
     def compute(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(_answer_rows(fn, texts.to_pylist()), _ANSWER_ARROW)]
 
-    return _arrow_step(df, {"prompt": prompt}, _one(out, _ANSWER), compute)
+    return arrow_step(df, {"prompt": prompt}, _one(out, _ANSWER), compute)
 
 
 def _with_answers(df: DataFrame, prompt_list: Column, fn: TextModel, out: str) -> DataFrame:
@@ -112,7 +88,7 @@ def _with_answers(df: DataFrame, prompt_list: Column, fn: TextModel, out: str) -
     def compute(lists: pa.Array) -> list[pa.Array]:
         return [_lists(pa.array(_answer_rows(fn, lists.flatten().to_pylist()), _ANSWER_ARROW), lists)]
 
-    return _arrow_step(df, {"prompts": prompt_list}, _one(out, T.ArrayType(_ANSWER)), compute)
+    return arrow_step(df, {"prompts": prompt_list}, _one(out, T.ArrayType(_ANSWER)), compute)
 
 
 def _vectors(fn: EmbeddingModel | None, dim: int, inputs: list) -> pa.Array:
@@ -143,7 +119,7 @@ def embed(
     def compute(texts: pa.Array) -> list[pa.Array]:
         return [_vectors(fn, dim, texts.to_pylist())]
 
-    return _arrow_step(df, {"text": F.col(text_col)}, _one(out, _VECTOR), compute, keep)
+    return arrow_step(df, {"text": F.col(text_col)}, _one(out, _VECTOR), compute, keep)
 
 
 def _collect_statements(
@@ -224,7 +200,7 @@ def _finished(df: DataFrame, out: str, embed_with: tuple[EmbeddingModel | None,
         return [statements, errors, _lists(vectors, statements)]
 
     keep = [name for name in df.columns if name != "_parts"]
-    return _arrow_step(df, {"parts": F.col("_parts")}, T.StructType(added), compute, keep)
+    return arrow_step(df, {"parts": F.col("_parts")}, T.StructType(added), compute, keep)
 
 
 def summarize(

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lorekeep import schemas
+from lorekeep.operators.arrow import arrow_step
 
 RANK_DIGITS = 9
 # Largest query set that is sent to every task: rows, and bytes as doubles.
@@ -134,12 +135,15 @@ class _Kernel:
         unit, kept = _unit_rows(matrix)
         if not len(kept):
             return
+        stored = table.column("cell").take(pa.array(kept)).to_numpy() if "cell" in table.column_names else None
         table = table.select([self.group, self.item]).take(pa.array(kept))
         if self.planes is None:
             yield from self._best(table, unit, queries.ids, queries.unit)
             return
         probed = self.planes.probed(queries.unit)
         codes = self.planes.codes(unit)
+        if stored is not None and (stored != codes).any():
+            raise ValueError("the vectors were put into cells with other bits or another seed")
         for code in np.unique(codes):
             asking = np.flatnonzero((probed == code).any(axis=1))
             if len(asking):
@@ -262,6 +266,7 @@ def top_groups(
     bits: int = 8,
     probes: int = 32,
     seed: int = 7,
+    with_item: bool = True,
     broadcast_queries: int = BROADCAST_QUERIES,
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_queries: int = CELL_QUERIES,
@@ -272,12 +277,16 @@ def top_groups(
     ``cap`` keeps only that many best vectors per query before groups are formed, as a store that
     over-fetches does; it can return fewer than ``k`` groups. Without it the result is exact.
     ``method="lsh"`` compares a query only with vectors in the cells nearest to it, and re-ranks
-    those exactly; with every cell probed it equals the exact result.
+    those exactly; with every cell probed it equals the exact result. Vectors with a ``cell`` column,
+    read from what ``write_cells`` stored, are scanned in the probed cells only.
+
+    The item of the best vector is part of the result ``with_item``.
     """
     if method not in ("exact", "lsh"):
         raise ValueError("method is 'exact' or 'lsh'")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    vectors = vectors.select(group, item, "embedding")
+    in_cells = method == "lsh" and "cell" in vectors.columns
+    vectors = vectors.select(group, item, "embedding", *(["cell"] if in_cells else []))
     schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
@@ -291,6 +300,9 @@ def top_groups(
     if method == "lsh":
         dim = small.unit.shape[1] if small is not None else _with_vector(queries).select(F.size("embedding")).first()[0]
         planes = _planes(dim, bits, probes, seed)
+        if in_cells and small is not None and len(small.ids):
+            # A stored table of cells is read only where a query looks.
+            vectors = vectors.filter(F.col("cell").isin(np.unique(planes.probed(small.unit)).tolist()))
     kernel = _Kernel(group, item, k, cap, planes)
     if small is not None:
         found = _scan_with_broadcast(vectors, kernel, small, schema)
@@ -299,20 +311,17 @@ def top_groups(
     if cap:
         nearest = Window.partitionBy("query_id").orderBy(F.desc("similarity"), item)
         found = found.withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") <= cap)
-    # Smallest (-similarity, item) is the best vector with ties to the smaller item.
-    best = F.min(F.struct((-F.col("similarity")).alias("_far"), F.col(item))).alias("_best")
-    grouped = found.groupBy("query_id", group).agg(best)
-    ranked = Window.partitionBy("query_id").orderBy("_best._far", group)
+    best = [F.max("similarity").alias("similarity")]
+    if with_item:
+        # The smallest (-similarity, item) is the best vector, with ties to the smaller item.
+        best.append(F.min(F.struct((-F.col("similarity")).alias("_far"), item))[item].alias(item))
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), group)
     hits = (
-        grouped.withColumn("rank", F.row_number().over(ranked))
+        found.groupBy("query_id", group)
+        .agg(*best)
+        .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
-        .select(
-            "query_id",
-            "rank",
-            group,
-            (F.lit(0.0) - F.col("_best._far")).alias("similarity"),
-            F.col(f"_best.{item}").alias(item),
-        )
+        .select("query_id", "rank", group, "similarity", *([item] if with_item else []))
     )
     # The number of hits is bounded by the queries counted above: joins may broadcast them instead of
     # moving a table of texts.
@@ -320,6 +329,30 @@ def top_groups(
     return F.broadcast(hits) if few else hits
 
 
+def write_cells(
+    vectors: DataFrame, path: str, bits: int = 8, seed: int = 7, files_per_cell: int = 8, mode: str = "overwrite"
+) -> None:
+    """Store vectors with their ``cell``, a folder per cell, for ``method="lsh"``.
+
+    Zero and missing vectors have no direction and are left out. Rows of one cell are spread over
+    several tasks by their vector, so that a cell with much of the data is no bottleneck.
+    """
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        matrix = _matrix(column)
+        cells = np.full(len(matrix), -1)
+        unit, kept = _unit_rows(matrix)
+        if len(kept):
+            cells[kept] = _planes(matrix.shape[1], bits, 1, seed).codes(unit)
+        return [pa.array(cells, pa.int32())]
+
+    added = T.StructType([T.StructField("cell", T.IntegerType())])
+    placed = arrow_step(_with_vector(vectors), {"embedding": F.col("embedding")}, added, compute)
+    salt = F.pmod(F.xxhash64("embedding"), F.lit(files_per_cell))
+    rows = placed.filter(F.col("cell") >= 0).withColumn("_salt", salt).repartition("cell", "_salt")
+    rows.drop("_salt").write.mode(mode).partitionBy("cell").parquet(path)
+
+
 def search_chunks(
     queries: DataFrame,
     questions: DataFrame,
@@ -333,7 +366,7 @@ def search_chunks(
     ``cap`` is the number of vectors per chunk assumed by an over-fetching store (10 there);
     the default searches without a cap.
     """
-    found = top_groups(
+    return top_groups(
         queries,
         questions,
         group="chunk_id",
@@ -341,9 +374,9 @@ def search_chunks(
         k=k,
         cap=k * cap if cap else None,
         method=method,
+        with_item=False,
         **tuning,
     )
-    return found.drop("question_id")
 
 
 def attach_text(hits: DataFrame, payload: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

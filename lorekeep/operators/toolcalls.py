@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lorekeep import schemas
+from lorekeep.operators.arrow import arrow_rows, arrow_step
 
 # The tags around a call.
 OPEN_TAG = "<tool_call>"
@@ -17,27 +18,14 @@ CLOSE_TAG = "</tool_call>"
 _CALL = re.compile(r"<tool_call>+\s*(.*?)\s*</tool_call>", re.DOTALL)
 _TAG = re.compile(r"</?tool_call>")
 
-_PARSED_ARROW = pa.list_(
-    pa.struct(
-        [
-            ("ordinal", pa.int32()),
-            ("id", pa.string()),
-            ("name", pa.string()),
-            ("arguments", pa.string()),
-            ("outcome", pa.string()),
-        ]
-    )
-)
-_PARSED = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("ordinal", T.IntegerType()),
-            T.StructField("id", T.StringType()),
-            T.StructField("name", T.StringType()),
-            T.StructField("arguments", T.StringType()),
-            T.StructField("outcome", T.StringType()),
-        ]
-    )
+_CALL_ROW = T.StructType(
+    [
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("arguments", T.StringType()),
+        T.StructField("outcome", T.StringType()),
+    ]
 )
 
 
@@ -62,22 +50,18 @@ def _read_payload(payload: str) -> tuple[dict | None, str]:
         return None, "dropped"
 
 
-def _calls_in(content: str) -> list[dict]:
-    calls = []
+def _calls_in(content: str) -> Iterator[tuple]:
+    """(ordinal, id, name, arguments, outcome) of every tagged payload."""
     for ordinal, payload in enumerate(_CALL.findall(content)):
         found, outcome = _read_payload(payload)
-        call = {"ordinal": ordinal, "id": f"call_{ordinal}", "outcome": outcome}
+        name = arguments = None
         if found is not None:
-            call["name"] = _as_text(found.get("name", ""))
-            call["arguments"] = _as_text(found.get("arguments", "{}"))
-        calls.append(call)
-    return calls
+            name, arguments = _as_text(found.get("name", "")), _as_text(found.get("arguments", "{}"))
+        yield ordinal, f"call_{ordinal}", name, arguments, outcome
 
 
-@F.arrow_udf(_PARSED)
-def _parse_calls(contents: pa.Array) -> pa.Array:
-    rows = [None if text is None else _calls_in(text) for text in contents.to_pylist()]
-    return pa.array(rows, _PARSED_ARROW)
+def _readable_calls_in(content: str) -> Iterator[tuple]:
+    return (call for call in _calls_in(content) if call[-1] != "dropped")
 
 
 def is_incomplete_call(content: Column) -> Column:
@@ -101,12 +85,8 @@ def extract_tool_calls(messages: DataFrame, keep_dropped: bool = False) -> DataF
     native = _has_calls(messages)
     written = F.col("content").contains(OPEN_TAG) & F.col("content").contains(CLOSE_TAG)
     keys = ["conv_id", "turn"]
-    from_text = (
-        messages.filter(written & ~native)
-        .select(*keys, _parse_calls(F.col("content")).alias("_calls"))
-        .select(*keys, F.inline("_calls"))
-    )
-    found = from_text if keep_dropped else from_text.filter(F.col("outcome") != "dropped")
+    read = _calls_in if keep_dropped else _readable_calls_in
+    found = arrow_rows(messages.filter(written & ~native), F.col("content"), _CALL_ROW, read, keys)
     if "tool_calls" not in messages.columns:
         return found
     listed = messages.filter(native).select(
@@ -259,12 +239,12 @@ def execute_calls(calls: DataFrame, registry: Mapping[str, Callable], tools: Dat
     """
     functions = dict(registry)
 
-    @F.arrow_udf(_RESULT)
-    def run(names: pa.Array, arguments: pa.Array) -> pa.Array:
+    def run(names: pa.Array, arguments: pa.Array) -> list[pa.Array]:
         pairs = zip(names.to_pylist(), arguments.to_pylist())
-        return pa.array([_run_call(functions, name, given) for name, given in pairs], _RESULT_ARROW)
+        return [pa.array([_run_call(functions, name, given) for name, given in pairs], _RESULT_ARROW)]
 
-    ran = calls.withColumn("_result", run.asNondeterministic()(F.col("name"), F.col("arguments")))
+    inputs = {"name": F.col("name"), "arguments": F.col("arguments")}
+    ran = arrow_step(calls, inputs, T.StructType([T.StructField("_result", _RESULT)]), run)
     told = _with_catalog(ran, tools)
     error = F.col("_result.error")
     lowered = F.lower(error)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators.search import attach_text, render_results, search_chunks, top_groups
+from lorekeep.operators.search import attach_text, render_results, search_chunks, top_groups, write_cells
 
 QUERIES = "query_id long, embedding array<float>"
 VECTORS = "question_id long, chunk_id long, embedding array<float>"
@@ -101,6 +101,24 @@ def test_lsh_with_every_cell_is_exact_and_has_recall(spark):
     assert len(hit) / len(exact) > 0.8
 
 
+def test_stored_cells_are_pruned(spark, tmp_path, frames, data):
+    queries, vectors = frames
+    path = str(tmp_path / "cells")
+    write_cells(vectors, path, bits=4)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 600
+    options = dict(group="chunk_id", item="question_id", k=3, method="lsh", bits=4)
+    assert found(top_groups(queries, stored, probes=16, **options)) == brute(*data, 3)
+    assert found(top_groups(queries, stored, probes=16, broadcast_queries=3, **options)) == brute(*data, 3)
+    one = queries.filter("query_id = 1")
+    near = top_groups(one, stored, probes=2, **options)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert found(near) == found(top_groups(one, vectors, probes=2, **options))
+    with pytest.raises(Exception, match="other bits"):
+        top_groups(queries, stored, probes=16, **{**options, "seed": 8}).collect()
+
+
 def test_vectors_of_different_lengths_are_refused(spark):
     frames = spark.createDataFrame([(1, [1.0, 0.0])], QUERIES), spark.createDataFrame([(1, 1, [1.0]), (2, 2, [1.0, 2.0])], VECTORS)
     with pytest.raises(Exception, match="different lengths"):
