@@ -327,7 +327,8 @@ where contains(source, 'src') and contains(source, '1')""",
     "preview": """select doc_id as chunk_id, case when length(text) > 200
   then substr(text, 1, 200) || chr(10) || '... (' || (length(text) - 200) || ' more characters)' else text end as preview
 from documents""",
-    "find_by_text": "select md5(text) as hash, count(*) as chunks from documents group by 1",
+    "find_by_text": """select doc_id as chunk_id, md5(text) as hash from documents
+where md5(text) in (select md5(text) from documents where doc_id in (select doc_id from labels))""",
     "load_report": f"""with {_BATCH}
 select source, stored, complete, failed, questions, round(100.0 * complete / stored, 6)::double as success_rate from counts""",
     "load_total": f"""with {_BATCH}

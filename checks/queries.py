@@ -276,10 +276,10 @@ def preview(spark, folder):
 
 
 def find_by_text(spark, folder):
-    """Which documents hold exactly the text of a benchmark item."""
-    chunks = inputs.document_chunks(spark, folder).select("chunk_id", tx.content_hash(F.col("text")).alias("hash"))
-    wanted = inputs.table(spark, folder, "documents").select(tx.content_hash(F.col("text")).alias("hash")).distinct()
-    return chunks.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("chunks"))
+    """The chunks that hold the text of a labelled document, found by hash."""
+    rows = inputs.table(spark, folder, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
+    wanted = rows.join(inputs.table(spark, folder, "labels"), "doc_id", "left_semi").select("hash")
+    return rows.join(wanted, "hash", "left_semi").select(F.col("doc_id").alias("chunk_id"), "hash")
 
 
 def load_report(spark, folder):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lorekeep.session import materialise
 
 INGEST_ORDER = ("source", "doc_key", "pos")
+# Keys that may be broadcast: 32 characters each.
+BROADCAST_KEYS = 500_000
 
 
 def first_occurrence(
@@ -23,9 +25,19 @@ def first_occurrence(
     return chunks.groupBy(key).agg(first.alias("first")).select("first.*")
 
 
-def without_stored(chunks: DataFrame, stored: DataFrame, key: str = "hash") -> DataFrame:
-    """Rows whose ``key`` the store does not hold, whatever status it has there."""
-    return chunks.join(stored.select(key), key, "left_anti")
+def without_stored(
+    chunks: DataFrame, stored: DataFrame, key: str = "hash", rows: int | None = None
+) -> DataFrame:
+    """Rows whose ``key`` the store does not hold, whatever status it has there.
+
+    ``rows`` is the number of chunks, where it is known. Few of them are broadcast to the scan of
+    the store, of which then only the keys in question are moved; otherwise both sides are
+    shuffled by key.
+    """
+    known = stored.select(key)
+    if rows is not None and rows <= BROADCAST_KEYS:
+        known = known.join(F.broadcast(chunks.select(key)), key, "left_semi")
+    return chunks.join(known, key, "left_anti")
 
 
 def dedup_chunks(

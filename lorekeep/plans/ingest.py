@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorekeep import schemas
 from lorekeep.operators.chunking import chunk_documents
-from lorekeep.operators.dedup import assign_ids, dedup_chunks
+from lorekeep.operators.dedup import assign_ids, first_occurrence, without_stored
 from lorekeep.operators.memory import ingest_stats, latest_status, with_status
 from lorekeep.operators.models import EmbeddingModel, TextModel, explode_questions, index_chunks
 from lorekeep.session import materialise
@@ -24,11 +24,16 @@ class Models:
     dim: int = schemas.EMBEDDING_DIM
 
 
-def new_chunks(docs: DataFrame, store: Store, size: int, overlap: int) -> DataFrame:
-    """Chunks the store does not hold, with their ids."""
+def new_chunks(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> DataFrame:
+    """Chunks the store does not hold, with ids from ``next_id`` on.
+
+    The batch is materialised once it is cut, so that its size can be looked at and its texts are
+    not cut again for the sort.
+    """
     cut = chunk_documents(docs.select("doc_key", "source", "text"), size, overlap)
-    fresh = dedup_chunks(cut, store.chunks)
-    return assign_ids(fresh, store.next_id())
+    batch = materialise(first_occurrence(cut))
+    fresh = without_stored(batch, store.chunks, rows=batch.count())
+    return assign_ids(fresh, next_id)
 
 
 def _status(chunks: DataFrame, attempt: int, status, error=None, questions=None) -> DataFrame:
@@ -41,59 +46,58 @@ def _status(chunks: DataFrame, attempt: int, status, error=None, questions=None)
     )
 
 
-def store_pending(docs: DataFrame, store: Store, size: int, overlap: int) -> DataFrame:
+def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> DataFrame:
     """Phase one: the new chunks are stored as pending. Returns them.
 
     The status goes first: a chunk is never stored without one, and a status left by a failed
     run has no chunk and no effect.
     """
-    added = new_chunks(docs, store, size, overlap)
+    added = new_chunks(docs, store, size, overlap, next_id)
     store.append_status(_status(added, 0, F.lit("pending")))
     store.append_chunks(added)
     return added
 
 
-def pending_chunks(store: Store) -> DataFrame | None:
-    """Chunks that wait for vectors, with the attempts made so far; None when there are none.
+def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, int, int] | None:
+    """Chunks from id ``since`` on that wait for vectors, with the attempts made so far, and the
+    range of their ids; None when there are none.
 
-    Ids are dense and appended in order, so the range of the waiting ids lets the scan of the texts
+    Ids are dense and appended in order, so a range of ids lets the scans of the log and the texts
     skip the files and row groups of everything stored before.
     """
-    status = latest_status(store.chunk_status, ("status",))
+    status = latest_status(store.chunk_status.filter(F.col("chunk_id") >= since), ("status",))
     waiting = status.filter(F.col("status") == "pending").select("chunk_id", "attempt")
     low, high = waiting.agg(F.min("chunk_id"), F.max("chunk_id")).first()
     if low is None:
         return None
     recent = store.chunks.filter(F.col("chunk_id").between(low, high))
-    return recent.join(waiting, "chunk_id")
+    return recent.join(waiting, "chunk_id"), low, high
 
 
-def index_pending(store: Store, models: Models, last: bool) -> bool:
+def index_pending(store: Store, models: Models, last: bool, since: int = 0) -> bool:
     """Phase two: one attempt at every pending chunk; those failing the ``last`` one are failed.
 
-    False when no chunk was pending.
-
     Vectors go before the status, so that a chunk is only complete once it can be found. Vectors
-    of an attempt that broke off are skipped when it is repeated.
+    of an attempt that broke off are skipped when it is repeated. False when no chunk was pending.
     """
-    waiting = pending_chunks(store)
-    if waiting is None:
+    found = pending_chunks(store, since)
+    if found is None:
         return False
+    waiting, low, high = found
     done = index_chunks(waiting, models.summarize, models.embed, dim=models.dim)
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
-    held = store.questions.select("chunk_id")
+    held = store.questions.select("chunk_id").filter(F.col("chunk_id").between(low, high))
     store.append_questions(explode_questions(done).join(held, "chunk_id", "left_anti"))
     outcome = F.when(F.col("status") == "complete", "complete").otherwise(
         F.lit("failed" if last else "pending")
     )
-    found = F.when(F.col("status") == "complete", F.col("questions"))
     store.append_status(
         done.select(
             "chunk_id",
             (F.col("attempt") + 1).alias("attempt"),
             outcome.alias("status"),
             "error",
-            found.alias("questions"),
+            F.when(F.col("status") == "complete", F.col("questions")).alias("questions"),
         )
     )
     return True
@@ -106,14 +110,18 @@ def ingest(
     size: int = schemas.CHUNK_SIZE,
     overlap: int = schemas.CHUNK_OVERLAP,
     max_attempts: int = 3,
+    resume: bool = True,
 ) -> DataFrame:
     """Store and index ``doc_key, source, text`` rows; one row of statistics comes back.
 
-    Pending chunks left by an earlier run are indexed as well.
+    With ``resume``, pending chunks left by an earlier run are indexed as well; without it only the
+    log entries of the new chunks are read.
     """
-    added = store_pending(docs, store, size, overlap)
+    next_id = store.next_id()
+    since = 0 if resume else next_id
+    added = store_pending(docs, store, size, overlap, next_id)
     for attempt in range(1, max_attempts + 1):
-        if not index_pending(store, models, last=attempt == max_attempts):
+        if not index_pending(store, models, attempt == max_attempts, since):
             break
     return batch_stats(added, store)
 

@@ -22,11 +22,15 @@ def ingest_stream(
     """Ingest every micro-batch of ``doc_key, source, text`` rows.
 
     A replayed batch adds nothing: its chunks are already known by hash, and chunks whose vectors
-    are missing are still pending and get them then.
+    are missing are still pending and get them then. Only the first batch after a start can be a
+    replay, so only that one looks for pending chunks in the whole log.
     """
+    started = False
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, store, models, size, overlap).collect()
+        nonlocal started
+        ingest(batch, store, models, size, overlap, resume=not started)
+        started = True
 
     return (
         docs.writeStream.foreachBatch(add)

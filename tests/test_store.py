@@ -65,7 +65,7 @@ def test_a_failing_model_leaves_chunks_pending_until_the_last_attempt(spark, sto
         return [[1.0, float(len(text))] for text in texts]
 
     given = ing.Models(fails_on_dogs, vectors)
-    ing.store_pending(docs, store, 4000, 400)
+    ing.store_pending(docs, store, 4000, 400, 0)
     ing.index_pending(store, given, last=False)
     status = memory.latest_status(store.chunk_status)
     assert {(r.chunk_id, r.status, r.attempt) for r in status.collect()} == {(0, "complete", 1), (1, "pending", 1)}
@@ -203,15 +203,26 @@ def test_stream_adds_each_file_once(spark, store, tmp_path, rows):
 
 def test_a_batch_cut_off_half_way_is_completed_by_its_replay(spark, store, rows):
     docs = spark.createDataFrame([("1", "s", words("cats"))], DOCS)
-    ing.store_pending(docs, store, 4000, 400)
+    ing.store_pending(docs, store, 4000, 400, 0)
     # The run ends here; the vectors of its next step are written, its status is not.
-    done = models.index_chunks(ing.pending_chunks(store))
+    done = models.index_chunks(ing.pending_chunks(store)[0])
     store.append_questions(models.explode_questions(done))
+    assert ing.pending_chunks(store, since=1) is None
     ing.ingest(docs, store)
     assert store.chunks.count() == 1 and store.questions.count() == 2
     assert rows(memory.latest_status(store.chunk_status), "chunk_id", "status") == [(0, "complete")]
 
 
+def test_new_chunks_are_compared_with_the_store_either_way(spark, store, rows, monkeypatch):
+    from lorekeep.operators import dedup
+
+    ing.ingest(spark.createDataFrame([("1", "s", words("cats"))], DOCS), store)
+    both = spark.createDataFrame([("1", "t", words("cats")), ("2", "t", words("dogs"))], DOCS)
+    for limit in (500_000, 0):
+        monkeypatch.setattr(dedup, "BROADCAST_KEYS", limit)
+        assert rows(ing.new_chunks(both, store, 4000, 400, 1), "chunk_id", "doc_key") == [(1, "2")]
+
+
 def test_listings(spark, rows):
     chunks = spark.createDataFrame(
         [(1, "x" * 12, "file:a"), (2, "y", "file:b"), (3, None, "chat")], "chunk_id long, text string, source string"
