@@ -15,7 +15,9 @@ from lorekeep.operators.toolcalls import OPEN_TAG
 
 BLOCK_TURNS = 4096
 BROADCAST_CONVERSATIONS = 100_000
+# The answer at the step limit, and the digest of an empty conversation.
 MAX_STEPS_ANSWER = "I've reached the maximum number of steps. Let me summarize what I found..."
+NO_MESSAGES = "No messages yet"
 
 _FIRST, _LAST, _HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
@@ -79,7 +81,7 @@ def digest(
     grouped = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
     text = F.array_join(F.transform("_lines", lambda entry: entry["line"]), "\n")
     return grouped.select(
-        "conv_id", F.when(F.size("_lines") == 0, "No messages yet").otherwise(text).alias("digest")
+        "conv_id", F.when(F.size("_lines") == 0, NO_MESSAGES).otherwise(text).alias("digest")
     )
 
 

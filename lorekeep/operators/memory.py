@@ -161,14 +161,19 @@ def failures(batch: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+# The answers to a store call.
+STORED_NOTHING = (
+    "Information NOT stored - this appears to be a duplicate or already exists in memory. "
+    "No need to store again."
+)
+STORED_ONE = "Stored 1 new chunk in memory successfully."
+STORED_MANY = "Stored %d new chunks in memory successfully."
+
+
 def store_outcome(stored: Column) -> Column:
     """Text for the number of new chunks."""
     return (
-        F.when(
-            stored == 0,
-            "Information NOT stored - this appears to be a duplicate or already exists in memory. "
-            "No need to store again.",
-        )
-        .when(stored == 1, "Stored 1 new chunk in memory successfully.")
-        .otherwise(F.format_string("Stored %d new chunks in memory successfully.", stored))
+        F.when(stored == 0, STORED_NOTHING)
+        .when(stored == 1, STORED_ONE)
+        .otherwise(F.format_string(STORED_MANY, stored))
     )

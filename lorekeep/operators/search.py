@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lorekeep import schemas
 from lorekeep.operators.arrow import arrow_step
 
+# Fixed value: the answer when there is no hit.
+NOTHING_FOUND = "No relevant information found in memory"
+
 RANK_DIGITS = 9
 # Largest query set that is sent to every task: rows, and bytes as doubles.
 BROADCAST_QUERIES = 8192
@@ -35,6 +38,7 @@ CELL_QUERIES = 32768
 CELL_VECTORS = 32768
 # Similarities held at once by one task.
 _BLOCK_CELLS = 4_000_000
+_BLOCK_ROWS = 8192
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -122,7 +126,16 @@ class _Kernel:
     def columns(self) -> list[str]:
         return ["query_id", self.group, self.item, "similarity"]
 
-    def scan(self, block: pa.RecordBatch | pa.Table, queries: _Queries) -> Iterator[pa.RecordBatch]:
+    def start(self, queries: _Queries) -> np.ndarray:
+        """Per query the similarity that a further candidate has to reach; unknown at first."""
+        return np.full(len(queries.ids), -np.inf)
+
+    def scan(
+        self, block: pa.RecordBatch | pa.Table, queries: _Queries, floors: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        """Candidates of a block. ``floors`` is raised by what the block holds: once ``k`` groups
+        are known for a query, later blocks give only what is at least as good as the last of them.
+        """
         if not len(queries.ids) or not block.num_rows:
             return
         table = pa.table(block) if isinstance(block, pa.RecordBatch) else block
@@ -138,7 +151,7 @@ class _Kernel:
         stored = table.column("cell").take(pa.array(kept)).to_numpy() if "cell" in table.column_names else None
         table = table.select([self.group, self.item]).take(pa.array(kept))
         if self.planes is None:
-            yield from self._best(table, unit, queries.ids, queries.unit)
+            yield from self._best(table, unit, queries.ids, queries.unit, floors)
             return
         probed = self.planes.probed(queries.unit)
         codes = self.planes.codes(unit)
@@ -148,41 +161,77 @@ class _Kernel:
             asking = np.flatnonzero((probed == code).any(axis=1))
             if len(asking):
                 inside = np.flatnonzero(codes == code)
+                reached = floors[asking]
                 yield from self._best(
-                    table.take(pa.array(inside)), unit[inside], queries.ids[asking], queries.unit[asking]
+                    table.take(pa.array(inside)), unit[inside], queries.ids[asking], queries.unit[asking], reached
                 )
+                floors[asking] = reached
 
     def _best(
-        self, table: pa.Table, unit: np.ndarray, ids: np.ndarray, wanted: np.ndarray
+        self, table: pa.Table, unit: np.ndarray, ids: np.ndarray, wanted: np.ndarray, floors: np.ndarray
     ) -> Iterator[pa.RecordBatch]:
         width = max(1, _BLOCK_CELLS // len(unit))
-        if not self.cap:
+        keep = self.cap or self.k
+        if self.cap:
+            heads = number = np.arange(len(unit))
+        else:
             groups = table.column(self.group).combine_chunks()
             codes = groups.dictionary_encode().indices.to_numpy()
             heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             number = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(codes)]))
         for first in range(0, len(ids), width):
             part = slice(first, first + width)
-            scores = np.round(unit @ wanted[part].T, RANK_DIGITS) + 0.0
-            if self.cap:
-                query, row = _top_per_query(scores, self.cap)
-                best = scores[row, query]
-            else:
-                tops = np.maximum.reduceat(scores, heads, axis=0)
-                query, head = _top_per_query(tops, self.k)
-                best = tops[head, query]
-                row = self._first_best(scores, number, heads, head, query, best)
-            picked = table.take(pa.array(row))
+            scores = unit @ wanted[part].T
+            picked = self._above(scores, number, floors[part], keep)
+            if picked is None:
+                picked = self._all(scores, number, heads, keep)
+            query, row, best = picked
+            found = np.bincount(query, minlength=scores.shape[1])
+            full = np.flatnonzero(found >= keep)
+            # Candidates come by query, the best first.
+            last = best[np.cumsum(found)[full] - 1]
+            floors[part][full] = np.maximum(floors[part][full], last)
+            if not len(query):
+                continue
+            names = table.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[part][query]),
-                    picked.column(self.group).combine_chunks(),
-                    picked.column(self.item).combine_chunks(),
+                    names.column(self.group).combine_chunks(),
+                    names.column(self.item).combine_chunks(),
                     pa.array(best, pa.float64()),
                 ],
                 names=self.columns(),
             )
 
+    def _all(self, scores: np.ndarray, number: np.ndarray, heads: np.ndarray, keep: int):
+        """(query, row, similarity) of the best rows or groups of a block nothing is known about."""
+        scores = np.round(scores, RANK_DIGITS) + 0.0
+        tops = scores if self.cap else np.maximum.reduceat(scores, heads, axis=0)
+        query, head = _top_per_query(tops, keep)
+        best = tops[head, query]
+        row = head if self.cap else self._first_best(scores, number, heads, head, query, best)
+        return query, row, best
+
+    @staticmethod
+    def _above(scores: np.ndarray, number: np.ndarray, floors: np.ndarray, keep: int):
+        """The same from the few entries that reach the floors; None when they are not few."""
+        if not np.isfinite(floors).all():
+            return None
+        row, query = np.nonzero(scores >= floors - 10.0**-RANK_DIGITS)
+        if len(row) * 8 > scores.size:
+            return None
+        best = np.round(scores[row, query], RANK_DIGITS) + 0.0
+        order = np.lexsort((row, -best, number[row], query))
+        query, row, best = query[order], row[order], best[order]
+        group = number[row]
+        new = np.r_[True, (query[1:] != query[:-1]) | (group[1:] != group[:-1])][: len(row)]
+        query, row, best, group = query[new], row[new], best[new], group[new]
+        order = np.lexsort((group, -best, query))
+        query, row, best = query[order], row[order], best[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query, side="left") < keep
+        return query[kept], row[kept], best[kept]
+
     @staticmethod
     def _first_best(scores, number, heads, head, query, best) -> np.ndarray:
         """Row that gave each picked group its best score; the smallest item among equals."""
@@ -218,8 +267,10 @@ def _scan_with_broadcast(vectors: DataFrame, kernel: _Kernel, queries: _Queries,
     shared = vectors.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        floors = kernel.start(queries)
         for batch in batches:
-            yield from kernel.scan(batch, shared.value)
+            yield from kernel.scan(batch, queries, floors)
 
     return _with_vector(vectors).mapInArrow(run, schema)
 
@@ -233,8 +284,14 @@ def _scan_in_cells(
     vector_cells = -(-vectors.select(kernel.item).count() // cell_vectors) or 1
     every_query_cell = F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1)))
     every_vector_cell = F.explode(F.sequence(F.lit(0), F.lit(vector_cells - 1)))
-    left = _with_vector(queries).withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).cast("int"))
-    left = left.withColumn("_v", every_vector_cell)
+    # Wrapped in a struct, the vectors stay apart from those of the other side when both come from the
+    # same table.
+    left = _with_vector(queries).select(
+        "query_id",
+        F.struct("embedding").alias("_asked"),
+        F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).cast("int").alias("_q"),
+        every_vector_cell.alias("_v"),
+    )
     placed = F.pmod(F.xxhash64(kernel.group, kernel.item), F.lit(vector_cells)).cast("int")
     right = _with_vector(vectors).withColumn("_v", placed).withColumn("_q", every_query_cell)
 
@@ -242,10 +299,11 @@ def _scan_in_cells(
         out = []
         if asked.num_rows and held.num_rows:
             asked = asked.combine_chunks()
-            wanted = _Queries.of(
-                asked.column("query_id").combine_chunks(), asked.column("embedding").combine_chunks()
-            )
-            out = list(kernel.scan(held, wanted))
+            vectors_asked = asked.column("_asked").combine_chunks().field("embedding")
+            wanted = _Queries.of(asked.column("query_id").combine_chunks(), vectors_asked)
+            floors = kernel.start(wanted)
+            for first in range(0, held.num_rows, _BLOCK_ROWS):
+                out += kernel.scan(held.slice(first, _BLOCK_ROWS), wanted, floors)
         if out:
             return pa.Table.from_batches(out)
         empty = [pa.array([], pa.int64()), held.column(kernel.group).slice(0, 0), held.column(kernel.item).slice(0, 0)]
@@ -413,9 +471,8 @@ def render_results(hits: DataFrame, queries: DataFrame) -> DataFrame:
             "\n",
         ).alias("answer")
     )
-    nothing = F.lit("No relevant information found in memory")
     return (
         queries.select("query_id")
         .join(listed, "query_id", "left")
-        .select("query_id", F.coalesce("answer", nothing).alias("answer"))
+        .select("query_id", F.coalesce("answer", F.lit(NOTHING_FOUND)).alias("answer"))
     )

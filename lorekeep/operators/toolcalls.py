@@ -108,51 +108,67 @@ def _decoded(arguments: Column) -> Column:
     return F.from_json(arguments, "map<string,string>")
 
 
-def _listed(params: Column, names: Column, label: Callable[[Column], Column], missing: str) -> Column:
-    """One bullet per parameter in ``names``."""
+# The texts given back to a caller whose call failed.
+FAILED = "Tool call failed: %s\n\nError: %s\n\n"
+INVALID = "Invalid parameter(s): %s\n\n"
+MISSING = "Missing required parameter(s): %s\n\n"
+VALID_HEAD = "Valid parameters for this tool:\n"
+REQUIRED_HEAD = "Required parameters:\n"
+OPTIONAL_HEAD = "\nOptional parameters:\n"
+INVALID_TAIL = "\nPlease call the tool again with only the valid parameters listed above."
+MISSING_TAIL = "\nPlease call the tool again with all required parameters."
+UNKNOWN = "Error: Unknown tool '%s'"
+GENERIC = "Error executing %s: %s"
+NO_DESCRIPTION = "No description"
+
+
+def _listed(names: Column, label: Callable[[Column], Column]) -> Column:
+    """One bullet per parameter in ``names``, with its description."""
 
     def bullet(name: Column) -> Column:
-        about = F.try_element_at(params, name)
-        return F.concat(
-            F.lit("  • "), name, label(name), F.lit(": "), F.coalesce(about["description"], F.lit(missing)), F.lit("\n")
-        )
+        about = F.coalesce(F.try_element_at("_params", name)["description"], F.lit(NO_DESCRIPTION))
+        return F.concat(F.lit("  • "), name, label(name), F.lit(": "), about, F.lit("\n"))
 
     return F.array_join(F.transform(names, bullet), "")
 
 
-def _report(kind: str, error: Column) -> Column:
-    """Error text for a call with invalid or missing parameters."""
-    params = F.coalesce("params", F.create_map().cast(schemas.PARAMS))
-    required = F.coalesce("required", F.array().cast("array<string>"))
-    head = F.concat(F.lit("Tool call failed: "), F.col("name"), F.lit("\n\nError: "), error, F.lit("\n\n"))
-    none = "No description"
-    if kind == "invalid":
-        flag = lambda name: F.when(F.array_contains(required, name), " (required)").otherwise(" (optional)")
-        return F.concat(
-            head,
-            F.when(
-                F.size("invalid") > 0,
-                F.concat(F.lit("Invalid parameter(s): "), F.array_join("invalid", ", "), F.lit("\n\n")),
-            ).otherwise(""),
-            F.lit("Valid parameters for this tool:\n"),
-            _listed(params, F.map_keys(params), flag, none),
-            F.lit("\nPlease call the tool again with only the valid parameters listed above."),
-        )
-    plain = lambda name: F.lit("")
-    optional = F.array_except(F.map_keys(params), required)
+def _named(template: str, names: str) -> Column:
+    """The names in the template, or nothing when there are none."""
+    text = F.format_string(template, F.array_join(names, ", "))
+    return F.when(F.size(names) > 0, text).otherwise("")
+
+
+def _invalid_report(error: Column) -> Column:
+    """Report on a call with parameters the tool does not have."""
+
+    def flag(name: Column) -> Column:
+        return F.when(F.array_contains("_required", name), " (required)").otherwise(" (optional)")
+
     return F.concat(
-        head,
-        F.when(
-            F.size("missing") > 0,
-            F.concat(F.lit("Missing required parameter(s): "), F.array_join("missing", ", "), F.lit("\n\n")),
-        ).otherwise(""),
-        F.lit("Required parameters:\n"),
-        _listed(params, required, plain, none),
-        F.when(
-            F.size(F.map_keys(params)) > F.size(required),
-            F.concat(F.lit("\nOptional parameters:\n"), _listed(params, optional, plain, none)),
-        ).otherwise(""),
-        F.lit("\nPlease call the tool again with all required parameters."),
+        F.format_string(FAILED, F.col("name"), error),
+        _named(INVALID, "invalid"),
+        F.lit(VALID_HEAD),
+        _listed(F.map_keys("_params"), flag),
+        F.lit(INVALID_TAIL),
+    )
+
+
+def _missing_report(error: Column) -> Column:
+    """Report on a call that lacks required parameters."""
+
+    def plain(name: Column) -> Column:
+        return F.lit("")
+
+    optional = F.concat(
+        F.lit(OPTIONAL_HEAD), _listed(F.array_except(F.map_keys("_params"), "_required"), plain)
+    )
+    return F.concat(
+        F.format_string(FAILED, F.col("name"), error),
+        _named(MISSING, "missing"),
+        F.lit(REQUIRED_HEAD),
+        _listed(F.col("_required"), plain),
+        F.when(F.size("_params") > F.size("_required"), optional).otherwise(""),
+        F.lit(MISSING_TAIL),
     )
 
 
@@ -162,21 +178,25 @@ def _with_catalog(calls: DataFrame, tools: DataFrame) -> DataFrame:
     A tool that a third of all calls name is one row on the right side: the join is a broadcast
     for a small catalog, and for a large one the skewed partition is split at run time.
     """
-    catalog = tools.select("name", "params", "required", F.lit(True).alias("known"))
-    joined = calls.join(catalog, "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    given = F.map_keys(_decoded(F.col("arguments")))
     nothing = F.array().cast("array<string>")
-    valid = F.coalesce(F.map_keys("params"), nothing)
-    return joined.withColumn("_given", F.coalesce(given, nothing)).withColumns(
+    catalog = tools.select(
+        "name",
+        F.coalesce("params", F.create_map().cast(schemas.PARAMS)).alias("_params"),
+        F.coalesce("required", nothing).alias("_required"),
+        F.lit(True).alias("known"),
+    )
+    joined = calls.join(catalog, "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    given = F.coalesce(F.map_keys(_decoded(F.col("arguments"))), nothing)
+    return joined.withColumns(
         {
-            "invalid": F.when(F.col("known"), F.array_except("_given", valid)),
-            "missing": F.when(F.col("known"), F.array_except(F.coalesce("required", nothing), "_given")),
+            "invalid": F.when(F.col("known"), F.array_except(given, F.map_keys("_params"))),
+            "missing": F.when(F.col("known"), F.array_except("_required", given)),
         }
-    ).drop("_given")
+    )
 
 
 def unknown_tool_text(name: Column) -> Column:
-    return F.concat(F.lit("Error: Unknown tool '"), name, F.lit("'"))
+    return F.format_string(UNKNOWN, name)
 
 
 def unknown_tools(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -196,10 +216,10 @@ def validate_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
     )
     report = (
         F.when(F.col("verdict") == "unknown", unknown_tool_text(F.col("name")))
-        .when(F.col("verdict") == "invalid", _report("invalid", F.lit("invalid params")))
-        .when(F.col("verdict") == "missing", _report("missing", F.lit("missing required params")))
+        .when(F.col("verdict") == "invalid", _invalid_report(F.lit("invalid params")))
+        .when(F.col("verdict") == "missing", _missing_report(F.lit("missing required params")))
     )
-    return checked.withColumn("verdict", verdict).withColumn("report", report).drop("params", "required", "known")
+    return checked.withColumn("verdict", verdict).withColumn("report", report).drop("_params", "_required", "known")
 
 
 def register(registry: Mapping[str, Callable], name: str, fn: Callable) -> dict[str, Callable]:
@@ -223,7 +243,7 @@ _RESULT_ARROW = pa.struct([("value", pa.string()), ("error", pa.string())])
 
 def _run_call(registry: Mapping[str, Callable], name: str | None, arguments: str | None) -> dict:
     if name not in registry:
-        return {"value": f"Error: Unknown tool '{name}'"}
+        return {"value": UNKNOWN % name}
     try:
         given = json.loads(arguments if arguments is not None else "{}")
         return {"value": str(registry[name](**given))}
@@ -247,16 +267,12 @@ def execute_calls(calls: DataFrame, registry: Mapping[str, Callable], tools: Dat
     ran = arrow_step(calls, inputs, T.StructType([T.StructField("_result", _RESULT)]), run)
     told = _with_catalog(ran, tools)
     error = F.col("_result.error")
-    lowered = F.lower(error)
-    generic = F.concat(F.lit("Error executing "), F.col("name"), F.lit(": "), error)
+    kind = classify_tool_errors(error)
     content = (
         F.when(error.isNull(), F.col("_result.value"))
-        .when(
-            lowered.contains("invalid params") | lowered.contains("unexpected additional properties"),
-            _report("invalid", error),
-        )
-        .when(lowered.contains("required") | lowered.contains("missing"), _report("missing", error))
-        .otherwise(generic)
+        .when(kind == "invalid_params", _invalid_report(error))
+        .when(kind == "missing_params", _missing_report(error))
+        .otherwise(F.format_string(GENERIC, F.col("name"), error))
     )
     return told.select(
         "conv_id", "turn", "ordinal", F.col("id").alias("tool_call_id"), "name",

@@ -12,7 +12,7 @@ _ROW = (
     "name STRING, description STRING, example_queries ARRAY<STRING>, "
     "query_stats ARRAY<STRUCT<query: STRING, embedding_norm: DOUBLE>>"
 )
-_NOTE = "Embeddings are stored in memory only, not persisted to disk"
+_NOTE = "Vectors are not part of this file"
 
 
 def read_tool_index(spark: SparkSession, path: str) -> DataFrame:

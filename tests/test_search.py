@@ -61,6 +61,26 @@ def test_matches_brute_force(frames, data, k, cap, tuning):
     assert found(got) == brute(*data, k, cap)
 
 
+@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 5, "cell_queries": 50, "cell_vectors": 100}])
+def test_queries_from_the_searched_table(frames, data, tuning):
+    _, vectors = frames
+    asked = vectors.select(F.col("question_id").alias("query_id"), "embedding")
+    got = top_groups(asked, vectors, group="chunk_id", item="question_id", k=2, **tuning)
+    assert found(got) == brute([(item, v) for item, _, v in data[1] if any(v)], data[1], 2)
+
+
+@pytest.mark.parametrize("k, cap", [(3, None), (2, 4), (100, None)])
+def test_many_small_batches_per_task(spark, frames, data, k, cap):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "25")
+    try:
+        got = top_groups(*frames, group="chunk_id", item="question_id", k=k, cap=cap)
+        assert found(got) == brute(*data, k, cap)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_similarities_fall_and_chunks_are_distinct(frames):
     rows = search_chunks(*frames, k=5).orderBy("query_id", "rank").collect()
     by_query = {}
