@@ -90,6 +90,7 @@ def _kinds(*texts: Column) -> Column:
 
 def tool_messages(spark: SparkSession, folder: str) -> DataFrame:
     """A log of tool calls, well-formed and broken: a conversation per user, a turn per event."""
+    events = read_table(spark, f"{folder}/events.parquet", spread_by="event_id")
     name = F.concat(F.lit('"name": "'), F.col("event_type"), F.lit('"'))
     call = F.concat(F.lit("{"), name, F.lit(', "arguments": '), F.col("props"), F.lit("}"))
     quoted = F.replace("props", F.lit('"'), F.lit('\\"'))
@@ -111,11 +112,20 @@ def tool_messages(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "error", "tool")
         .otherwise("assistant")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"), content.alias("content")
     )
 
 
+def timed_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as messages with a timestamp."""
+    role = F.when(F.col("event_type") == "view", "user").otherwise("assistant")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"),
+        F.col("props").alias("content"), "ts",
+    )
+
+
 def event_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Tools named after the event types, except ``error``, which stays unregistered."""
     names = table(spark, folder, "events").select(F.col("event_type").alias("name")).distinct()

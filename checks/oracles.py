@@ -264,14 +264,6 @@ select query_id::bigint as query_id, rank, chunk_id, round(sim, 6) as similarity
 near as (select * from scores qualify row_number() over (partition by query_id order by sim desc, vec_id) <= 6),
 top as ({_top_chunks('near', 3)})
 select query_id::bigint as query_id, rank, chunk_id, round(sim, 6) as similarity from top""",
-    "search_in_cells": f"""
-with held as (select vec_id, embedding::double[] as v from embeddings),
-scores as (
-  select a.vec_id as query_id, b.vec_id // 10 as chunk_id,
-         round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) as sim
-  from held a, held b),
-top as ({_top_chunks('scores', 3)})
-select query_id, rank, chunk_id, round(sim, 6) as similarity from top""",
     "retrieve_with_text": f"""with {_LABELS}, top as ({_top_chunks('scores', 3)})
 select query_id::bigint as query_id, rank, chunk_id, round(sim, 6) as similarity, source, text
 from top join documents on doc_id = chunk_id where text <> ''""",
@@ -513,6 +505,10 @@ def _refined() -> str:
   then '[' || text || ']' else text end as refined from conversations where role = 'assistant'"""
 
 
+SQL["search_in_cells"] = SQL["search_topk_exact"]
+SQL["export_timestamps"] = """
+select user_id as conv_id, event_id as turn, case when event_type = 'view' then 'user' else 'assistant' end as role,
+       replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') as timestamp from events"""
 SQL["lsh_topk"] = _lsh()
 SQL["refine_answers"] = _refined()
 SQL["history_stream"] = f"""{_HISTORY}

@@ -98,10 +98,13 @@ def search_topk_capped(spark, folder):
 
 
 def search_in_cells(spark, folder):
-    """The plan for query sets too large to broadcast, every vector being a query."""
-    queries = inputs.table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    """The plan for query sets too large to broadcast."""
     found = search.search_chunks(
-        queries, inputs.vectors(spark, folder), broadcast_queries=0, cell_queries=256, cell_vectors=512
+        inputs.label_queries(spark, folder),
+        inputs.vectors(spark, folder),
+        broadcast_queries=0,
+        cell_queries=4,
+        cell_vectors=256,
     )
     return _rounded(found)
 
@@ -521,6 +524,10 @@ def export_messages(spark, folder):
     return cv.export_messages(inputs.messages(spark, folder)).select("conv_id", "turn", "role", "content", "wire")
 
 
+def export_timestamps(spark, folder):
+    return cv.export_messages(inputs.timed_messages(spark, folder)).select("conv_id", "turn", "role", "timestamp")
+
+
 def history_stream(spark, folder):
     """The history window kept by a stream over the conversations, after its last batch."""
     schema = inputs.table(spark, folder, "conversations").schema
@@ -561,7 +568,7 @@ _ALL: tuple[Query, ...] = (
     catalog_flatten, rpc_result_text, tool_wire_json, render_tool_prompt, extract_tool_calls,
     incomplete_calls, unknown_tools, validate_calls, batch_tool_execution, batch_retrieve_calls,
     batch_store_calls, classify_errors, history_window, history_reset, prompt_window, digest,
-    exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages,
+    exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
     history_stream,
 )
 

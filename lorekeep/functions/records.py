@@ -33,4 +33,5 @@ def tool_json(name: Column, description: Column, parameters_json: Column) -> Col
 
 
 def iso_timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO form; the fraction has six digits and is left out when it is zero."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")

@@ -11,6 +11,9 @@ from lorekeep.functions import prompts, text as tx, vectors as vx
 from lorekeep.operators.models import EmbeddingModel, TextModel, embed, with_answer
 from lorekeep.operators.search import top_groups
 
+# Longest text of a whole catalog in one prompt, far above what models read.
+CATALOG_CHARS = 4_000_000
+
 
 def cached_summaries(tools: DataFrame, index: DataFrame) -> DataFrame:
     """Tools with the summaries an earlier index holds under their name.
@@ -203,8 +206,9 @@ def render_tool_prompt(
     """``query_id, prompt``: the base message with the selected tools of each query.
 
     A query of ``queries`` without any selected tool is shown every tool, and the base message
-    alone when the catalog is empty. That whole-catalog prompt is built once, in one row, and only
-    when ``queries`` is given: it is meant for catalogs that fit into a model's context.
+    alone when the catalog is empty. That whole-catalog prompt is one text, built only when
+    ``queries`` is given and after its size was looked at: a catalog that no model could read is an
+    error.
     """
     block = tool_block(F.col("tool"), F.col("description"), F.col("params"), F.col("required"))
     blocks = selected_definitions(selected.select("query_id", "rank", "tool"), tools).select(
@@ -219,10 +223,14 @@ def render_tool_prompt(
     shown = blocks.groupBy("query_id").agg(_joined_blocks("rank").alias("_tools"))
     if queries is None:
         return shown.select("query_id", message(F.col("_tools")).alias("prompt"))
-    whole = tools.select(
+    every = tools.select(
         F.col("name").alias("_name"),
         tool_block(F.col("name"), F.col("description"), F.col("params"), F.col("required")).alias("_block"),
-    ).agg(_joined_blocks("_name")).scalar()
+    )
+    size = every.agg(F.sum(F.char_length("_block"))).first()[0] or 0
+    if size > CATALOG_CHARS:
+        raise ValueError(f"a prompt with every tool would have {size} characters; select tools for all queries")
+    whole = every.agg(_joined_blocks("_name")).scalar()
     asked = queries.select(F.col("query_id").cast("long").alias("query_id")).join(shown, "query_id", "left")
     described = F.nullif(F.coalesce("_tools", whole), F.lit(""))
     return asked.select("query_id", F.coalesce(message(described), F.lit(base)).alias("prompt"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorekeep import schemas
 from lorekeep.operators.chunking import chunk_documents
@@ -10,6 +10,7 @@ from lorekeep.operators.dedup import dedup_chunks
 from lorekeep.operators.memory import store_outcome
 from lorekeep.operators.models import EmbeddingModel, TextModel, embed, expand_queries
 from lorekeep.operators.search import attach_text, render_results, search_chunks
+from lorekeep.operators.toolcalls import tool_row
 from lorekeep.sources.documents import notes_to_docs
 
 # The built-in tools.
@@ -34,6 +35,20 @@ MEMORY_TOOL_PARAMETERS = {
     },
 }
 
+MEMORY_TOOL_DESCRIPTIONS = {
+    RETRIEVE_TOOL: "Search the stored documents for details, examples and instructions.",
+    STORE_TOOL: "Keep information that is new and worth remembering.",
+}
+
+
+def memory_tools(spark: SparkSession) -> DataFrame:
+    """Catalog rows of the two built-in tools."""
+    rows = [
+        tool_row(spark, name, MEMORY_TOOL_DESCRIPTIONS[name], parameters)
+        for name, parameters in MEMORY_TOOL_PARAMETERS.items()
+    ]
+    return rows[0].unionByName(rows[1])
+
 
 def retrieve(
     queries: DataFrame,

@@ -157,6 +157,11 @@ def test_notes(spark, rows):
     assert rows(notes_to_docs(notes)) == [("1", "chat", "c: i"), ("2", "chat", "j")]
 
 
+def test_built_in_tools(spark):
+    got = {r.name: r for r in rt.memory_tools(spark).collect()}
+    assert got[rt.RETRIEVE_TOOL].required == ["query"] and set(got[rt.STORE_TOOL].params) == {"information", "context"}
+
+
 def test_tool_calls_on_the_memory(spark, rows):
     chunks = spark.createDataFrame([(1, words("cats"), "s"), (2, words("dogs"), "s")], "chunk_id long, text string, source string")
     questions = models.explode_questions(models.index_chunks(chunks))

@@ -85,3 +85,19 @@ def test_statements_far_down_are_found(statements):
 def test_blank(spark):
     df = spark.createDataFrame([("  \n",), ("",), (" x ",)], "t string")
     assert [r[0] for r in df.select(tx.is_blank(F.col("t"))).collect()] == [True, True, False]
+
+
+def test_prompts_hold_their_inputs(spark):
+    from lorekeep.functions import prompts
+
+    df = spark.createDataFrame([("100% [text]", "name")], "t string, n string")
+    text, name = F.col("t"), F.col("n")
+    made = df.select(
+        prompts.summary_prompt(text, 2),
+        prompts.tool_summary_prompt(name, text, 5),
+        prompts.expand_prompt(text),
+        prompts.refine_prompt(name, text),
+        prompts.plan_prompt(text),
+    ).first()
+    assert all("100% [text]" in prompt for prompt in made)
+    assert "5 statements" in made[1] and "name" in made[1] and "name" in made[3]

@@ -85,7 +85,7 @@ def test_index_files(spark, summaries, rows, tmp_path):
     assert tuple(empty) == (0, 0)
 
 
-def test_prompt_rendering(spark):
+def test_prompt_rendering(spark, monkeypatch):
     parameters = {"properties": {"q": {"type": "string", "description": "What"}, "n": {"type": "integer"}}, "required": ["q"]}
     catalog = tool_row(spark, "find", "Finds", parameters).unionByName(tool_row(spark, "stop", "Stops", {}))
     selected = spark.createDataFrame([(1, 1, "find"), (1, 2, "lost"), (3, 1, "lost")], "query_id long, rank int, tool string")
@@ -99,6 +99,9 @@ def test_prompt_rendering(spark):
     assert got[1] == f"Base.\n\n# Available Tools\n{block}\n\nEnd."
     # A query without a selection is shown every tool.
     assert "find: Finds" in got[2] and "stop: Stops" in got[2]
+    with pytest.raises(ValueError, match="select tools"):
+        monkeypatch.setattr(tl, "CATALOG_CHARS", 10)
+        tl.render_tool_prompt(selected, catalog, "Base.", asked)
     nothing = tl.render_tool_prompt(selected, catalog.limit(0), "Base.", asked, "End.").collect()
     assert {r.prompt for r in nothing} == {"Base."}
 
