@@ -116,21 +116,24 @@ def ingest_stats(batch: DataFrame, store: DataFrame) -> DataFrame:
     Both inputs carry ``status`` and ``questions``. The batch counts are exact per batch; the
     store-wide ones have names of their own.
     """
-    in_batch = batch.agg(*_counts()).select(
-        F.col("stored").alias("chunks_stored"),
-        F.col("complete").alias("chunks_complete"),
-        F.col("failed").alias("chunks_failed"),
-        F.col("questions").alias("questions_generated"),
-    )
-
-    def of_store(value: Column) -> Column:
-        return store.agg(value).scalar()
-
-    return in_batch.select(
-        "*",
-        of_store(F.count("*")).alias("total_chunks"),
-        of_store(_is("complete")).alias("total_complete"),
-        of_store(_is("failed")).alias("total_failed"),
+    def tagged(rows: DataFrame, of_batch: bool, made: Column) -> DataFrame:
+        return rows.select(F.lit(of_batch).alias("_batch"), "status", made.alias("_made"))
+
+    made = F.when(F.col("status") == "complete", F.coalesce(F.size("questions"), F.lit(0)))
+    both = tagged(batch, True, made).unionByName(tagged(store, False, F.lit(None).cast("int")))
+
+    def counted(of_batch: bool, status: str | None = None) -> Column:
+        inside = F.col("_batch") == of_batch
+        return F.count_if(inside if status is None else inside & (F.col("status") == status))
+
+    return both.agg(
+        counted(True).alias("chunks_stored"),
+        counted(True, "complete").alias("chunks_complete"),
+        counted(True, "failed").alias("chunks_failed"),
+        F.coalesce(F.sum("_made"), F.lit(0)).alias("questions_generated"),
+        counted(False).alias("total_chunks"),
+        counted(False, "complete").alias("total_complete"),
+        counted(False, "failed").alias("total_failed"),
     )
 
 

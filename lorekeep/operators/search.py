@@ -443,16 +443,24 @@ def attach_text(hits: DataFrame, payload: DataFrame, metadata: DataFrame | None
     ``payload`` holds ``chunk_id, text``; sources come from ``metadata`` when given, else from
     ``payload``, and default to ``unknown``.
     """
-    found = payload.filter(F.col("text") != "")
-    if metadata is not None:
-        # Only the metadata of the hits is moved.
-        known = metadata.select("chunk_id", "source").join(hits.select("chunk_id"), "chunk_id", "left_semi")
-        joined = hits.join(found.select("chunk_id", "text"), "chunk_id").join(known, "chunk_id", "left")
+    keys = [name for name in hits.columns if name not in ("source", "text")]
+    texts = payload.filter(F.col("text") != "")
+    if metadata is None:
+        found = hits.select(keys).join(texts.select("chunk_id", "text", "source"), "chunk_id")
     else:
-        joined = hits.join(found.select("chunk_id", "text", "source"), "chunk_id")
-    return joined.withColumn("source", F.coalesce("source", F.lit("unknown"))).select(
-        *[name for name in hits.columns if name not in ("source", "text")], "source", "text"
-    )
+        # Texts and sources as one table, so that the hits, and the search behind them, are joined once.
+        empty = F.lit(None).cast("string")
+        both = texts.select("chunk_id", "text", empty.alias("source")).unionByName(
+            metadata.select("chunk_id", empty.alias("text"), "source")
+        )
+        found = (
+            hits.select(keys)
+            .join(both, "chunk_id")
+            .groupBy(*keys)
+            .agg(F.max("text").alias("text"), F.max("source").alias("source"))
+            .filter(F.col("text").isNotNull())
+        )
+    return found.select(*keys, F.coalesce("source", F.lit("unknown")).alias("source"), "text")
 
 
 def render_results(hits: DataFrame, queries: DataFrame) -> DataFrame:
