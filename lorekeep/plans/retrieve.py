@@ -67,20 +67,21 @@ def retrieve(
 
 
 def answer_retrieve_calls(
-    calls: DataFrame, questions: DataFrame, chunks: DataFrame, max_results: int = 10, **options
+    calls: DataFrame, questions: DataFrame, chunks: DataFrame, **options
 ) -> DataFrame:
     """Tool messages for a table of ``call_id, name, arguments``: all searches run as one job.
 
-    Each call may ask for its own number of results, 3 when it does not; the search runs once for
-    the largest number allowed.
+    Each call may ask for its own number of results, 3 when it does not; the search runs once, for
+    the largest number asked for.
     """
     arguments = F.from_json("arguments", "query STRING, max_results INT")
     asked = calls.filter(F.col("name") == RETRIEVE_TOOL).select(
         F.col("call_id").alias("query_id"),
         arguments["query"].alias("text"),
-        F.least(F.coalesce(arguments["max_results"], F.lit(schemas.TOP_CHUNKS)), F.lit(max_results)).alias("_k"),
+        F.coalesce(arguments["max_results"], F.lit(schemas.TOP_CHUNKS)).alias("_k"),
     )
-    hits = retrieve(asked.select("query_id", "text"), questions, chunks, k=max_results, **options)
+    most = asked.agg(F.max("_k")).first()[0] or schemas.TOP_CHUNKS
+    hits = retrieve(asked.select("query_id", "text"), questions, chunks, k=max(most, 1), **options)
     wanted = hits.join(asked.select("query_id", "_k"), "query_id").filter(F.col("rank") <= F.col("_k"))
     return render_results(wanted.drop("_k"), asked).withColumnRenamed("query_id", "call_id")
 
