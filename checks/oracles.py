@@ -80,11 +80,12 @@ def _walk(name: str, source: str, size: int, overlap: int, rules: list[tuple[str
 
 _DOCS = "docs as (select doc_id as key, text, source from documents)"
 _CHUNKS = f"with recursive {_DOCS},{_walk('chunks', 'docs', 4000, 400, _CHUNK_RULES)}"
-_FIRST_CHUNKS = f"""{_CHUNKS},
+_FRESH = """
 hashed as (select c.key as doc_id, c.pos, d.source, length(c.text) as length, md5(c.text) as hash
            from chunks c join docs d on d.key = c.key),
 fresh as (select * from hashed
           qualify row_number() over (partition by hash order by source, doc_id::varchar, pos) = 1)"""
+_FIRST_CHUNKS = f"{_CHUNKS},{_FRESH}"
 
 
 def _statements(text: str) -> str:
@@ -505,6 +506,13 @@ def _refined() -> str:
   then '[' || text || ']' else text end as refined from conversations where role = 'assistant'"""
 
 
+SQL["ingest_documents"] = SQL["ingest_stream"] = f"""{_SUMMARIES},{_FRESH}
+select row_number() over (order by source, doc_id::varchar, pos) - 1 as chunk_id, source, length, hash, hash as text_hash,
+       case when found is null then 'failed' else 'complete' end as status,
+       case when found is null then 3 else 1 end::bigint as attempt, coalesce(len(found), 0) as vectors
+from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos"""
+SQL["tool_index_saved"] = SQL["tool_index_stats"]
+SQL["export_saved"] = SQL["export_messages"]
 SQL["search_in_cells"] = SQL["search_topk_exact"]
 SQL["export_timestamps"] = """
 select user_id as conv_id, event_id as turn, case when event_type = 'view' then 'user' else 'assistant' end as role,

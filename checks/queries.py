@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks import inputs
 from lorekeep.functions import prompts, records, text as tx, vectors as vx
 from lorekeep.operators import chunking, conversations as cv, dedup, memory, models, search, toolcalls, tools
-from lorekeep.plans import retrieve as rt
+from lorekeep.plans import ingest as ing, retrieve as rt
 from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
+from lorekeep.sources.conversations import write_conversations
 from lorekeep.sources.documents import notes_to_docs
+from lorekeep.sources.store import open_store
+from lorekeep.sources.tool_index import read_saved_index, write_tool_index
 from lorekeep.streaming import history
+from lorekeep.streaming.ingest import ingest_stream as stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,6 +333,41 @@ def without_orphans(spark, folder):
     return memory.without_orphans(inputs.document_chunks(spark, folder).drop("text"), payload)
 
 
+def _stored(store) -> DataFrame:
+    """What a store holds per chunk: metadata, text by id, status and vectors."""
+    rows = memory.with_status(store.metadata(), store.chunk_status)
+    texts = store.chunk_texts(store.metadata().select("chunk_id"))
+    vectors = store.questions.groupBy("chunk_id").agg(F.count("embedding").alias("vectors"))
+    joined = rows.join(texts, "chunk_id").join(vectors, "chunk_id", "left")
+    return joined.select(
+        "chunk_id",
+        "source",
+        "length",
+        "hash",
+        tx.content_hash(F.col("text")).alias("text_hash"),
+        "status",
+        "attempt",
+        F.coalesce("vectors", F.lit(0)).alias("vectors"),
+    )
+
+
+def ingest_documents(spark, folder):
+    """All documents stored and indexed in a new store, and read back."""
+    store = open_store(spark, scratch_path(spark, "store"))
+    ing.ingest(inputs.docs(spark, folder), store)
+    return _stored(store)
+
+
+def ingest_stream(spark, folder):
+    """The same from a stream of documents."""
+    schema = inputs.table(spark, folder, "documents").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    docs = files.select(F.col("doc_id").cast("string").alias("doc_key"), "source", "text")
+    store = open_store(spark, scratch_path(spark, "store"))
+    stream_ingest(docs, store, scratch_path(spark, "progress")).awaitTermination()
+    return _stored(store)
+
+
 # Tools --------------------------------------------------------------------------------------------
 
 
@@ -359,6 +398,20 @@ def tool_index_stats(spark, folder):
     )
 
 
+def tool_index_saved(spark, folder):
+    """The index written as JSON and read back."""
+    vectors = inputs.tool_vectors(spark, folder)
+    described = vectors.select(F.col("tool").alias("name"), F.concat(F.lit("About "), "tool").alias("description")).distinct()
+    path = scratch_path(spark, "index")
+    write_tool_index(vectors, described, path)
+    return read_saved_index(spark, path).select(
+        "name",
+        "description",
+        F.array_join("example_queries", "|").alias("example_queries"),
+        F.round(F.aggregate("query_stats", F.lit(0.0), lambda total, s: total + s["embedding_norm"]), 6).alias("norms"),
+    )
+
+
 def tool_index_header(spark, folder):
     return tools.tool_index_header(inputs.tool_vectors(spark, folder))
 
@@ -524,6 +577,14 @@ def export_messages(spark, folder):
     return cv.export_messages(inputs.messages(spark, folder)).select("conv_id", "turn", "role", "content", "wire")
 
 
+def export_saved(spark, folder):
+    """The export written as JSON and read back."""
+    path = scratch_path(spark, "export")
+    write_conversations(inputs.messages(spark, folder), path, folders=8)
+    saved = spark.read.schema("conv_id LONG, turn LONG, role STRING, content STRING, wire STRING").json(path)
+    return saved.select("conv_id", "turn", "role", "content", "wire")
+
+
 def export_timestamps(spark, folder):
     return cv.export_messages(inputs.timed_messages(spark, folder)).select("conv_id", "turn", "role", "timestamp")
 
@@ -569,6 +630,7 @@ _ALL: tuple[Query, ...] = (
     incomplete_calls, unknown_tools, validate_calls, batch_tool_execution, batch_retrieve_calls,
     batch_store_calls, classify_errors, history_window, history_reset, prompt_window, digest,
     exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
+    export_saved, ingest_documents, ingest_stream, tool_index_saved,
     history_stream,
 )
 
