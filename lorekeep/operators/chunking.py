@@ -255,4 +255,6 @@ def sub_chunk_array(
         cut = [sub_chunk_texts(value, size, overlap) if value else [] for value in texts.to_pylist()]
         return pa.array(cut, pa.list_(pa.string()))
 
-    return F.when(F.char_length(text) <= size, F.array(F.col(text))).otherwise(pieces(F.col(text)))
+    # A text that fits is not sent to Python.
+    long_text = F.when(F.char_length(text) > size, F.col(text))
+    return F.when(F.char_length(text) <= size, F.array(F.col(text))).otherwise(pieces(long_text))

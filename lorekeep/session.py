@@ -22,6 +22,7 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
