@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import mixing, quality
+from lorekeep.llm import decontaminate, mixing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,4 +24,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_quality": op5_quality}
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {query.__name__: query for query in (op2_mixing, op5_quality, op7_decontaminate)}
