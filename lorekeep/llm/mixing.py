@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lorekeep.llm.common import WORD, broadcast_if_small
+from lorekeep.llm.common import WORD
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, mixing, quality
+from lorekeep.llm import decontaminate, mixing, near_dedup, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,4 +28,8 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {query.__name__: query for query in (op2_mixing, op5_quality, op7_decontaminate)}
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {query.__name__: query for query in (op2_mixing, op5_quality, op7_decontaminate, op9_near_dedup)}
