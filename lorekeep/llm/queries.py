@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, mixing, near_dedup, quality
+from lorekeep.llm import decontaminate, mixing, near_dedup, pii, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.quality_rules(table(spark, folder, "documents"))
     return rows.select(
@@ -32,4 +36,13 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op2_mixing, op5_quality, op7_decontaminate, op9_near_dedup)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op2_mixing,
+        op4_pii,
+        op5_quality,
+        op7_decontaminate,
+        op9_near_dedup,
+    )
+}
