@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, mixing, near_dedup, pii, quality
+from lorekeep.llm import decontaminate, licenses, mixing, near_dedup, pii, quality, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op3_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
@@ -32,6 +38,10 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents")).drop("spans")
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,9 +50,11 @@ QUERIES = {
     query.__name__: query
     for query in (
         op2_mixing,
+        op3_tokens,
         op4_pii,
         op5_quality,
         op7_decontaminate,
+        op8_licenses,
         op9_near_dedup,
     )
 }
