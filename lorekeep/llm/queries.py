@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, licenses, mixing, near_dedup, pii, quality, tokens
+from lorekeep.llm import decontaminate, licenses, mixing, near_dedup, pii, quality, suffix_dedup, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sized = table(spark, folder, "documents").select("doc_id", "source", mixing.sizes().alias("size"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -49,6 +53,7 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_suffix_dedup,
         op2_mixing,
         op3_tokens,
         op4_pii,

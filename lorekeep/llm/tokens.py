@@ -26,7 +26,7 @@ CHUNK = 1 << 16
 # Segments and states that are remembered; beyond that a table starts anew.
 REMEMBERED, STATES = 300_000, 200_000
 # White space in the tokenizer's sense: fixed values.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENTS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _CUT = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
