@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, licenses, mixing, near_dedup, pii, quality, suffix_dedup, tokens
+from lorekeep.llm import decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main(table(spark, folder, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -50,6 +54,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -58,8 +66,10 @@ QUERIES = {
         op3_tokens,
         op4_pii,
         op5_quality,
+        op6_html_text,
         op7_decontaminate,
         op8_licenses,
         op9_near_dedup,
+        op10_lm_scores,
     )
 }
