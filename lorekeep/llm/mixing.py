@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lorekeep.llm.common import WORD
 
@@ -26,11 +26,17 @@ BLOCK_ROWS = 20_000
 _UNIT = 28
 
 
-def sizes(text: str = "text"):
+def sizes(text: str = "text") -> Column:
     """Words in a text; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def _hashed(seed: int, column: str) -> Column:
+    """28 bits of a hash that every engine has."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long")
+
+
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """``source, source_size, weight, target`` from ``source, source_size``.
 
@@ -86,7 +92,7 @@ def mix(
     rows = rows.withColumn("size", size).withColumns(
         {
             "_mix_class": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"),
-            "_mix_part": F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(blocks)),
+            "_mix_part": _hashed(seed, id_column) % blocks,
             # A source as a key that is never null.
             "_mix_key": F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))),
         }
@@ -107,7 +113,7 @@ def mix(
     )
     joined = rows.join(starts, place)
     inside = Window.partitionBy(*place).orderBy("size", F.col(id_column).asc_nulls_last())
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "_mix_key"), F.lit(1 << _UNIT))
+    offset = _hashed(seed + 1, "_mix_key")
     upto = (F.col("_before") + F.row_number().over(inside)) * F.col("_each") + offset
     crossed = F.shiftright(upto, _UNIT) - F.shiftright(upto - F.col("_each"), _UNIT)
     taken = joined.withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size"))

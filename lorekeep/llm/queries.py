@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorekeep.llm import decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, tokens
 
@@ -34,7 +34,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.quality_rules(table(spark, folder, "documents"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "host_rate", "host_bad",
+        F.round("host_rate", 9).alias("host_rate"), "host_bad",
     )
 
 
