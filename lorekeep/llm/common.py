@@ -28,6 +28,17 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text"))
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of neutral names, which clash with none, and these names by the given ones."""
+    names = {name: f"_c{at}" for at, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``hidden`` under their own names; nothing else."""
+    return docs.select(*[F.col(neutral).alias(name) for name, neutral in names.items()])
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorekeep.llm.common import LETTERS, ascii_lower, broadcast_if_small, row_key, small
+from lorekeep.llm.common import LETTERS, ascii_lower, broadcast_if_small, hidden, row_key, shown
 from lorekeep.session import materialise
 
 WINDOW = 10
@@ -140,20 +140,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents
     if mode not in ("documents", "spans"):
         raise ValueError(f"no mode {mode!r}")
     found = hits(docs, benchmark, n)
+    rows, names = hidden(docs)
+    same = row_key(names["doc_id"], names["text"]).eqNullSafe(F.col("key"))
     if mode == "documents":
         dirty = materialise(found.select("key").distinct())
-        key = row_key("doc_id", "text")
-        return docs.join(broadcast_if_small(dirty), key.eqNullSafe(F.col("key")), "left_anti")
+        return shown(rows.join(broadcast_if_small(dirty), same, "left_anti"), names)
     places = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1))
-    dirty = materialise(found.select("key", places.alias("at")).groupBy("key").agg(F.collect_set("at").alias("_hit")))
-    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(
-        dirty if not small(dirty, 10_000) else F.broadcast(dirty), F.col("_key").eqNullSafe(F.col("key")), "left"
-    )
-    gaps = F.split("text", MIXED)
+    dirty = materialise(found.select("key", places.alias("at")).groupBy("key").agg(F.collect_set("at").alias("hit")))
+    rows = rows.join(broadcast_if_small(dirty, 10_000), same, "left")
+    gaps = F.split(names["text"], MIXED)
     kept = F.transform(
-        words(),
-        lambda word, at: F.when(F.array_contains("_hit", at), "").otherwise(F.concat(word, F.element_at(gaps, at + 2))),
+        words(names["text"]),
+        lambda word, at: F.when(F.array_contains("hit", at), "").otherwise(F.concat(word, F.element_at(gaps, at + 2))),
     )
     cut = F.concat(F.element_at(gaps, 1), F.array_join(kept, ""))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("hit").isNull(), F.col(names["text"])).otherwise(cut)
+    return shown(rows.withColumn(names["text"], text), names)

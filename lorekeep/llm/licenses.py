@@ -111,6 +111,9 @@ def rules() -> tuple[Rule, ...]:
         add(label, 100, "spdx", rf"spdx-licen[cs]e-identifier: ?{re.escape(label)}(?:-only|-or-later)?")
         for priority, form in _FORMS:
             add(label, priority, keyword, form.format(name=name))
+        if "licen" in name:
+            # Such a name is a notice by itself.
+            add(label, 55, keyword, f"(?:{name})")
         if url:
             add(label, 90, url.replace("\\", "").split("/")[0], rf"https?://(?:www\.)?{url}(?:\.(?:html|txt|php))?")
     for term, words in _TERMS.items():

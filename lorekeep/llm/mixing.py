@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lorekeep.llm.common import WORD
+from lorekeep.llm.common import WORD, hidden, shown
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -57,10 +57,10 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float =
         rows.withColumn("_place", F.row_number().over(line))
         .withColumn("_full", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("_size", F.sum("source_size").over(everything).cast("double"))
+        .withColumn("_mix_size", F.sum("source_size").over(everything).cast("double"))
         .withColumn("_weights", F.sum("weight").over(everything))
     )
-    rows = rows.withColumn("_level", (F.col("_size") - F.col("_full")) / (F.col("_weights") - F.col("_gone")))
+    rows = rows.withColumn("_level", (F.col("_mix_size") - F.col("_full")) / (F.col("_weights") - F.col("_gone")))
     first = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_place", "_level"))).over(everything)
     rows = rows.withColumn("_first", first)
     target = F.when(F.col("_place") < F.col("_first._place"), F.col("_cap")).otherwise(
@@ -98,30 +98,34 @@ def mix(
         }
     )
     place = ["_mix_key", "_mix_class", "_mix_part"]
-    parts = rows.groupBy(*place, "source").agg(F.sum("size").alias("_size"), F.count("*").alias("_rows"))
-    goals = targets(parts.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap)
+    parts = rows.groupBy(*place, "source").agg(F.sum("size").alias("_mix_size"), F.count("*").alias("_mix_rows"))
+    goals = targets(parts.groupBy("source").agg(F.sum("_mix_size").alias("source_size")), weights, cap)
     unit = F.lit(float(1 << _UNIT))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goals = goals.withColumn("_each", F.round(expected * unit).cast("long")).withColumn(
-        "_key", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    goals = goals.withColumn("_mix_each", F.round(expected * unit).cast("long")).withColumn(
+        "_mix_goal", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     ).drop("source", "weight")
     along = Window.partitionBy("_mix_key").orderBy("_mix_class", "_mix_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        parts.withColumn("_before", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
-        .join(goals, F.col("_mix_key") == F.col("_key"))
-        .select(*place, "source_size", "target", "_each", "_before")
+        parts.withColumn("_mix_before", F.coalesce(F.sum("_mix_rows").over(along), F.lit(0)))
+        .join(goals, F.col("_mix_key") == F.col("_mix_goal"))
+        .select(*place, "source_size", "target", "_mix_each", "_mix_before")
     )
     joined = rows.join(starts, place)
     inside = Window.partitionBy(*place).orderBy("size", F.col(id_column).asc_nulls_last())
     offset = _hashed(seed + 1, "_mix_key")
-    upto = (F.col("_before") + F.row_number().over(inside)) * F.col("_each") + offset
-    crossed = F.shiftright(upto, _UNIT) - F.shiftright(upto - F.col("_each"), _UNIT)
+    upto = (F.col("_mix_before") + F.row_number().over(inside)) * F.col("_mix_each") + offset
+    crossed = F.shiftright(upto, _UNIT) - F.shiftright(upto - F.col("_mix_each"), _UNIT)
     taken = joined.withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size"))
-    return taken.drop(*place, "_each", "_before")
+    return taken.drop(*place, "_mix_each", "_mix_before")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with ``copy`` counting from 1."""
-    rows = mix(docs, **options).filter("copies > 0")
-    kept = [F.col(name) for name in docs.columns if name not in ("copy", "size")]
-    return rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    rows, names = hidden(docs)
+    kept = [F.col(neutral) for neutral in names.values()]
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    sized = rows.select(*kept, F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), sizes(names["text"]).alias("size"))
+    taken = mix(sized, **options).filter("copies > 0").select(*kept, copies)
+    names = {name: neutral for name, neutral in names.items() if name != "copy"}
+    return shown(taken, names | {"copy": "copy"})

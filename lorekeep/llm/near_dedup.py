@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorekeep.llm.common import map_rows
+from lorekeep.llm.common import hidden, map_rows, shown
 from lorekeep.llm.components import components
 from lorekeep.llm.hashing import mix64, shingles
 from lorekeep.session import materialise
@@ -276,12 +276,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of ``docs`` per class, that with the smallest id, with all columns."""
     labels = classes(docs.select("doc_id", "text"), similar)
-    rows = _labelled(docs.withColumn("_vertex", vertex()), labels, "_vertex", "_class")
+    rows, names = hidden(docs)
+    rows = _labelled(rows.withColumn("_vertex", vertex(names["text"])), labels, "_vertex", "_class")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_vertex")
     narrow = _labelled(docs.select("doc_id", vertex().alias("_vertex")), labels, "_vertex", "_class")
-    first = narrow.groupBy("_class").agg(F.min(order).alias("_first")).select("_first._vertex", "_first.doc_id")
-    first = first.select(F.col("_vertex").alias("_v"), F.col("doc_id").alias("_id"))
-    same = (F.col("_vertex") == F.col("_v")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    first = narrow.groupBy("_class").agg(F.min(order).alias("_first"))
+    first = first.select(F.col("_first._vertex").alias("_v"), F.col("_first.doc_id").alias("_id"))
+    same = (F.col("_vertex") == F.col("_v")) & F.col(names["doc_id"]).eqNullSafe(F.col("_id"))
     # What is left of a class is one row, or rows that repeat.
-    kept = rows.join(first, same, "left_semi").dropDuplicates(["_class"])
-    return kept.select(*docs.columns)
+    return shown(rows.join(first, same, "left_semi").dropDuplicates(["_class"]), names)

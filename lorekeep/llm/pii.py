@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lorekeep.llm.common import broadcast_if_small, row_key
+from lorekeep.llm.common import broadcast_if_small, hidden, row_key, shown
 from lorekeep.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -229,24 +229,26 @@ def redacted(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars``, if there, follows the text."""
     span = F.struct("start", "end", F.upper("kind").alias("kind"))
     by_doc = materialise(spans(docs, rounds).groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("_spans")))
-    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(
-        broadcast_if_small(by_doc, 10_000), F.col("_key").eqNullSafe(F.col("key")), "left"
-    )
+    rows, names = hidden(docs)
+    own = F.col(names["text"])
+    same = row_key(names["doc_id"], names["text"]).eqNullSafe(F.col("key"))
+    rows = rows.join(broadcast_if_small(by_doc, 10_000), same, "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end"))
 
     def put(done: Column, span: Column) -> Column:
         # A span that begins inside the one before only lengthens it.
-        between = F.substring("text", (done["end"] + 1).cast("int"), (span["start"] - done["end"]).cast("int"))
+        between = own.substr((done["end"] + 1).cast("int"), (span["start"] - done["end"]).cast("int"))
         fresh = F.concat(done["text"], between, F.lit("<"), span["kind"], F.lit(">"))
         return F.struct(
             F.when(span["start"] >= done["end"], fresh).otherwise(done["text"]).alias("text"),
             F.greatest(done["end"], span["end"]).alias("end"),
         )
 
-    rest = lambda done: F.col("text").substr((done["end"] + 1).cast("int"), F.char_length("text"))
+    rest = lambda done: own.substr((done["end"] + 1).cast("int"), F.char_length(own))
     whole = F.aggregate("_spans", start, put, lambda done: F.concat(done["text"], rest(done)))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole)
-    columns = {"text": text}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(whole))
-    return rows.withColumns(columns).select(*docs.columns)
+    rows = rows.withColumn("_redacted", F.when(F.col("_spans").isNull(), own).otherwise(whole))
+    if "n_chars" in names:
+        count = F.when(F.col("_spans").isNull(), F.col(names["n_chars"])).otherwise(F.char_length("_redacted"))
+        rows = rows.withColumn("_counted", count)
+        names = names | {"n_chars": "_counted"}
+    return shown(rows, names | {"text": "_redacted"})

@@ -14,7 +14,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lorekeep.llm.common import broadcast_if_small, map_rows
+from lorekeep.llm.common import broadcast_if_small, hidden, map_rows, shown
 from lorekeep.session import materialise
 
 MIN_WORDS = 50
@@ -119,4 +119,6 @@ def keep_good(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     Texts are measured twice, which costs less than moving them to meet the verdicts.
     """
     hosts = host_verdicts(flagged(measured(docs.select("source", "text"))), bad_rate=bad_rate)
-    return judged(flagged(measured(docs)), hosts).filter("kept").select(*docs.columns)
+    rows, names = hidden(docs)
+    rows = judged(flagged(measured(rows, names["text"])), hosts, names["source"])
+    return shown(rows.filter("kept"), names)
