@@ -6,7 +6,7 @@ from checks.queries import ALWAYS, MODEL_LIMIT
 from lorekeep.functions import prompts
 from lorekeep.functions.text import INSTRUCTION_PHRASES
 from lorekeep.operators.conversations import MAX_STEPS_ANSWER
-from lorekeep.operators.search import _planes
+from lorekeep.operators.search import NOTHING_FOUND, _planes
 
 _SPACES = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _NL = "chr(10)"
@@ -274,9 +274,11 @@ select query_id::bigint as query_id, rank, chunk_id, round(sim, 6) as similarity
 from top join documents d on d.doc_id = chunk_id left join labels l on l.doc_id = chunk_id where text <> ''""",
     "render_results": f"""with {_LABELS}, top as ({_top_chunks('scores', 3)}),
 shown as (select query_id, row_number() over (partition by query_id order by rank) as place, text, sim
-          from top join documents on doc_id = chunk_id where text <> '')
-select query_id::bigint as query_id, string_agg({_shown('text')}, chr(10) order by place) as answer
-from shown group by 1""",
+          from top join documents on doc_id = chunk_id where text <> '' and chunk_id % 2 = 0),
+asked as (select query_id from means union all select query_id + 1000 from means),
+told as (select query_id, string_agg({_shown('text')}, chr(10) order by place) as answer from shown group by 1)
+select query_id::bigint as query_id, coalesce(answer, {_quoted(NOTHING_FOUND)}) as answer
+from asked left join told using (query_id)""",
     "hash_embed": f"""with docs_k as (select doc_id as key, text from documents)
 select key as doc_id, bucket, round(w, 6) as weight from ({_unit('docs_k')})""",
     "vector_functions": f"""with {_LABELS}
@@ -320,8 +322,7 @@ where contains(source, 'src') and contains(source, '1')""",
     "preview": """select doc_id as chunk_id, case when length(text) > 200
   then substr(text, 1, 200) || chr(10) || '... (' || (length(text) - 200) || ' more characters)' else text end as preview
 from documents""",
-    "find_by_text": """select doc_id as chunk_id, md5(text) as hash from documents
-where md5(text) in (select md5(text) from documents where doc_id in (select doc_id from labels))""",
+    "find_by_text": "select doc_id as chunk_id, md5(text) as hash from documents where doc_id % 2 = 0",
     "load_report": f"""with {_BATCH}
 select source, stored, complete, failed, questions, round(100.0 * complete / stored, 6)::double as success_rate from counts""",
     "load_total": f"""with {_BATCH}
@@ -512,6 +513,48 @@ select row_number() over (order by source, doc_id::varchar, pos) - 1 as chunk_id
        case when found is null then 3 else 1 end::bigint as attempt, coalesce(len(found), 0) as vectors
 from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos"""
 SQL["tool_index_saved"] = SQL["tool_index_stats"]
+SQL["tool_index_keyed"] = SQL["tool_index_stats"]
+SQL["search_few_vectors"] = SQL["search_topk_exact"]
+SQL["lsh_stored_cells"] = _lsh()
+SQL["lsh_recall"] = f"""with near as ({_lsh()}), exact as ({SQL["search_topk_exact"]})
+select e.query_id, count(*) as hits, count(n.query_id) as found
+from exact e left join near n on e.query_id = n.query_id and e.chunk_id = n.chunk_id group by 1"""
+SQL["select_registered_tools"] = f"""with {_LABELS},
+best as (select query_id, tool_no, max(sim) as sim from scores where tool_no % 2 = 0 group by 1, 2)
+select query_id::bigint as query_id, row_number() over (partition by query_id order by sim desc, 'tool_' || tool_no) as rank,
+       'tool_' || tool_no as tool, round(sim, 6) as similarity from best qualify rank <= 3"""
+SQL["render_tool_prompt_all"] = """
+select p_partkey as query_id, case when p_partkey % 2 = 0 then true end as described, p_partkey % 2 = 1 as whole_catalog,
+       'Base.' as without_tools, false as of_none from part"""
+SQL["catalog_blocks"] = f"""with {_TOOLS}
+select name, md5(block) as hash from (select name,
+    chr(10) || name || ': ' || description || chr(10) || '  Parameters:' || chr(10) ||
+    case when has_schema then '    size (required): Up to ' || p_size || chr(10) || '    kind: ' || p_type else '' end ||
+    chr(10) || '  ' || chr(10) || '  Example usage:' || chr(10) || '  <tool_call>' || chr(10) ||
+    '{{' || chr(10) || '  "name": "' || name || '",' || chr(10) || '  "arguments": {{' ||
+    case when has_schema then chr(10) || '    "size": "<size_value>"' || chr(10) || '  ' else '' end ||
+    '}}' || chr(10) || '}}' || chr(10) || '  </tool_call>' as block from listed)"""
+SQL["failed_listings"] = """
+select event_id::varchar as server, 'MCP server ''' || event_id || ''' ' || case event_id % 7
+  when 4 then 'tools/list failed: ' || event_type when 5 then 'tools/list failed: Unknown error'
+  when 6 then 'returned no response for tools/list' else 'listed no tools' end as error from events"""
+SQL["markdown_files"] = f"""
+select md5(text) as hash, length(text) as n, count(*) as files from documents where {_strip('text')} <> '' group by 1, 2"""
+SQL["extract_structured_calls"] = """
+select user_id as conv_id, event_id as turn, place as ordinal,
+  case when event_id % 3 = 0 then 'id_' || event_id else 'call_0' end as id,
+  case when event_id % 3 = 0 then event_type else 'written' end as name,
+  case when event_id % 3 = 0 then props else '{}' end as arguments,
+  case when event_id % 3 = 0 then 'structured' else 'parsed' end as outcome
+from events, (values (0::bigint), (1::bigint)) p(place) where event_id % 3 = 0 or place = 0"""
+SQL["validate_undecodable"] = """
+select event_id, event_type as name,
+  case when event_type = 'error' then 'unknown' when event_id % 2 = 1 then 'undecodable' when event_type = 'click' then 'invalid'
+       when event_type = 'purchase' then 'missing' else 'ok' end as verdict,
+  case when event_type = 'error' or event_id % 2 = 1 then null when event_type = 'purchase' then 1 else 0 end::bigint as n_missing,
+  event_type <> 'error' and event_id % 2 = 0 and event_type not in ('click', 'purchase') as fine from events"""
+SQL["registered_function"] = f"""with {_CALLS}
+select conv_id, turn, ordinal, 'seen ' || (props->>'$.k')::int as content from calls where name = 'view'"""
 SQL["export_saved"] = SQL["export_messages"]
 SQL["search_in_cells"] = SQL["search_topk_exact"]
 SQL["export_timestamps"] = """

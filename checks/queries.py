@@ -14,9 +14,9 @@ from lorekeep.plans import ingest as ing, retrieve as rt
 from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
 from lorekeep.sources.conversations import write_conversations
-from lorekeep.sources.documents import notes_to_docs
+from lorekeep.sources.documents import notes_to_docs, read_markdown
 from lorekeep.sources.store import open_store
-from lorekeep.sources.tool_index import read_saved_index, write_tool_index
+from lorekeep.sources.tool_index import read_saved_index, read_tool_index, write_keyed_index, write_tool_index
 from lorekeep.streaming import history
 from lorekeep.streaming.ingest import ingest_stream as stream_ingest
 
@@ -107,6 +107,7 @@ def search_in_cells(spark, folder):
         inputs.label_queries(spark, folder),
         inputs.vectors(spark, folder),
         broadcast_queries=0,
+        broadcast_vectors=0,
         cell_queries=4,
         cell_vectors=256,
     )
@@ -118,6 +119,36 @@ def lsh_topk(spark, folder):
     return _rounded(found)
 
 
+def search_few_vectors(spark, folder):
+    """The plan for few vectors and a query set too large to broadcast."""
+    found = search.search_chunks(inputs.label_queries(spark, folder), inputs.vectors(spark, folder), broadcast_queries=0)
+    return _rounded(found)
+
+
+def _stored_cells(spark, folder):
+    path = scratch_path(spark, "cells")
+    search.write_cells(inputs.vectors(spark, folder), path, file_rows=500)
+    return spark.read.parquet(path)
+
+
+def lsh_stored_cells(spark, folder):
+    """Vectors stored by cell and read back; queries meet them by an equi-join on the cell."""
+    found = search.search_chunks(
+        inputs.label_queries(spark, folder), _stored_cells(spark, folder), method="lsh", broadcast_queries=0,
+        cell_queries=4, cell_vectors=64,
+    )
+    return _rounded(found)
+
+
+def lsh_recall(spark, folder):
+    """How many of the exact hits the search in cells finds, by query."""
+    exact = search.search_chunks(inputs.label_queries(spark, folder), inputs.vectors(spark, folder))
+    near = search.search_chunks(inputs.label_queries(spark, folder), inputs.vectors(spark, folder), method="lsh")
+    near = near.select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = exact.select("query_id", "chunk_id").join(near, ["query_id", "chunk_id"], "left")
+    return both.groupBy("query_id").agg(F.count("*").alias("hits"), F.count("found").alias("found"))
+
+
 def retrieve_with_text(spark, folder):
     hits = search.search_chunks(inputs.label_queries(spark, folder), inputs.vectors(spark, folder))
     return _rounded(search.attach_text(hits, inputs.document_chunks(spark, folder)))
@@ -134,11 +165,13 @@ def retrieve_metadata_missing(spark, folder):
 
 
 def render_results(spark, folder):
-    """Every label is asked; the hits of odd chunks have lost their text."""
+    """Every label is asked, and as many queries without hits; the hits of odd chunks have lost their text."""
     queries = inputs.label_queries(spark, folder)
     hits = search.search_chunks(queries, inputs.vectors(spark, folder))
     chunks = inputs.document_chunks(spark, folder)
-    return search.render_results(search.attach_text(hits, chunks), queries)
+    chunks = chunks.withColumn("text", F.when(F.expr("chunk_id % 2 = 0"), F.col("text")).otherwise(""))
+    more = queries.select("query_id").unionByName(queries.select((F.col("query_id") + 1000).alias("query_id")))
+    return search.render_results(search.attach_text(hits, chunks), more)
 
 
 def hash_embed(spark, folder):
@@ -283,10 +316,12 @@ def preview(spark, folder):
 
 
 def find_by_text(spark, folder):
-    """The chunks that hold the text of a labelled document, found by hash."""
-    rows = inputs.table(spark, folder, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
-    wanted = rows.join(inputs.table(spark, folder, "labels"), "doc_id", "left_semi").select("hash")
-    return rows.join(wanted, "hash", "left_semi").select(F.col("doc_id").alias("chunk_id"), "hash")
+    """Each document is asked for by a text, its own or another; found by hash."""
+    rows = inputs.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("chunk_id"), tx.content_hash(F.col("text")).alias("hash"),
+        F.when(F.expr("doc_id % 2 = 0"), F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("asked"),
+    )
+    return memory.find_by_text(rows, F.col("asked")).select("chunk_id", "hash")
 
 
 def load_report(spark, folder):
@@ -376,6 +411,14 @@ def select_tools(spark, folder):
     return _rounded(tools.matched_summaries(picked, inputs.tool_vectors(spark, folder)))
 
 
+def select_registered_tools(spark, folder):
+    """Only tools with an even number are registered."""
+    vectors = inputs.tool_vectors(spark, folder)
+    names = vectors.select(F.col("tool").alias("name")).distinct()
+    registered = names.filter(F.expr("cast(substring(name, 6) as int) % 2 = 0"))
+    return _rounded(tools.select_tools(inputs.label_queries(spark, folder), vectors, tools=registered)).drop("ordinal")
+
+
 ALWAYS = ("tool_7", "tool_3")
 
 
@@ -460,6 +503,95 @@ def render_tool_prompt(spark, folder):
     return tools.render_tool_prompt(selected, catalog, "You are helpful.")
 
 
+def render_tool_prompt_all(spark, folder):
+    """Every second query has selected a tool; the others are shown the whole catalog."""
+    catalog = rpc.flatten_catalog(inputs.catalog_responses(spark, folder))
+    name = F.concat(
+        "p_brand", F.lit("."), F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")
+    )
+    parts = inputs.table(spark, folder, "part").select(F.col("p_partkey").alias("query_id"), name.alias("tool"))
+    selected = parts.filter("query_id % 2 = 0").withColumn("rank", F.lit(1))
+    shown = tools.render_tool_prompt(selected, catalog, "Base.", parts.select("query_id"))
+    alone = tools.render_tool_prompt(selected, catalog.limit(0), "Base.", parts.select("query_id"))
+    alone = alone.select("query_id", F.col("prompt").alias("without_tools"), F.col("whole_catalog").alias("of_none"))
+    size = F.char_length("prompt") > 40
+    return shown.select("query_id", size.alias("described"), "whole_catalog").join(alone, "query_id")
+
+
+def catalog_blocks(spark, folder):
+    catalog = rpc.flatten_catalog(inputs.catalog_responses(spark, folder))
+    return tools.catalog_blocks(catalog).select("name", tx.content_hash(F.col("block")).alias("hash"))
+
+
+def failed_listings(spark, folder):
+    """Logged answers to tools/list of every shape."""
+    rows = inputs.rpc_responses(spark, folder).select(F.col("event_id").cast("string").alias("server"), "response")
+    return rpc.failed_listings(rows)
+
+
+def tool_index_keyed(spark, folder):
+    """The index written as objects with tools as keys, and read as such."""
+    vectors = inputs.tool_vectors(spark, folder)
+    described = vectors.select(F.col("tool").alias("name"), F.concat(F.lit("About "), "tool").alias("description")).distinct()
+    path = scratch_path(spark, "keyed")
+    write_keyed_index(vectors, described, path)
+    return read_tool_index(spark, path, lines=True).select(
+        "name",
+        "description",
+        F.array_join("example_queries", "|").alias("example_queries"),
+        F.round(F.aggregate("query_stats", F.lit(0.0), lambda total, s: total + s["embedding_norm"]), 6).alias("norms"),
+    )
+
+
+def markdown_files(spark, folder):
+    """Documents written as text files, one per document, and read back."""
+    path = scratch_path(spark, "markdown")
+    rows = inputs.table(spark, folder, "documents").select("text", F.col("doc_id").alias("file"))
+    # The writer ends a text with a line separator, which no document holds.
+    rows.repartition("file").write.partitionBy("file").option("lineSep", "\u0001").text(path)
+    body = F.translate("text", "\u0001", "")
+    read = read_markdown(spark, f"{path}/file=*", pattern="*.txt")
+    return read.groupBy(tx.content_hash(body).alias("hash"), F.char_length(body).alias("n")).agg(F.count("*").alias("files"))
+
+
+def extract_structured_calls(spark, folder):
+    """Structured calls win over a call written in the text."""
+    call = F.struct(
+        F.concat(F.lit("id_"), F.col("event_id").cast("string")).alias("id"),
+        F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")).alias("function"),
+    )
+    listed = F.when(F.expr("event_id % 3 = 0"), F.array(call, call))
+    written = F.lit('<tool_call>{"name": "written", "arguments": {}}</tool_call>')
+    rows = inputs.table(spark, folder, "events").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.lit("assistant").alias("role"),
+        written.alias("content"), listed.alias("tool_calls"),
+    )
+    return toolcalls.extract_tool_calls(rows)
+
+
+def validate_undecodable(spark, folder):
+    """Arguments with a stray quotation mark before them cannot be read."""
+    arguments = F.when(F.expr("event_id % 2 = 0"), F.col("props")).otherwise(F.concat(F.lit('"'), "props"))
+    calls = inputs.table(spark, folder, "events").select(
+        "event_id", F.col("event_type").alias("name"), arguments.alias("arguments")
+    )
+    checked = toolcalls.validate_calls(calls, inputs.event_catalog(spark, folder))
+    return checked.select(
+        "event_id", "name", "verdict", F.size("missing").alias("n_missing"), F.col("report").isNull().alias("fine")
+    )
+
+
+def registered_function(spark, folder):
+    """A function registered by name, replaced, listed as a tool and called."""
+    registry = toolcalls.register({}, "view", lambda k: "old")
+    registry = toolcalls.register(registry, "view", lambda k: f"seen {k}")
+    schema = {"properties": {"k": {"type": "integer", "description": "Key"}}, "required": ["k"]}
+    catalog = toolcalls.tool_row(spark, "view", "Views", schema)
+    return toolcalls.execute_calls(_calls(spark, folder).filter("name = 'view'"), registry, catalog).select(
+        "conv_id", "turn", "ordinal", "content"
+    )
+
+
 def _calls(spark, folder):
     return toolcalls.extract_tool_calls(inputs.tool_messages(spark, folder))
 
@@ -631,7 +763,9 @@ _ALL: tuple[Query, ...] = (
     batch_store_calls, classify_errors, history_window, history_reset, prompt_window, digest,
     exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
     export_saved, ingest_documents, ingest_stream, tool_index_saved,
-    history_stream,
+    history_stream, search_few_vectors, lsh_stored_cells, lsh_recall, select_registered_tools,
+    render_tool_prompt_all, catalog_blocks, failed_listings, tool_index_keyed, markdown_files,
+    extract_structured_calls, validate_undecodable, registered_function,
 )
 
 

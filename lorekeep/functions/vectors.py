@@ -45,11 +45,14 @@ def hash_vectors(texts: Sequence[str | None], dim: int = 256) -> np.ndarray:
 
     A token's bucket is its number modulo ``dim``. A text without tokens has the zero vector.
     """
-    counts = np.zeros((len(texts), dim))
-    for row, text in zip(counts, texts):
-        numbers = [_token_number(token) for token in _TOKEN_GAP.split((text or "").lower()) if token]
-        if numbers:
-            row[:] = np.bincount(np.array(numbers) % dim, minlength=dim)
+    tokens = [[token for token in _TOKEN_GAP.split((text or "").lower()) if token] for text in texts]
+    # Every distinct token of the batch is hashed once; the rest is counting.
+    numbers: dict[str, int] = {}
+    places = [numbers.setdefault(token, len(numbers)) for row in tokens for token in row]
+    buckets = np.array([_token_number(token) % dim for token in numbers] or [0])
+    rows = np.repeat(np.arange(len(texts)), [len(row) for row in tokens])
+    cells = rows * dim + buckets[np.array(places, np.int64)]
+    counts = np.bincount(cells, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
     norms = np.linalg.norm(counts, axis=1, keepdims=True)
     return np.divide(counts, norms, out=counts, where=norms > 0).astype(np.float32)
 

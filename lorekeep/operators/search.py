@@ -1,11 +1,15 @@
 """Top-k distinct groups (chunks, tools) per query by their best vector.
 
 Similarities are computed block by block in numpy; a block of vectors gives at most ``k`` groups per
-query, so the pairs never become rows. Two plans share that kernel:
+query, so the pairs never become rows. Four plans share that kernel:
 
 * few queries: their matrix, checked to be small, is broadcast and the vectors are scanned once;
-* many queries: queries and vectors are cut into bounded cells, each pair of cells is one task
-  group, and no side is broadcast.
+* few vectors, such as those of a tool catalog: they are broadcast and the queries are scanned once;
+* many of both: queries and vectors are cut into bounded cells, each pair of cells is one task
+  group, and no side is broadcast;
+* many of both and vectors stored by cell: queries go to the cells they probe, and only there.
+
+A query side is materialised before its size is looked at, so that every query is embedded once.
 
 Rankings use the similarity rounded to 9 digits, so that the order of floating-point sums cannot
 decide between equal vectors; ties go to the smaller group.
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lorekeep import schemas
 from lorekeep.operators.arrow import arrow_step
+from lorekeep.session import materialise
 
 # Fixed value: the answer when there is no hit.
 NOTHING_FOUND = "No relevant information found in memory"
@@ -30,12 +35,16 @@ RANK_DIGITS = 9
 # Largest query set that is sent to every task: rows, and bytes as doubles.
 BROADCAST_QUERIES = 8192
 BROADCAST_BYTES = 64 << 20
+# Largest vector side that is sent to every task that scans queries.
+BROADCAST_VECTORS = 65536
 # Hits that may be broadcast when they are joined: few queries times k.
 BROADCAST_HITS = 100_000
 # Rows per cell in the plan without a broadcast. Each side is sent once per cell of the other, which
 # is least for equal sizes.
 CELL_QUERIES = 32768
 CELL_VECTORS = 32768
+# Rows of a stored cell per file.
+CELL_ROWS = 250_000
 # Similarities held at once by one task.
 _BLOCK_CELLS = 4_000_000
 _BLOCK_ROWS = 8192
@@ -250,17 +259,23 @@ def _with_vector(df: DataFrame) -> DataFrame:
     return df.filter(F.col("embedding").isNotNull())
 
 
-def _small_queries(queries: DataFrame, rows: int, limit_bytes: int) -> _Queries | None:
-    """The query matrix when it is small enough to broadcast; reads at most ``rows + 1`` rows."""
-    head = _with_vector(queries).limit(rows + 1).toArrow().combine_chunks()
+def _fetched(side: DataFrame, rows: int, limit_bytes: int) -> pa.Table | None:
+    """A side that is small enough to broadcast; reads at most ``rows + 1`` rows of it."""
+    head = _with_vector(side).limit(rows + 1).toArrow().combine_chunks()
     if head.num_rows > rows:
         return None
     vectors = head.column("embedding").combine_chunks() if head.num_rows else None
-    if vectors is None:
-        return _Queries(np.empty(0, np.int64), np.empty((0, 0)))
-    if len(vectors.flatten()) * 8 > limit_bytes:
+    return None if vectors is not None and len(vectors.flatten()) * 8 > limit_bytes else head
+
+
+def _small_queries(queries: DataFrame, rows: int, limit_bytes: int) -> _Queries | None:
+    """The query matrix when it is small enough to broadcast."""
+    head = _fetched(queries, rows, limit_bytes)
+    if head is None:
         return None
-    return _Queries.of(head.column("query_id").combine_chunks(), vectors)
+    if not head.num_rows:
+        return _Queries(np.empty(0, np.int64), np.empty((0, 0)))
+    return _Queries.of(head.column("query_id").combine_chunks(), head.column("embedding").combine_chunks())
 
 
 def _scan_with_broadcast(vectors: DataFrame, kernel: _Kernel, queries: _Queries, schema) -> DataFrame:
@@ -275,25 +290,24 @@ def _scan_with_broadcast(vectors: DataFrame, kernel: _Kernel, queries: _Queries,
     return _with_vector(vectors).mapInArrow(run, schema)
 
 
-def _scan_in_cells(
-    vectors: DataFrame, kernel: _Kernel, queries: DataFrame, schema, cell_queries: int, cell_vectors: int
-) -> DataFrame:
-    """Every pair of a query cell and a vector cell as one bounded co-group."""
-    # Counting rows does not compute or read the vectors.
-    query_cells = -(-queries.select("query_id").count() // cell_queries) or 1
-    vector_cells = -(-vectors.select(kernel.item).count() // cell_vectors) or 1
-    every_query_cell = F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1)))
-    every_vector_cell = F.explode(F.sequence(F.lit(0), F.lit(vector_cells - 1)))
-    # Wrapped in a struct, the vectors stay apart from those of the other side when both come from the
-    # same table.
-    left = _with_vector(queries).select(
-        "query_id",
-        F.struct("embedding").alias("_asked"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).cast("int").alias("_q"),
-        every_vector_cell.alias("_v"),
-    )
-    placed = F.pmod(F.xxhash64(kernel.group, kernel.item), F.lit(vector_cells)).cast("int")
-    right = _with_vector(vectors).withColumn("_v", placed).withColumn("_q", every_query_cell)
+def _scan_queries(queries: DataFrame, kernel: _Kernel, vectors: pa.Table, schema) -> DataFrame:
+    """Every query against the broadcast vectors."""
+    shared = vectors.schema, queries.sparkSession.sparkContext.broadcast(vectors.to_batches())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = shared
+        table = pa.Table.from_batches(held.value, names)
+        for batch in batches:
+            wanted = _Queries.of(batch.column("query_id"), batch.column("embedding"))
+            floors = kernel.start(wanted)
+            for first in range(0, table.num_rows, _BLOCK_ROWS):
+                yield from kernel.scan(table.slice(first, _BLOCK_ROWS), wanted, floors)
+
+    return _with_vector(queries).mapInArrow(run, schema)
+
+
+def _paired(kernel: _Kernel, schema, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of every pair of a query part and a vector part, as bounded co-groups."""
 
     def pair(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
@@ -309,8 +323,72 @@ def _scan_in_cells(
         empty = [pa.array([], pa.int64()), held.column(kernel.group).slice(0, 0), held.column(kernel.item).slice(0, 0)]
         return pa.table(empty + [pa.array([], pa.float64())], names=kernel.columns())
 
-    grouped = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v"))
-    return grouped.applyInArrow(pair, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
+
+
+def _part(parts, *columns: str):
+    return F.pmod(F.xxhash64(*columns), parts).cast("int")
+
+
+def _every(parts):
+    return F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+
+
+def _scan_in_cells(
+    vectors: DataFrame, kernel: _Kernel, queries: DataFrame, schema, cell_queries: int, cell_vectors: int
+) -> DataFrame:
+    """Every pair of a query cell and a vector cell as one bounded co-group."""
+    query_cells = F.lit(-(-queries.count() // cell_queries) or 1)
+    # Counting stored vectors does not read them.
+    vector_cells = F.lit(-(-vectors.select(kernel.item).count() // cell_vectors) or 1)
+    # Wrapped in a struct, the vectors stay apart from those of the other side when both come from the
+    # same table.
+    left = _with_vector(queries).select(
+        "query_id", F.struct("embedding").alias("_asked"), _part(query_cells, "query_id").alias("_q"),
+        _every(vector_cells).alias("_v"),
+    )
+    right = _with_vector(vectors).withColumn("_v", _part(vector_cells, kernel.group, kernel.item))
+    return _paired(kernel, schema, left, right.withColumn("_q", _every(query_cells)), ["_q", "_v"])
+
+
+def _scan_probed_cells(
+    vectors: DataFrame, kernel: _Kernel, queries: DataFrame, schema, cell_queries: int, cell_vectors: int
+) -> DataFrame:
+    """Queries meet vectors in the cells that they probe, by an equi-join on the cell.
+
+    A cell is cut into as many parts as its rows on either side call for, so a cell with much of the data
+    is spread over many tasks. Vectors in cells that no query probes are not moved.
+    """
+    planes = kernel.planes
+
+    def probe(column: pa.Array) -> list[pa.Array]:
+        matrix = _matrix(column)
+        unit, kept = _unit_rows(matrix)
+        cells: list = [None] * len(matrix)
+        for row, probed in zip(kept, planes.probed(unit) if len(kept) else []):
+            cells[row] = probed
+        return [pa.array(cells, pa.list_(pa.int32()))]
+
+    added = T.StructType([T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    asked = arrow_step(_with_vector(queries), {"embedding": F.col("embedding")}, added, probe)
+    asked = asked.select("query_id", F.struct("embedding").alias("_asked"), F.explode("_cells").alias("cell"))
+    counts = asked.groupBy("cell").agg(F.count("*").alias("_asking")).join(
+        vectors.groupBy("cell").agg(F.count("*").alias("_held")), "cell"
+    )
+    # One row per cell, and cells are a power of two that the caller chose.
+    parts = materialise(
+        counts.select(
+            "cell",
+            F.ceil(F.col("_asking") / F.lit(cell_queries)).alias("_qs"),
+            F.ceil(F.col("_held") / F.lit(cell_vectors)).alias("_vs"),
+        )
+    )
+    left = asked.join(parts, "cell").select(
+        "cell", "query_id", "_asked", _part(F.col("_qs"), "query_id").alias("_q"), _every(F.col("_vs")).alias("_v")
+    )
+    right = _with_vector(vectors).join(parts, "cell").withColumn("_v", _part(F.col("_vs"), kernel.group, kernel.item))
+    right = right.withColumn("_q", _every(F.col("_qs"))).drop("_qs", "_vs")
+    return _paired(kernel, schema, left, right, ["cell", "_q", "_v"])
 
 
 def top_groups(
@@ -327,6 +405,7 @@ def top_groups(
     with_item: bool = True,
     broadcast_queries: int = BROADCAST_QUERIES,
     broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_vectors: int = BROADCAST_VECTORS,
     cell_queries: int = CELL_QUERIES,
     cell_vectors: int = CELL_VECTORS,
 ) -> DataFrame:
@@ -353,6 +432,8 @@ def top_groups(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
+    # Looked at and then used: without this, a model behind the queries would run for each.
+    queries = materialise(queries)
     small = _small_queries(queries, broadcast_queries, broadcast_bytes)
     planes = None
     if method == "lsh":
@@ -364,6 +445,10 @@ def top_groups(
     kernel = _Kernel(group, item, k, cap, planes)
     if small is not None:
         found = _scan_with_broadcast(vectors, kernel, small, schema)
+    elif in_cells:
+        found = _scan_probed_cells(vectors, kernel, queries, schema, cell_queries, cell_vectors)
+    elif (held := _fetched(vectors, broadcast_vectors, broadcast_bytes)) is not None:
+        found = _scan_queries(queries, kernel, held, schema)
     else:
         found = _scan_in_cells(vectors, kernel, queries, schema, cell_queries, cell_vectors)
     if cap:
@@ -388,12 +473,12 @@ def top_groups(
 
 
 def write_cells(
-    vectors: DataFrame, path: str, bits: int = 8, seed: int = 7, files_per_cell: int = 8, mode: str = "overwrite"
+    vectors: DataFrame, path: str, bits: int = 8, seed: int = 7, file_rows: int = CELL_ROWS, mode: str = "overwrite"
 ) -> None:
     """Store vectors with their ``cell``, a folder per cell, for ``method="lsh"``.
 
-    Zero and missing vectors have no direction and are left out. Rows of one cell are spread over
-    several tasks by their vector, so that a cell with much of the data is no bottleneck.
+    Zero and missing vectors have no direction and are left out. A cell is spread over tasks in
+    proportion to its rows, so that one with much of the data is no bottleneck and files stay of one size.
     """
 
     def compute(column: pa.Array) -> list[pa.Array]:
@@ -406,9 +491,11 @@ def write_cells(
 
     added = T.StructType([T.StructField("cell", T.IntegerType())])
     placed = arrow_step(_with_vector(vectors), {"embedding": F.col("embedding")}, added, compute)
-    salt = F.pmod(F.xxhash64("embedding"), F.lit(files_per_cell))
-    rows = placed.filter(F.col("cell") >= 0).withColumn("_salt", salt).repartition("cell", "_salt")
-    rows.drop("_salt").write.mode(mode).partitionBy("cell").parquet(path)
+    placed = placed.filter(F.col("cell") >= 0)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(file_rows)).alias("_files"))
+    rows = placed.join(sizes, "cell").withColumn("_salt", F.pmod(F.xxhash64("embedding"), F.col("_files")))
+    rows = rows.repartition("cell", "_salt").drop("_salt", "_files")
+    rows.write.mode(mode).partitionBy("cell").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def search_chunks(

@@ -29,10 +29,15 @@ _CALL_ROW = T.StructType(
 )
 
 
+def _storable(text: str) -> str:
+    """The text with lone surrogates, which no file can hold, as the escapes that JSON has for them."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
 def _as_text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if value is None:
+        return None
+    return _storable(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
 def _read_payload(payload: str) -> tuple[dict | None, str]:
@@ -41,12 +46,12 @@ def _read_payload(payload: str) -> tuple[dict | None, str]:
         found = json.loads(_TAG.sub("", payload).strip())
         named = isinstance(found, dict) and "name" in found
         return (found, "parsed") if named else (None, "dropped")
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
     braces = payload[payload.find("{") : payload.rfind("}") + 1] if "{" in payload else ""
     try:
         return json.loads(braces), "recovered"
-    except ValueError:
+    except (ValueError, RecursionError):
         return None, "dropped"
 
 
@@ -119,6 +124,8 @@ INVALID_TAIL = "\nPlease call the tool again with only the valid parameters list
 MISSING_TAIL = "\nPlease call the tool again with all required parameters."
 UNKNOWN = "Error: Unknown tool '%s'"
 GENERIC = "Error executing %s: %s"
+# What a call gets whose arguments are no JSON object.
+UNDECODABLE = "arguments are not a JSON object"
 NO_DESCRIPTION = "No description"
 
 
@@ -186,11 +193,13 @@ def _with_catalog(calls: DataFrame, tools: DataFrame) -> DataFrame:
         F.lit(True).alias("known"),
     )
     joined = calls.join(catalog, "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    given = F.coalesce(F.map_keys(_decoded(F.col("arguments"))), nothing)
+    decoded = _decoded(F.col("arguments"))
+    joined = joined.withColumn("_readable", F.col("arguments").isNull() | decoded.isNotNull())
+    given, checked = F.coalesce(F.map_keys(decoded), nothing), F.col("known") & F.col("_readable")
     return joined.withColumns(
         {
-            "invalid": F.when(F.col("known"), F.array_except(given, F.map_keys("_params"))),
-            "missing": F.when(F.col("known"), F.array_except("_required", given)),
+            "invalid": F.when(checked, F.array_except(given, F.map_keys("_params"))),
+            "missing": F.when(checked, F.array_except("_required", given)),
         }
     )
 
@@ -206,20 +215,27 @@ def unknown_tools(calls: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def validate_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """Each call with its invalid and missing parameters, a verdict and the report text."""
+    """Each call with its invalid and missing parameters, a verdict and the report text.
+
+    Arguments that are no JSON object cannot be checked: verdict ``undecodable``, both lists null.
+    """
     checked = _with_catalog(calls, tools)
     verdict = (
         F.when(~F.col("known"), "unknown")
+        .when(~F.col("_readable"), "undecodable")
         .when(F.size("invalid") > 0, "invalid")
         .when(F.size("missing") > 0, "missing")
         .otherwise("ok")
     )
     report = (
         F.when(F.col("verdict") == "unknown", unknown_tool_text(F.col("name")))
+        .when(F.col("verdict") == "undecodable", F.format_string(GENERIC, F.col("name"), F.lit(UNDECODABLE)))
         .when(F.col("verdict") == "invalid", _invalid_report(F.lit("invalid params")))
         .when(F.col("verdict") == "missing", _missing_report(F.lit("missing required params")))
     )
-    return checked.withColumn("verdict", verdict).withColumn("report", report).drop("_params", "_required", "known")
+    return checked.withColumn("verdict", verdict).withColumn("report", report).drop(
+        "_params", "_required", "_readable", "known"
+    )
 
 
 def register(registry: Mapping[str, Callable], name: str, fn: Callable) -> dict[str, Callable]:
@@ -246,9 +262,9 @@ def _run_call(registry: Mapping[str, Callable], name: str | None, arguments: str
         return {"value": UNKNOWN % name}
     try:
         given = json.loads(arguments if arguments is not None else "{}")
-        return {"value": str(registry[name](**given))}
+        return {"value": _storable(str(registry[name](**given)))}
     except Exception as failure:
-        return {"error": str(failure)}
+        return {"error": _storable(str(failure))}
 
 
 def execute_calls(calls: DataFrame, registry: Mapping[str, Callable], tools: DataFrame) -> DataFrame:

@@ -11,9 +11,6 @@ from lorekeep.functions import prompts, text as tx, vectors as vx
 from lorekeep.operators.models import EmbeddingModel, TextModel, embed, with_answer
 from lorekeep.operators.search import top_groups
 
-# Longest text of a whole catalog in one prompt, far above what models read.
-CATALOG_CHARS = 4_000_000
-
 
 def cached_summaries(tools: DataFrame, index: DataFrame) -> DataFrame:
     """Tools with the summaries an earlier index holds under their name.
@@ -205,10 +202,9 @@ def render_tool_prompt(
 ) -> DataFrame:
     """``query_id, prompt``: the base message with the selected tools of each query.
 
-    A query of ``queries`` without any selected tool is shown every tool, and the base message
-    alone when the catalog is empty. That whole-catalog prompt is one text, built only when
-    ``queries`` is given and after its size was looked at: a catalog that no model could read is an
-    error.
+    With ``queries``, every one of them has a row, and ``whole_catalog`` tells those without any selected tool,
+    which are shown every tool: their ``prompt`` is null, and the tools' texts are ``catalog_blocks``, kept once
+    instead of once per query. With an empty catalog the prompt is the base message alone.
     """
     block = tool_block(F.col("tool"), F.col("description"), F.col("params"), F.col("required"))
     blocks = selected_definitions(selected.select("query_id", "rank", "tool"), tools).select(
@@ -223,14 +219,15 @@ def render_tool_prompt(
     shown = blocks.groupBy("query_id").agg(_joined_blocks("rank").alias("_tools"))
     if queries is None:
         return shown.select("query_id", message(F.col("_tools")).alias("prompt"))
-    every = tools.select(
-        F.col("name").alias("_name"),
-        tool_block(F.col("name"), F.col("description"), F.col("params"), F.col("required")).alias("_block"),
-    )
-    size = every.agg(F.sum(F.char_length("_block"))).first()[0] or 0
-    if size > CATALOG_CHARS:
-        raise ValueError(f"a prompt with every tool would have {size} characters; select tools for all queries")
-    whole = every.agg(_joined_blocks("_name")).scalar()
+    any_tool = F.coalesce(tools.limit(1).select(F.lit(True)).scalar(), F.lit(False))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id")).join(shown, "query_id", "left")
-    described = F.nullif(F.coalesce("_tools", whole), F.lit(""))
-    return asked.select("query_id", F.coalesce(message(described), F.lit(base)).alias("prompt"))
+    whole = F.col("_tools").isNull() & any_tool
+    prompt = F.when(F.col("_tools").isNotNull(), message(F.col("_tools"))).when(~any_tool, F.lit(base))
+    return asked.select("query_id", prompt.alias("prompt"), whole.alias("whole_catalog"))
+
+
+def catalog_blocks(tools: DataFrame) -> DataFrame:
+    """``name, block`` of every tool, sorted by name: what a query without a selection is shown between the same
+    beginning and end, with a line break after each block but the last."""
+    block = tool_block(F.col("name"), F.col("description"), F.col("params"), F.col("required"))
+    return tools.select("name", block.alias("block")).orderBy("name")

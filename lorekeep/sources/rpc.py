@@ -61,6 +61,19 @@ def flatten_catalog(responses: DataFrame, namespaced: bool = True) -> DataFrame:
     )
 
 
+def failed_listings(responses: DataFrame) -> DataFrame:
+    """``server, error`` of the tools/list calls in ``server, response`` rows that gave no catalog."""
+    outer = F.from_json("response", "result STRUCT<tools: STRING>, error STRING")
+    message = F.coalesce(F.from_json(outer["error"], "message STRING")["message"], F.lit("Unknown error"))
+    failed = F.concat(F.lit("MCP server '"), F.col("server"), F.lit("' "))
+    error = (
+        F.when(F.coalesce("response", F.lit("")) == "", F.concat(failed, F.lit("returned no response for tools/list")))
+        .when(outer["error"].isNotNull(), F.concat(failed, F.lit("tools/list failed: "), message))
+        .when(outer["result"]["tools"].isNull(), F.concat(failed, F.lit("listed no tools")))
+    )
+    return responses.select("server", error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def rpc_result_text(responses: DataFrame) -> DataFrame:
     """Add ``text`` and ``is_error`` to rows with a ``response`` of a tools/call.
 

@@ -15,13 +15,14 @@ _ROW = (
 _NOTE = "Vectors are not part of this file"
 
 
-def read_tool_index(spark: SparkSession, path: str) -> DataFrame:
-    """``name, description, example_queries, query_stats`` from an index file with tools as keys.
+def read_tool_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``name, description, example_queries, query_stats`` from index files with tools as keys.
 
-    Missing fields become empty; a missing or unreadable file gives no rows.
+    A file is one object, or with ``lines`` an object per line. Missing fields become empty; a missing or
+    unreadable file gives no rows.
     """
     try:
-        files = spark.read.schema(schemas.TOOL_INDEX_FILE).json(path, multiLine=True)
+        files = spark.read.schema(schemas.TOOL_INDEX_FILE).json(path, multiLine=not lines)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -43,6 +44,19 @@ def write_tool_index(tool_summaries: DataFrame, tools: DataFrame, path: str) ->
     header.write.mode("overwrite").json(f"{root}/metadata")
 
 
+def write_keyed_index(tool_summaries: DataFrame, tools: DataFrame, path: str) -> None:
+    """The index as objects with ``metadata`` and, under ``tools``, a tool by its name: one tool per line, so that a
+    large catalog is written by many tasks. ``read_tool_index(..., lines=True)`` reads it."""
+    # One row of two numbers.
+    number, width = tool_index_header(tool_summaries).first()
+    header = F.struct(
+        F.lit(number).alias("num_tools"), F.lit(width).alias("embedding_dim"), F.lit(_NOTE).alias("note")
+    )
+    entry = F.struct("description", "example_queries", "query_stats")
+    objects = F.to_json(F.struct(header.alias("metadata"), F.create_map("name", entry).alias("tools")))
+    tool_index(tool_summaries, tools).select(objects.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_saved_index(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_tool_index`` wrote."""
     return spark.read.schema(_ROW).json(f"{path.rstrip('/')}/tools")

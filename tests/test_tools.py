@@ -97,11 +97,11 @@ def test_prompt_rendering(spark, monkeypatch):
         f"{example}\n  </tool_call>"
     )
     assert got[1] == f"Base.\n\n# Available Tools\n{block}\n\nEnd."
-    # A query without a selection is shown every tool.
-    assert "find: Finds" in got[2] and "stop: Stops" in got[2]
-    with pytest.raises(ValueError, match="select tools"):
-        monkeypatch.setattr(tl, "CATALOG_CHARS", 10)
-        tl.render_tool_prompt(selected, catalog, "Base.", asked)
+    # A query without a selection is shown every tool; their texts are kept once.
+    flags = tl.render_tool_prompt(selected, catalog, "Base.", asked, "End.").select("query_id", "whole_catalog")
+    assert got[2] is None and {tuple(r) for r in flags.collect()} == {(1, False), (2, True)}
+    every = tl.catalog_blocks(catalog).collect()
+    assert [r.name for r in every] == ["find", "stop"] and every[0].block == block and "stop: Stops" in every[1].block
     nothing = tl.render_tool_prompt(selected, catalog.limit(0), "Base.", asked, "End.").collect()
     assert {r.prompt for r in nothing} == {"Base."}
 
