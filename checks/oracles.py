@@ -512,6 +512,19 @@ select row_number() over (order by source, doc_id::varchar, pos) - 1 as chunk_id
        case when found is null then 'failed' else 'complete' end as status,
        case when found is null then 3 else 1 end::bigint as attempt, coalesce(len(found), 0) as vectors
 from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos"""
+SQL["ingest_twice"] = f"""{_SUMMARIES},
+hashed as (select c.key as doc_id, c.pos, d.source, length(c.text) as length, md5(c.text) as hash, c.key % 3 = 2 as later
+           from chunks c join docs d on d.key = c.key),
+fresh as (select * from hashed
+          qualify row_number() over (partition by hash order by later, source, doc_id::varchar, pos) = 1)
+select row_number() over (order by later, source, doc_id::varchar, pos) - 1 as chunk_id, source, length, hash, hash as text_hash,
+       case when found is null then 'failed' else 'complete' end as status,
+       case when found is null then 3 else 1 end::bigint as attempt, coalesce(len(found), 0) as vectors
+from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos"""
+SQL["ingest_report"] = f"""{_SUMMARIES},{_FRESH}
+select source, count(*) as stored, count(found) as complete, count(*) - count(found) as failed,
+       coalesce(sum(len(found)), 0)::bigint as questions, round(100.0 * count(found) / count(*), 6)::double as success_rate
+from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos group by 1"""
 SQL["tool_index_saved"] = SQL["tool_index_stats"]
 SQL["tool_index_keyed"] = SQL["tool_index_stats"]
 SQL["search_few_vectors"] = SQL["search_topk_exact"]

@@ -393,6 +393,21 @@ def ingest_documents(spark, folder):
     return _stored(store)
 
 
+def ingest_twice(spark, folder):
+    """Two overlapping batches: the second, of all documents, adds only what the first did not hold."""
+    store = open_store(spark, scratch_path(spark, "store"))
+    docs = inputs.docs(spark, folder)
+    ing.ingest(docs.filter(F.expr("cast(doc_key as long) % 3 < 2")), store)
+    ing.ingest(docs, store)
+    return _stored(store)
+
+
+def ingest_report(spark, folder):
+    """The load report of a batch, from what ingest gives back."""
+    _, report = ing.ingest_batch(inputs.docs(spark, folder), open_store(spark, scratch_path(spark, "store")))
+    return _rounded(memory.load_report(report), "success_rate")
+
+
 def ingest_stream(spark, folder):
     """The same from a stream of documents."""
     schema = inputs.table(spark, folder, "documents").schema
@@ -765,7 +780,7 @@ _ALL: tuple[Query, ...] = (
     export_saved, ingest_documents, ingest_stream, tool_index_saved,
     history_stream, search_few_vectors, lsh_stored_cells, lsh_recall, select_registered_tools,
     render_tool_prompt_all, catalog_blocks, failed_listings, tool_index_keyed, markdown_files,
-    extract_structured_calls, validate_undecodable, registered_function,
+    extract_structured_calls, validate_undecodable, registered_function, ingest_twice, ingest_report,
 )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorekeep.functions import text as tx
+from lorekeep.session import materialise
 
 _FAILURE_WIDTH = 100
 
@@ -68,14 +69,20 @@ def latest_status(
     )
 
 
-def with_status(chunks: DataFrame, chunk_status: DataFrame) -> DataFrame:
+def with_status(
+    chunks: DataFrame, chunk_status: DataFrame, fields: Sequence[str] = ("status", "error", "questions")
+) -> DataFrame:
     """Chunks with their current status; one without a record counts as complete."""
-    joined = chunks.join(latest_status(chunk_status), "chunk_id", "left")
+    joined = chunks.join(latest_status(chunk_status, fields), "chunk_id", "left")
     return joined.withColumn("status", F.coalesce("status", F.lit("complete")))
 
 
 def by_status(chunks: DataFrame, chunk_status: DataFrame, status: str = "pending") -> DataFrame:
-    return with_status(chunks, chunk_status).filter(F.col("status") == status)
+    """Chunks with this status. The log is filtered before chunks, and their texts, are joined to it."""
+    if status == "complete":
+        # These need no record.
+        return with_status(chunks, chunk_status).filter(F.col("status") == status)
+    return chunks.join(latest_status(chunk_status).filter(F.col("status") == status), "chunk_id")
 
 
 def orphans(metadata: DataFrame, payload: DataFrame) -> DataFrame:
@@ -150,15 +157,16 @@ def load_total(report: DataFrame) -> DataFrame:
 
 def failures(batch: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` failed chunks with a shortened error, and how many failed in all."""
-    failed = batch.filter(F.col("status") == "failed")
     shown = F.concat(F.substring("error", 1, _FAILURE_WIDTH), F.lit("..."))
+    # Counted and listed: materialised, so that the batch is evaluated once.
+    failed = materialise(batch.filter(F.col("status") == "failed").select("source", "chunk_id", shown.alias("error")))
     return (
         failed.orderBy("source", "chunk_id")
         .limit(n)
         .select(
             "source",
             "chunk_id",
-            shown.alias("error"),
+            "error",
             failed.agg(F.count("*")).scalar().alias("total_failed"),
         )
     )

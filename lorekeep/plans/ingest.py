@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from lorekeep import schemas
 from lorekeep.operators.chunking import chunk_documents
-from lorekeep.operators.dedup import assign_ids, first_occurrence, without_stored
+from lorekeep.operators.dedup import BROADCAST_KEYS, assign_ids, first_occurrence, without_stored
 from lorekeep.operators.memory import ingest_stats, latest_status, with_status
 from lorekeep.operators.models import EmbeddingModel, TextModel, explode_questions, index_chunks
 from lorekeep.session import materialise
@@ -24,16 +25,21 @@ class Models:
     dim: int = schemas.EMBEDDING_DIM
 
 
-def new_chunks(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> DataFrame:
-    """Chunks the store does not hold, with ids from ``next_id`` on.
+def new_chunks(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks the store does not hold, with ids from ``next_id`` on: without and with their texts.
 
-    The batch is materialised once it is cut, so that its size can be looked at and its texts are
-    not cut again for the sort.
+    The batch is materialised once it is cut. Which chunks are new, and their ids, is decided on narrow rows;
+    texts are joined to them by the row they were cut as.
     """
     cut = chunk_documents(docs.select("doc_key", "source", "text"), size, overlap)
-    batch = materialise(first_occurrence(cut))
-    fresh = without_stored(batch, store.chunks, rows=batch.count())
-    return assign_ids(fresh, next_id)
+    cut = materialise(cut.withColumn("_cut", F.monotonically_increasing_id()))
+    batch = materialise(first_occurrence(cut.drop("text")))
+    count = batch.count()
+    fresh = assign_ids(without_stored(batch, store.chunks, rows=count), next_id)
+    numbered = fresh.select("_cut", "chunk_id")
+    if count <= BROADCAST_KEYS:
+        numbered = F.broadcast(numbered)
+    return fresh.drop("_cut"), cut.join(numbered, "_cut").drop("_cut")
 
 
 def _status(chunks: DataFrame, attempt: int, status, error=None, questions=None) -> DataFrame:
@@ -47,14 +53,14 @@ def _status(chunks: DataFrame, attempt: int, status, error=None, questions=None)
 
 
 def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> DataFrame:
-    """Phase one: the new chunks are stored as pending. Returns them.
+    """Phase one: the new chunks are stored as pending. Returns them without their texts.
 
     The status goes first: a chunk is never stored without one, and a status left by a failed
     run has no chunk and no effect.
     """
-    added = new_chunks(docs, store, size, overlap, next_id)
+    added, texts = new_chunks(docs, store, size, overlap, next_id)
     store.append_status(_status(added, 0, F.lit("pending")))
-    store.append_chunks(added)
+    store.append_chunks(texts)
     return added
 
 
@@ -74,15 +80,17 @@ def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, int, int] |
     return recent.join(waiting, "chunk_id"), low, high
 
 
-def index_pending(store: Store, models: Models, last: bool, since: int = 0) -> bool:
+def index_pending(store: Store, models: Models, last: bool, since: int = 0, wait: float = 0.0) -> bool:
     """Phase two: one attempt at every pending chunk; those failing the ``last`` one are failed.
 
     Vectors go before the status, so that a chunk is only complete once it can be found. Vectors
-    of an attempt that broke off are skipped when it is repeated. False when no chunk was pending.
+    of an attempt that broke off are skipped when it is repeated. ``wait`` seconds pass before the attempt if
+    any chunk is pending. False when none was.
     """
     found = pending_chunks(store, since)
     if found is None:
         return False
+    time.sleep(wait)
     waiting, low, high = found
     done = index_chunks(waiting, models.summarize, models.embed, dim=models.dim)
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
@@ -103,7 +111,7 @@ def index_pending(store: Store, models: Models, last: bool, since: int = 0) -> b
     return True
 
 
-def ingest(
+def ingest_batch(
     docs: DataFrame,
     store: Store,
     models: Models = Models(),
@@ -111,26 +119,38 @@ def ingest(
     overlap: int = schemas.CHUNK_OVERLAP,
     max_attempts: int = 3,
     resume: bool = True,
-) -> DataFrame:
-    """Store and index ``doc_key, source, text`` rows; one row of statistics comes back.
+    delay: float = 0.0,
+) -> tuple[DataFrame, DataFrame]:
+    """Store and index ``doc_key, source, text`` rows: (one row of statistics, the chunks of the batch).
 
+    The chunks come with their status, error and statements, as ``load_report`` and ``failures`` take them.
     With ``resume``, pending chunks left by an earlier run are indexed as well; without it only the
-    log entries of the new chunks are read.
+    log entries of the new chunks are read. ``delay`` seconds, doubled each time, pass before a further attempt.
     """
     next_id = store.next_id()
     since = 0 if resume else next_id
     added = store_pending(docs, store, size, overlap, next_id)
     for attempt in range(1, max_attempts + 1):
-        if not index_pending(store, models, attempt == max_attempts, since):
+        wait = delay * 2 ** (attempt - 2) if attempt > 1 else 0.0
+        if not index_pending(store, models, attempt == max_attempts, since, wait):
             break
-    return batch_stats(added, store)
+    report = batch_report(added, store, next_id)
+    return batch_stats(report, store), report
 
 
-def batch_report(added: DataFrame, store: Store) -> DataFrame:
-    """The chunks of a batch with their status, for the load report and the failure list."""
-    return with_status(added.drop("text"), store.chunk_status)
+def ingest(docs: DataFrame, store: Store, models: Models = Models(), *args, **options) -> DataFrame:
+    """The statistics of ``ingest_batch`` alone."""
+    return ingest_batch(docs, store, models, *args, **options)[0]
 
 
-def batch_stats(added: DataFrame, store: Store) -> DataFrame:
-    whole = with_status(store.metadata(), store.chunk_status)
-    return ingest_stats(batch_report(added, store), whole)
+def batch_report(added: DataFrame, store: Store, since: int = 0) -> DataFrame:
+    """The chunks of a batch with their status, for the load report and the failure list.
+
+    Ids are given in order, so of the log only what concerns ids from ``since`` on is read.
+    """
+    return with_status(added, store.chunk_status.filter(F.col("chunk_id") >= since))
+
+
+def batch_stats(report: DataFrame, store: Store) -> DataFrame:
+    whole = with_status(store.chunks.select("chunk_id"), store.chunk_status, ("status",))
+    return ingest_stats(report, whole.withColumn("questions", F.lit(None).cast("array<string>")))

@@ -54,14 +54,14 @@ def found(df):
     return sorted((r.query_id, r["rank"], r.chunk_id, r.question_id) for r in df.collect())
 
 
-@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 5, "cell_queries": 6, "cell_vectors": 100}, {"broadcast_bytes": 100}])
+@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 5, "broadcast_vectors": 0, "cell_queries": 6, "cell_vectors": 100}, {"broadcast_queries": 5}, {"broadcast_bytes": 100}])
 @pytest.mark.parametrize("k, cap", [(3, None), (3, 30), (2, 4), (100, None)])
 def test_matches_brute_force(frames, data, k, cap, tuning):
     got = top_groups(*frames, group="chunk_id", item="question_id", k=k, cap=cap, **tuning)
     assert found(got) == brute(*data, k, cap)
 
 
-@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 5, "cell_queries": 50, "cell_vectors": 100}])
+@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 5, "broadcast_vectors": 0, "cell_queries": 50, "cell_vectors": 100}, {"broadcast_queries": 5}])
 def test_queries_from_the_searched_table(frames, data, tuning):
     _, vectors = frames
     asked = vectors.select(F.col("question_id").alias("query_id"), "embedding")
@@ -139,6 +139,27 @@ def test_stored_cells_are_pruned(spark, tmp_path, frames, data):
         top_groups(queries, stored, probes=16, **{**options, "seed": 8}).collect()
 
 
+@pytest.mark.parametrize("tuning", [{}, {"broadcast_queries": 3}, {"broadcast_queries": 3, "broadcast_vectors": 0}])
+def test_every_query_is_embedded_once(spark, frames, tmp_path, tuning):
+    from lorekeep.operators.models import embed
+
+    log = str(tmp_path / "calls")
+
+    def model(texts):
+        with open(log, "a") as file:
+            file.writelines(f"{text}\n" for text in texts)
+        return [[float(len(text)), 1.0, 2.0, 3.0, 4.0, 5.0] for text in texts]
+
+    asked = spark.createDataFrame([(n, "q" * n) for n in range(12)], "query_id long, text string").repartition(3)
+    assert search_chunks(embed(asked, fn=model, keep=["query_id"]), frames[1], **tuning).count() > 0
+    assert sorted(map(len, open(log).read().split("\n")[:-1])) == list(range(12))
+
+
+def test_few_vectors_are_not_shuffled(frames):
+    plan = search_chunks(*frames, broadcast_queries=5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
 def test_vectors_of_different_lengths_are_refused(spark):
     frames = spark.createDataFrame([(1, [1.0, 0.0])], QUERIES), spark.createDataFrame([(1, 1, [1.0]), (2, 2, [1.0, 2.0])], VECTORS)
     with pytest.raises(Exception, match="different lengths"):
@@ -163,7 +184,7 @@ def test_text_and_source(spark, rows):
 
 
 def test_neither_plan_makes_pairs_of_rows(frames):
-    for tuning in ({}, {"broadcast_queries": 5}):
+    for tuning in ({}, {"broadcast_queries": 5}, {"broadcast_queries": 5, "broadcast_vectors": 0}):
         plan = search_chunks(*frames, **tuning)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "WindowGroupLimit" in plan

@@ -225,7 +225,18 @@ def test_new_chunks_are_compared_with_the_store_either_way(spark, store, rows, m
     both = spark.createDataFrame([("1", "t", words("cats")), ("2", "t", words("dogs"))], DOCS)
     for limit in (500_000, 0):
         monkeypatch.setattr(dedup, "BROADCAST_KEYS", limit)
-        assert rows(ing.new_chunks(both, store, 4000, 400, 1), "chunk_id", "doc_key") == [(1, "2")]
+        narrow, whole = ing.new_chunks(both, store, 4000, 400, 1)
+        assert rows(narrow, "chunk_id", "doc_key") == rows(whole, "chunk_id", "doc_key") == [(1, "2")]
+        assert "text" not in narrow.columns and rows(whole, "text") == [(words("dogs"),)]
+
+
+def test_a_batch_comes_back_with_its_failures(spark, store, rows):
+    docs = spark.createDataFrame([("1", "s", words("cats")), ("2", "s", "short"), ("3", "t", "brief")], DOCS)
+    repeated = docs.unionByName(docs.filter("doc_key = '1'"))
+    stats, report = ing.ingest_batch(repeated, store, max_attempts=2, delay=0.01)
+    assert stats.first().chunks_stored == 3 and stats.first().total_failed == 2
+    assert rows(memory.failures(report, 1), "source", "total_failed") == [("s", 2)]
+    assert rows(memory.load_report(report), "source", "complete", "failed") == [("s", 1, 1), ("t", 0, 1)]
 
 
 def test_listings(spark, rows):

@@ -149,3 +149,23 @@ def test_error_classes(spark):
     ]
     df = spark.createDataFrame([(i, t, 32768, e, k) for i, t, e, k in rows], "iteration int, approx_tokens long, n_ctx long, error string, want string")
     assert all(r.kind == r.want for r in tc.classify_errors(df).collect())
+
+
+def test_lone_surrogates_and_deep_payloads_do_not_end_a_job(spark):
+    deep = "[" * 100_000
+    contents = [
+        '<tool_call>{"name": "f\\ud800", "arguments": {"x": "\\udfff"}}</tool_call>',
+        f'<tool_call>{{"name": "f", "arguments": {deep}}}</tool_call>',
+    ]
+    df = spark.createDataFrame([(1, n, "assistant", text) for n, text in enumerate(contents)], "conv_id long, turn long, role string, content string")
+    found = tc.extract_tool_calls(df).collect()
+    assert [(r.turn, r.name, r.arguments) for r in found] == [(0, "f\\ud800", '{"x":"\\udfff"}')]
+
+
+def test_undecodable_arguments_have_a_verdict_of_their_own(spark):
+    catalog = tc.tool_row(spark, "f", "F", {"properties": {"x": {"type": "string"}}, "required": ["x"]})
+    given = [('{"x": 1}', "ok"), ('{"x": ', "undecodable"), (None, "missing"), ("{}", "missing"), ('{"y": 1}', "invalid")]
+    calls = spark.createDataFrame([("f", arguments, want) for arguments, want in given], "name string, arguments string, want string")
+    for row in tc.validate_calls(calls, catalog).collect():
+        assert row.verdict == row.want
+        assert (row.missing is None) == (row.want == "undecodable") and (row.report is None) == (row.want == "ok")

@@ -132,3 +132,14 @@ def test_catalog_and_results(spark, rows):
     df = spark.createDataFrame([(r, t, e) for r, t, e in answers], "response string, want string, wrong boolean")
     for row in rpc.rpc_result_text(df).collect():
         assert (row.text.replace(" ", ""), row.is_error) == (row.want.replace(" ", ""), row.wrong)
+
+
+def test_failed_listings(spark, rows):
+    from lorekeep.sources.rpc import failed_listings
+
+    answers = [("a", '{"result": {"tools": []}}'), ("b", '{"error": {"message": "down"}}'), ("c", None), ("d", '{"result": {}}'), ("e", '{"error": {}}')]
+    found = dict(rows(failed_listings(spark.createDataFrame(answers, "server string, response string")), "server", "error"))
+    assert found == {
+        "b": "MCP server 'b' tools/list failed: down", "c": "MCP server 'c' returned no response for tools/list",
+        "d": "MCP server 'd' listed no tools", "e": "MCP server 'e' tools/list failed: Unknown error",
+    }
