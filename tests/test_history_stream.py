@@ -43,3 +43,29 @@ def test_windows_kept_over_batches_equal_those_of_the_whole_log(spark, rocksdb,
     whole = history_window(spark.createDataFrame(log, SCHEMA), 5)
     columns = ("conv_id", "position", "turn", "role", "content")
     assert rows(kept, *columns) == rows(whole, *columns)
+
+
+def test_messages_keep_their_other_fields(spark, rocksdb, tmp_path):
+    from datetime import datetime
+
+    from lorekeep import schemas
+
+    call = [{"id": "c1", "type": "function", "function": {"name": "f", "arguments": "{}"}}]
+    at = datetime(2024, 5, 6, 7, 8, 9, 123456)
+    log = [(1, n, "tool" if n % 2 else "assistant", f"m{n}", at, None if n % 2 else call, f"c{n}" if n % 2 else None, None) for n in range(9)]
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(log, schemas.MESSAGES).write.parquet(source)
+    stream = spark.readStream.schema(schemas.MESSAGES).parquet(source)
+    query = (
+        history_stream(stream, n=4)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", str(tmp_path / "progress"))
+        .foreachBatch(lambda df, number: df.write.mode("append").parquet(sink))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = {r.turn: r for r in spark.read.parquet(sink).collect()}
+    assert sorted(got) == [5, 6, 7, 8]
+    assert got[5].tool_call_id == "c5" and got[5].tool_calls is None and got[5].ts == at
+    assert got[6].tool_calls[0].function.name == "f" and got[6].tool_call_id is None
