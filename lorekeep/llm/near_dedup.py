@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorekeep.llm.common import hidden, map_rows, shown
+from lorekeep.llm.common import broadcast_if_small, hidden, map_rows, shown
 from lorekeep.llm.components import components
 from lorekeep.llm.hashing import mix64, shingles
 from lorekeep.session import materialise
@@ -117,7 +117,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``v, bag`` of the vertices in ``wanted`` (``v``): hashes, then counts, as packed 32-bit numbers."""
+    """``v, bag`` of the vertices in ``wanted`` (``v``): packed 32-bit hashes, and their counts behind them if any is above 1."""
 
     def step(batch: pa.RecordBatch):
         packed = []
@@ -125,12 +125,15 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keys, counts = bag(text)
             # 32 bits tell the shingles of two documents apart well enough.
             keys, first = np.unique((keys >> np.uint64(32)).astype(np.uint32), return_index=True)
-            packed.append(np.concatenate([keys, counts[first].astype(np.uint32)]).tobytes())
-        yield {"v": batch.column("v"), "bag": packed}
+            counts = counts[first].astype(np.uint32)
+            packed.append((keys.tobytes(), counts.tobytes() if len(counts) and counts.max() > 1 else b""))
+        yield {"v": batch.column("v"), "bag": [one for one, _ in packed], "counts": [two for _, two in packed]}
 
-    rows = docs.select(vertex().alias("v"), "text").join(wanted, "v", "left_semi")
+    # Few vertices are broadcast to the texts; else both are shuffled.
+    rows = docs.select(vertex().alias("v"), "text").join(broadcast_if_small(wanted), "v", "left_semi")
     # One row per vertex: copies of a text go after the bags are made, which are smaller than texts.
-    return map_rows(rows, "v binary, bag binary", step).groupBy("v").agg(F.first("bag").alias("bag"))
+    bags = map_rows(rows, "v binary, bag binary, counts binary", step).groupBy("v")
+    return bags.agg(F.first(F.struct("bag", "counts")).alias("bag"))
 
 
 def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar: float) -> DataFrame:
@@ -142,9 +145,9 @@ def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar:
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     def check(batch: pa.RecordBatch):
-        def unpack(data: bytes):
-            halves = np.frombuffer(data, np.uint32).reshape(2, -1)
-            return halves[0], halves[1]
+        def unpack(data: dict[str, bytes]):
+            keys = np.frombuffer(data["bag"], np.uint32)
+            return keys, np.frombuffer(data["counts"], np.uint32) if data["counts"] else np.ones(len(keys), np.uint32)
 
         pairs = zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist())
         same = [similarity(unpack(a), unpack(b)) >= similar - 1e-9 for a, b in pairs]
@@ -155,7 +158,7 @@ def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar:
 
     likely = beside(beside(edges, signatures, "a", "registers", "ra"), signatures, "b", "registers", "rb")
     likely = materialise(map_rows(likely.select("a", "b", "ra", "rb"), "a binary, b binary", screen))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    ends = materialise(likely.select(F.explode(F.array("a", "b")).alias("v")).distinct())
     bags = _bags(docs, ends)
     pairs = beside(beside(likely, bags, "a", "bag", "ba"), bags, "b", "bag", "bb")
     return materialise(map_rows(pairs.select("a", "b", "ba", "bb"), "a binary, b binary", check))
@@ -276,12 +279,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of ``docs`` per class, that with the smallest id, with all columns."""
     labels = classes(docs.select("doc_id", "text"), similar)
-    rows, names = hidden(docs)
-    rows = _labelled(rows.withColumn("_vertex", vertex(names["text"])), labels, "_vertex", "_class")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_vertex")
     narrow = _labelled(docs.select("doc_id", vertex().alias("_vertex")), labels, "_vertex", "_class")
     first = narrow.groupBy("_class").agg(F.min(order).alias("_first"))
-    first = first.select(F.col("_first._vertex").alias("_v"), F.col("_first.doc_id").alias("_id"))
-    same = (F.col("_vertex") == F.col("_v")) & F.col(names["doc_id"]).eqNullSafe(F.col("_id"))
-    # What is left of a class is one row, or rows that repeat.
-    return shown(rows.join(first, same, "left_semi").dropDuplicates(["_class"]), names)
+    first = materialise(first.select(F.col("_first._vertex").alias("_v"), F.col("_first.doc_id").alias("_id"), "_class"))
+    rows, names = hidden(docs)
+    rows = rows.withColumn("_vertex", vertex(names["text"]))
+    same = lambda name: (F.col("_vertex") == F.col("_v")) & F.col(name).eqNullSafe(F.col("_id"))
+    kept = rows.join(first, same(names["doc_id"]))
+    # A class keeps several rows only where a row repeats; if none does, texts need not meet once more.
+    if docs.select("doc_id", vertex().alias("_vertex")).join(first, same("doc_id"), "left_semi").count() > first.count():
+        kept = kept.dropDuplicates(["_class"])
+    return shown(kept, names)
