@@ -9,7 +9,8 @@ document nearly every shingle ends after its first draw.
 Registers are cut into bands. Texts that are equal are one vertex from the start. In a bucket, a text
 is held against two leaders, not against all others; a link is verified by the exact similarity of the
 bags. Buckets that still hold more than one component are then compared whole by their registers, in
-blocks, and the strongest possible links between components are verified too.
+blocks, and possible links between components are verified too, the strongest first, until every one that is left has
+been verified or lies within a component.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ REGISTERS = BANDS * ROWS
 SCREEN = 0.65
 # Rows of a bucket that are compared in one task.
 BLOCK = 2048
+# Times as many links of two components are tried in a pass as in the pass before.
+MORE = 16
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -136,8 +139,8 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return bags.agg(F.first(F.struct("bag", "counts")).alias("bag"))
 
 
-def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar: float) -> DataFrame:
-    """The edges (``a, b``) whose similarity is at least ``similar``; checkpointed."""
+def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """The edges (``a, b``) whose similarity is at least ``similar``, and the likely ones that failed; checkpointed."""
 
     def screen(batch: pa.RecordBatch):
         pairs = zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist())
@@ -151,7 +154,7 @@ def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar:
 
         pairs = zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist())
         same = [similarity(unpack(a), unpack(b)) >= similar - 1e-9 for a, b in pairs]
-        yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        yield {"a": batch.column("a"), "b": batch.column("b"), "same": same}
 
     def beside(rows: DataFrame, side: DataFrame, key: str, value: str, name: str) -> DataFrame:
         return rows.join(side.select(F.col("v").alias(key), F.col(value).alias(name)), key)
@@ -161,7 +164,8 @@ def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar:
     ends = materialise(likely.select(F.explode(F.array("a", "b")).alias("v")).distinct())
     bags = _bags(docs, ends)
     pairs = beside(beside(likely, bags, "a", "bag", "ba"), bags, "b", "bag", "bb")
-    return materialise(map_rows(pairs.select("a", "b", "ba", "bb"), "a binary, b binary", check))
+    told = materialise(map_rows(pairs.select("a", "b", "ba", "bb"), "a binary, b binary, same boolean", check))
+    return told.filter("same").select("a", "b"), told.filter("not same").select("a", "b")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -171,52 +175,81 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return joined.withColumn(name, F.coalesce("_label", column)).drop("_v", "_label")
 
 
-def _across(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Possible links ``a, b`` between components that share a bucket (``bucket, n, v, label``).
+def _across(rows: DataFrame, signatures: DataFrame, failed: DataFrame, most: int) -> DataFrame:
+    """Possible links ``a, b`` between components that share a bucket (``bucket, n, v, label``), none of them in ``failed``.
 
     A bucket is compared in pairs of blocks; what is not in the largest component of the task is held against all
-    rows. Of the pairs whose registers agree often enough, the strongest that join components are given.
+    rows. Of the pairs whose registers agree often enough, the ``most`` strongest of every two components are given; if
+    that is one, only the strongest that join components. None are given only where none are left.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.hash("v"), F.col("_blocks"))
+    owned = rows.withColumn("_blocks", blocks).withColumn("_own", own)
     placed = (
-        rows.withColumn("_blocks", blocks)
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        owned.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
-            "bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "v", "label"
+            "bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "v", "label", "_own"
         )
         .join(signatures.select("v", "registers"), "v")
     )
+    # A pair is compared in the task of its two blocks and in no other; that is where a failed one goes.
+    end = lambda v, name, label: owned.select("bucket", F.col("v").alias(v), F.col("_own").alias(name), F.col("label").alias(label))
+    known = failed.join(end("a", "_i", "_x"), "a").join(end("b", "_j", "_y"), ["bucket", "b"]).filter("_x != _y")
+    known = known.select(
+        F.col("bucket").alias("_at"), F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "a", "b"
+    )
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table, before: pa.Table) -> pa.Table:
         names, labels = table.column("v").to_pylist(), table.column("label").to_pylist()
         number = {label: at for at, label in enumerate(dict.fromkeys(labels))}
-        label = np.array([number[x] for x in labels])
-        data = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(names), -1)
-        rest = np.flatnonzero(label != np.bincount(label).argmax())
-        found = []
-        for row in rest:
-            part = (data == data[row]).mean(axis=1)
-            for other in np.flatnonzero((part >= SCREEN) & (label != label[row])):
-                found.append((-part[other], int(row), int(other)))
-        root = list(range(len(number)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        chosen = []
-        for _, one, two in sorted(found):
-            x, y = top(label[one]), top(label[two])
-            if x != y:
-                root[x] = y
-                chosen.append(sorted((names[one], names[two])))
+        label = np.array([number[x] for x in labels], np.int64)
+        chosen: list[tuple[bytes, bytes]] = []
+        if len(number) > 1:
+            data = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(names), -1)
+            place = {name: at for at, name in enumerate(names)}
+            tried: dict[int, list[int]] = {}
+            for a, b in zip(before.column("a").to_pylist(), before.column("b").to_pylist()):
+                tried.setdefault(place[a], []).append(place[b])
+                tried.setdefault(place[b], []).append(place[a])
+            own = table.column("_own").to_numpy()
+            rest = label != np.bincount(label).argmax()
+            found = []
+            for row in np.flatnonzero(rest):
+                part = (data == data[row]).mean(axis=1)
+                fits = (part >= SCREEN) & (label != label[row])
+                fits[:row] &= ~rest[:row]  # that pair was met already
+                fits[tried.get(int(row), [])] = False
+                if key[1].as_py() != key[2].as_py():
+                    fits &= own != own[row]
+                other = np.flatnonzero(fits)
+                found.append((part[other], np.full(len(other), row), other))
+            part, one, two = (np.concatenate(x) for x in zip(*found))
+            root = list(range(len(number)))
+            given: dict[tuple[int, int], int] = {}
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for at in np.lexsort((two, one, -part)).tolist():
+                x, y = int(label[one[at]]), int(label[two[at]])
+                if most == 1:
+                    x, y = top(x), top(y)
+                    if x == y:
+                        continue
+                    root[x] = y
+                else:
+                    pair = (min(x, y), max(x, y))
+                    given[pair] = given.get(pair, 0) + 1
+                    if given[pair] > most:
+                        continue
+                chosen.append(tuple(sorted((names[one[at]], names[two[at]]))))
         return pa.table({"a": pa.array([x[0] for x in chosen], pa.binary()), "b": pa.array([x[1] for x in chosen], pa.binary())})
 
-    return placed.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    tasks = placed.groupBy("bucket", "i", "j").cogroup(known.groupBy("_at", "_low", "_high"))
+    return tasks.applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -241,20 +274,28 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     stars = materialise(stars)
     # First the leader a text meets most often; the others only where components are still apart.
     best = stars.groupBy("v").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-    links = verified(docs, best.select(*ordered(F.col("v"), F.col("leader"))).distinct(), signatures, similar)
+    links, failed = verified(docs, best.select(*ordered(F.col("v"), F.col("leader"))).distinct(), signatures, similar)
     labels = components(links)
     apart = _labelled(_labelled(stars, labels, "v", "_x"), labels, "leader", "_y").filter("_x != _y")
     tried = best.select(*ordered(F.col("v"), F.col("leader")))
     more = apart.select(*ordered(F.col("v"), F.col("leader"))).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(docs, more, signatures, similar))
-    labels = components(links)
-    # Buckets that hold more than one component still.
-    rows = _labelled(members.select("bucket", "n", "v"), labels, "v", "label")
-    split = rows.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y")
-    tried = stars.select(*ordered(F.col("v"), F.col("leader")))
-    rest = _across(rows.join(split.select("bucket"), "bucket", "left_semi"), signatures).join(tried, ["a", "b"], "left_anti")
-    found = verified(docs, rest, signatures, similar)
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    found, lost = verified(docs, more, signatures, similar)
+    links, failed = links.unionByName(found), failed.unionByName(lost)
+    labels, most = components(links), 1
+    while True:
+        # Buckets that hold more than one component still; pairs that failed are not tried again.
+        rows = _labelled(members.select("bucket", "n", "v"), labels, "v", "label")
+        split = rows.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y")
+        rows = materialise(rows.join(split.select("bucket"), "bucket", "left_semi"))
+        rest = materialise(_across(rows, signatures, failed, most))
+        if rest.isEmpty():
+            return labels
+        found, lost = verified(docs, rest, signatures, similar)
+        failed = failed.unionByName(lost)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        most *= MORE
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -60,6 +60,23 @@ def test_against_brute_force(spark):
     same(N.near_duplicates(docs).collect(), brute(rows))
 
 
+def test_links_besides_a_failed_one_are_tried(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for family in range(60):
+        text = [f"w{draw.randint(0, 9999)}" for _ in range(200)]
+        # The last is at 0.793 from the first, which may lead the bucket, and at 0.804 from the second; or two classes of
+        # several texts are near each other, near enough one pair alone.
+        for cut in (0, 1, 18) if family % 2 else (0, 2, 3, 20, 22, 23):
+            rows.append((len(rows), " ".join(text[cut : cut + 160])))
+    want = list(brute(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(N.near_duplicates(docs).collect(), want)
+    # The same with buckets of several blocks.
+    monkeypatch.setattr(N, "BLOCK", 2)
+    same(N.near_duplicates(docs).collect(), want)
+
+
 def test_one_row_of_each_class_stays(odd):
     kept = N.keep_one(odd)
     assert kept.columns == odd.columns
