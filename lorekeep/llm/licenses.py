@@ -3,7 +3,8 @@
 A rule is a regular expression with a label, a priority and a keyword. A text is searched for the keywords
 first; only rules whose keyword it holds are run. Where detections overlap, one that lies inside another
 of the same or a higher priority is dropped. The rules come from a table of licenses and a few forms of
-speech; notices with wording of their own are written out.
+speech; notices with wording of their own are written out. A space in a rule or keyword stands for any gap of white
+space and comment marks, so that wrapped and prefixed lines are read as one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lorekeep.llm.common import map_rows
 # The contract's phrases: fixed values.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 _WORD, _GAP = r"[0-9a-z\x80-\U0010ffff]", r"[^0-9a-z\x80-\U0010ffff]+"
+# What a space in a rule stands for: white space, with comment marks or quotes of mail that stand by themselves.
+_SPACE = r"(?:\s+(?:(?:[*#;%!|>~=+/-]+|<!--|dnl|rem)\s+)*)"
 
 # label, keyword, name as a regular expression, place on the web (or none).
 LICENSES = (
@@ -81,7 +84,7 @@ _NOTICES = (
     ("mit", 85, "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("isc", 85, "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee"),
     ("bsd", 85, "redistribution and use", r"redistribution and use in source and binary forms"),
-    ("gpl", 85, "redistribute it", r"you can redistribute it and/or modify\s+it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", 85, "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
     ("gpl", 65, "at your option", r"either version \d(?:\.\d)? of the licen[cs]e,? or \(?at your option\)? any later version"),
     ("apache-2.0", 85, "in compliance with", r"you may not use this file except in compliance with the licen[cs]e"),
     ("public-domain", 70, "public domain", r"(?:released|dedicated|placed) (?:in)?to the public domain"),
@@ -100,12 +103,29 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+def _gapped(pattern: str) -> str:
+    """The pattern with gaps for its spaces; those in sets of two characters become an alternative."""
+    return re.sub(r"\[([-/]) \]", r"(?:\1| )", pattern).replace(" ", _SPACE)
+
+
+@lru_cache(maxsize=None)
+def _keyword(keyword: str) -> re.Pattern:
+    return re.compile(_gapped(re.escape(keyword).replace("\\ ", " ")))
+
+
+def _holds(text: str, keyword: str) -> bool:
+    words = keyword.split(" ")
+    if not all(word in text for word in words):
+        return False
+    return len(words) == 1 or keyword in text or _keyword(keyword).search(text) is not None
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
     found = []
     add = lambda label, priority, keyword, pattern: found.append(
-        Rule(label, priority, keyword, re.compile(rf"(?<!{_WORD}){pattern}(?!{_WORD})"))
+        Rule(label, priority, keyword, re.compile(rf"(?<!{_WORD}){_gapped(pattern)}(?!{_WORD})"))
     )
     for label, keyword, name, url in LICENSES:
         add(label, 100, "spdx", rf"spdx-licen[cs]e-identifier: ?{re.escape(label)}(?:-only|-or-later)?")
@@ -141,7 +161,7 @@ def detections(text: str) -> list[Detection]:
     found: list[Detection] = []
     for rule in rules():
         if rule.keyword not in live:
-            live[rule.keyword] = rule.keyword in text
+            live[rule.keyword] = _holds(text, rule.keyword)
         if live[rule.keyword]:
             found += [Detection(*hit.span(), rule.label, rule.priority) for hit in rule.pattern.finditer(text)]
     # By priority and length, so that what may contain another comes before it.

@@ -49,3 +49,23 @@ def test_rules():
     assert len(rules) > 200 and [rule.priority for rule in rules] == sorted((rule.priority for rule in rules), reverse=True)
     for label, form in (("mit", "spdx-license-identifier: mit"), ("mpl-2.0", "mozilla public license 2.0"), ("isc", "released under the isc license")):
         assert label in {x.label for x in L.detections(form)}
+
+
+def test_notices_are_found_wrapped_and_prefixed():
+    notices = (
+        ("apache-2.0", "licensed under the apache license, version 2.0"),
+        ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy"),
+        ("bsd", "redistribution and use in source and binary forms"),
+        ("gpl", "you can redistribute it and/or modify it under the terms of the gnu general public license"),
+        ("ofl-1.1", "sil open font license"),
+        ("cc-by-sa-4.0", "cc by-sa 4.0"),
+    )
+    for label, notice in notices:
+        plain = [(x.label, x.priority) for x in L.detections(notice)]
+        assert label in {name for name, _ in plain}
+        for gap in ("\n", "  ", "\t", "\r\n * ", "\n// ", "\n# ", "\n;; ", " *\n *\n * ", "\n> "):
+            text = notice.replace(" ", gap)
+            found = L.detections(text)
+            assert [(x.label, x.priority) for x in found] == plain, (gap, found)
+            assert min(x.start for x in found) == 0 and max(x.end for x in found) == len(text)
+    assert L.detections("licensed under\n * nothing apache") == []
