@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorekeep.llm import decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, tokens
+from lorekeep.llm import bit_packing, decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, tokens
+from lorekeep.session import scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +59,13 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, folder, "documents"))
 
 
+def op13_bit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = scratch_path(spark, "token-files")
+    return bit_packing.token_files(table(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -71,5 +79,6 @@ QUERIES = {
         op8_licenses,
         op9_near_dedup,
         op10_lm_scores,
+        op13_bit_packing,
     )
 }
