@@ -120,4 +120,53 @@ select d.doc_id, len(d.words)::bigint as n_words, coalesce(n_hit, 0)::bigint as
 from docs d left join covered c on d.row = c.row left join found f on d.row = f.row
 """
 
-SQL: dict[str, str] = {"op2_mixing": _MIXING, "op5_quality": _QUALITY, "op7_decontaminate": _DECONTAMINATION}
+_TRIE = """
+with bits as (
+  select [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+    for i in range(256)] as t
+), coded as (
+  select conv_id, turn, length(coalesce(text, '')) as size,
+    sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as code
+  from conversations where conv_id is not null
+), turns as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, code) as pos from coded
+), convs as (
+  select conv_id, n, conv_id - conv_id % 100 as base,
+    xor(list_reduce([4294967295] || [ascii(c)::bigint for c in string_split(conv_id::varchar, '')],
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6 as h
+  from (select conv_id, count(*) as n from turns group by conv_id), bits
+), built as (
+  select c.conv_id, c.n as n_own, c.h, least(c.h, coalesce(b.n, 0)) as k from convs c left join convs b on c.base = b.conv_id
+), rebuilt as (
+  select c.conv_id, t.pos, t.code, t.size from convs c join turns t on t.conv_id = c.base and t.pos <= c.h
+  union all
+  select t.conv_id, t.pos - b.h + b.k, t.code, t.size from built b join turns t on t.conv_id = b.conv_id and t.pos > b.h
+), listed as (
+  select b.conv_id, list(code order by pos) filter (where code is not null) as codes, list(size order by pos) filter (where code is not null) as sizes,
+    count(code) as n_turns
+  from built b left join rebuilt r on b.conv_id = r.conv_id group by b.conv_id
+), members as (
+  select conv_id, n_turns, depth, sha256(array_to_string(codes[1:depth], ',') || '/' || depth) as node,
+    case when depth > 0 then sha256(array_to_string(codes[1:depth - 1], ',') || '/' || (depth - 1)) end as above,
+    case when depth > 0 then sizes[depth] else 0 end as size
+  from (select *, unnest(range(n_turns + 1)) as depth from listed)
+), named as (
+  select * replace (case when depth = 0 then 'root' else node end as node, case when depth = 1 then 'root' else above end as above) from members
+), nodes as (
+  select node, any_value(above) as above, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = n_turns), '')) as ends
+  from named group by node
+), children as (
+  select above, count(*) as n_children from nodes where above is not null group by above
+), full_nodes as (
+  select n.*, coalesce(c.n_children, 0) as n_children from nodes n left join children c on n.node = c.above
+), subtree as (
+  select m.node, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * f.size) as saved
+  from full_nodes f join named m on m.conv_id = f.conv_id and m.depth <= f.depth group by m.node
+)
+select f.conv_id, f.depth::bigint as depth, p.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+  s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, f.ends as ends_sha256
+from full_nodes f join subtree s on f.node = s.node left join full_nodes p on f.above = p.node
+"""
+
+SQL: dict[str, str] = {"op2_mixing": _MIXING, "op5_quality": _QUALITY, "op7_decontaminate": _DECONTAMINATION, "op11_prefix_trie": _TRIE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorekeep.llm import bit_packing, decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, tokens, whitening
+from lorekeep.llm import bit_packing, decontaminate, html_text, licenses, lm_scoring, mixing, near_dedup, pii, prefix_trie, quality, suffix_dedup, tokens, whitening
 from lorekeep.session import scratch_path
 
 
@@ -59,6 +59,10 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES = {
         op8_licenses,
         op9_near_dedup,
         op10_lm_scores,
+        op11_prefix_trie,
         op12_whitening,
         op13_bit_packing,
     )
