@@ -18,31 +18,39 @@ import struct
 import uuid
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lorekeep.llm.common import map_rows
-
 MAGIC = b"BITPACK1"
 _TRAILER = struct.Struct("<QQQQII8s")  # footer start, ids, blocks, documents, bits of an id, ids of a block, magic
 # Ids of a block: a multiple of 8, so that every block begins at a byte.
 BLOCK_IDS = 1 << 14
 # Packed bytes after which a file is closed; a document lies in one file whatever its length.
 FILE_BYTES = 64 << 20
-# Distinct stretches a task remembers before it starts over, and the longest that it remembers.
+# Distinct stretches a task remembers, of which it keeps the first half when they are that many, and the longest of them.
 WORDS = 1 << 19
 LONG = 1 << 10
 _COUNT = 24  # bits for the number of ids of a stretch
-_PIECE = 1 << 19  # characters of a text that are looked up at once
+_PIECE = 1 << 20  # characters after which a text may be cut
+_TOGETHER = 1 << 23  # characters that are looked up at once
+# Rows looked at for the bounds of the sort; they only decide how evenly tasks are filled.
+SAMPLE = 1 << 17
+_GAP = re.compile(r"[\t\n\x0b\x0c\r ]")
 # Digits are tokens of their own, so a stretch without white space may be cut before one.
-# A letter ends its run before any other ASCII character, and nothing composes with the letters behind that.
-_AFTER_LETTERS = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])")
 _BEFORE_DIGIT = re.compile(r"(?<=[A-Za-z0-9+/=])(?=[0-9])")
+# A letter ends its run before any other ASCII character, and nothing composes with the letters behind that.
+_AFTER_LETTERS = r"([A-Za-z])([!-@\[-`{-~])"
+# Marks that compose with ASCII letters, some of them only with small ones.
+_MARKS = r"[\x{0300}-\x{036f}]"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -89,79 +97,102 @@ class Encoder:
 
     def __init__(self, definition: str) -> None:
         self.library = _tokenizer(definition)
-        self.lower = '"Lowercase"' in (self.library.normalizer.__getstate__().decode() if self.library.normalizer else "")
-        self._forget()
-
-    def _forget(self) -> None:
+        normalizer, cutter = self.library.normalizer, self.library.pre_tokenizer
+        self.lower = bool(normalizer) and normalizer.normalize_str("aZ") == "az"
+        # Small ASCII letters reach the merges as they are, so these can be asked at once.
+        self.plain = (
+            bool(normalizer and cutter)
+            and normalizer.normalize_str(_LETTERS) == _LETTERS
+            and [piece for piece, _ in cutter.pre_tokenize_str(_LETTERS)] == [_LETTERS]
+        )
         # Where a stretch's ids begin in the pool, and in the lowest bits how many they are.
         self.places: dict[str, int] = {"": 0}
         self.pool = array("I")
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
         if len(self.places) + len(words) > WORDS:
-            self._forget()
-        for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            ids = found.ids
+            # What was met first is what is met most often.
+            self.places = dict(islice(self.places.items(), WORDS // 2))
+            del self.pool[max(at + n for at, n in map(self._span, self.places.values())) :]
+        merges = self.library.model.tokenize
+        for word in words:
+            if self.plain and word.isascii() and word.isalpha() and word.islower():
+                ids = [token.id for token in merges(word)]
+            else:
+                ids = self.whole(word)
             self.places[word] = len(self.pool) << _COUNT | len(ids)
             self.pool.extend(ids)
 
+    @staticmethod
+    def _span(place: int) -> tuple[int, int]:
+        return place >> _COUNT, place & ((1 << _COUNT) - 1)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Long texts are taken in pieces cut at white space."""
-        out: list[np.ndarray] = []
-        for text in texts:
-            for gap in "\t\n\x0b\x0c\r":
-                text = text.replace(gap, " ")
-            if "<|" not in text:  # else it may hold the string of a special token
-                text = _AFTER_LETTERS.sub(" ", text)
-                text = text.lower() if self.lower and text.isascii() else text
-            parts = []
+        """Ids of each text. Texts are looked up together, long ones in pieces cut at white space."""
+        pieces, owners, held, out = [], [], 0, [[] for _ in texts]
+        for owner, text in enumerate(texts):
             at = 0
             while at < len(text):
-                end = at + _PIECE
-                end = len(text) if end >= len(text) or (end := text.find(" ", end)) < 0 else end
-                parts.append(self._piece(text[at:end].split(" ")))
-                at = end
-            out.append(np.concatenate([np.empty(0, np.uint32), *parts]))
-        return out
-
-    def _piece(self, words: list[str]) -> np.ndarray:
-        if max(map(len, words)) > LONG:
-            return self._with_long(words)
-        return self._known(words)
-
-    def _with_long(self, words: list[str]) -> np.ndarray:
-        parts, short = [], []
-        for word in words:
-            if len(word) <= LONG:
-                short.append(word)
-                continue
-            parts += [self._known(short), *map(self.whole, self._cut(word))]
-            short = []
-        return np.concatenate([*parts, self._known(short)])
-
-    @staticmethod
-    def _cut(word: str) -> Iterator[str]:
-        """Pieces of a long stretch that begin at digits, of about 64 K characters where there are digits."""
-        at = 0
-        while len(word) - at > 1 << 16 and (cut := _BEFORE_DIGIT.search(word, at + (1 << 16))):
-            yield word[at : cut.start()]
-            at = cut.start()
-        yield word[at:]
-
-    def _known(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint32)
+                cut = _GAP.search(text, at + _PIECE)
+                end = cut.start() if cut else len(text)
+                pieces.append(text[at:end])
+                owners.append(owner)
+                held, at = held + end - at, end
+                if held >= _TOGETHER:
+                    self._collect(pieces, owners, out)
+                    pieces, owners, held = [], [], 0
+        self._collect(pieces, owners, out)
+        return [np.concatenate([np.empty(0, np.uint32), *parts]) for parts in out]
+
+    def _collect(self, pieces: list[str], owners: list[int], out: list[list[np.ndarray]]) -> None:
+        if not pieces:
+            return
+        column = pa.array(pieces, pa.large_string())
+        # Not where a special token's string may be cut, nor where a mark makes a letter's case matter.
+        free = pc.invert(pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, _MARKS)))
+        cut = pc.replace_substring_regex(column, pattern=_AFTER_LETTERS, replacement=r"\1 \2")
+        column = pc.if_else(free, pc.ascii_lower(cut) if self.lower else cut, column)
+        lists = pc.ascii_split_whitespace(column)
+        bounds = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        long = np.flatnonzero(np.asarray(pc.utf8_length(coded.dictionary)) > LONG).tolist()
+        flat, counts = self._looked_up(words, long, np.asarray(coded.indices))
+        ends = np.concatenate([[0], np.cumsum(counts)])[bounds - bounds[0]]
+        for owner, start, end in zip(owners, ends[:-1].tolist(), ends[1:].tolist()):
+            out[owner].append(flat[start:end])
+
+    def _looked_up(self, words: list[str], long: list[int], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in ``order``, one behind the other, and how many each has; ``long`` are not remembered."""
+        found_long = {at: self._long(words[at]) for at in long}
+        for at in long:
+            words[at] = ""
         found = list(map(self.places.get, words))
-        while None in found:  # twice at most: a piece has fewer words than are remembered
-            self._learn(list(dict.fromkeys(word for word, place in zip(words, found) if place is None)))
+        while None in found:  # twice at most: what is looked up at once fits into half of what is remembered
+            self._learn([word for word, place in zip(words, found) if place is None])
             found = list(map(self.places.get, words))
         places = np.array(found, np.int64)
-        n = places & ((1 << _COUNT) - 1)
-        ends = np.cumsum(n)
-        return np.frombuffer(self.pool, np.uint32)[np.repeat((places >> _COUNT) - (ends - n), n) + np.arange(ends[-1])] if ends[-1] else np.empty(0, np.uint32)
+        starts, n = places >> _COUNT, places & ((1 << _COUNT) - 1)
+        pool = np.frombuffer(self.pool, np.uint32) if self.pool else np.empty(0, np.uint32)
+        for at, ids in found_long.items():
+            starts[at], n[at] = len(pool), len(ids)
+            pool = np.concatenate([pool, ids])
+        counts = n[order]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return pool[np.repeat(starts[order] - (ends - counts), counts) + np.arange(total)], counts
+
+    def _long(self, word: str) -> np.ndarray:
+        """Ids of a long stretch, in pieces that begin at digits, of about 64 K characters where there are digits."""
+        ids, at = array("I"), 0
+        while len(word) - at > 1 << 16 and (cut := _BEFORE_DIGIT.search(word, at + (1 << 16))):
+            ids.extend(self.whole(word[at : cut.start()]))
+            at = cut.start()
+        ids.extend(self.whole(word[at:]))
+        return np.frombuffer(ids, np.uint32)
 
 
 def _filesystem(path: str):
@@ -259,27 +290,62 @@ class PackedFile:
         self.close()
 
 
-def encoded(docs: DataFrame, definition: str, width: int, end_id: int) -> DataFrame:
-    """``doc_id, tie, n, packed`` per row: the ids of the whole text and the end id behind them."""
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    return Encoder(definition)
+
+
+def _bounds(docs: DataFrame, width: int, file_bytes: int) -> list[tuple]:
+    """Keys ``(doc_id, tie, row)`` at which the sort's tasks begin, from a sample of bounded size."""
+    total = docs.count()
+    # At most SAMPLE rows reach the driver, up to chance; rows that are not drawn are sorted all the same.
+    drawn = docs.sample(min(1.0, SAMPLE / max(total, 1)), seed=11)
+    rows = drawn.select("doc_id", "tie", "row", F.octet_length("text").alias("size")).collect()
+    keys = sorted(map(_key, rows))
+    # Four bytes of text make about one id.
+    wanted = sum(row["size"] or 0 for row in rows) * total * width // (max(len(rows), 1) * 32 * file_bytes) + 1
+    parts = min(wanted, max(1, len(keys) // 8))
+    return sorted({keys[at * len(keys) // parts] for at in range(1, parts)})
+
+
+def _key(row) -> tuple:
+    """Order of documents: null ids first, then by id, by a hash of the text, by place in the input."""
+    name = row["doc_id"]
+    return (name is not None, 0 if name is None else name, row["tie"], row["row"])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts are looked up together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + _TOGETHER, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def encoded(docs: DataFrame, definition: str, width: int, end_id: int, bounds: list[tuple]) -> DataFrame:
+    """``doc_id, tie, row, part, n, packed``: the ids of the whole text and the end id, and the task that sorts them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
 
-    def steps(batch: pa.RecordBatch) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
-        ids = encoder.encode([text or "" for text in batch.column("text").to_pylist()])
-        yield {
-            "doc_id": batch.column("doc_id"),
-            "tie": batch.column("tie"),
-            "n": [len(found) + 1 for found in ids],
-            "packed": [pack(np.append(found, np.uint32(end_id)), width) for found in ids],
-        }
+        for batch in batches:
+            for rows in _slices(batch):
+                ids = encoder.encode([text or "" for text in rows.column("text").to_pylist()])
+                keys = map(_key, rows.select(["doc_id", "tie", "row"]).to_pylist())
+                columns = {name: rows.column(name) for name in ("doc_id", "tie", "row")}
+                columns["part"] = pa.array([bisect_right(bounds, key) for key in keys], pa.int32())
+                columns["n"] = pa.array([len(found) + 1 for found in ids], pa.int64())
+                columns["packed"] = pa.array([pack(np.append(found, np.uint32(end_id)), width) for found in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+            pa.default_memory_pool().release_unused()
 
-    return map_rows(rows, f"doc_id {kind}, tie long, n long, packed binary", steps)
+    return docs.mapInArrow(run, f"doc_id {kind}, tie long, row long, part int, n long, packed binary")
 
 
-@lru_cache(maxsize=1)
-def _encoder(definition: str) -> Encoder:
-    return Encoder(definition)
+_FILES = "part long, place long, file string, n_docs long, n_ids long"
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -295,24 +361,26 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_by
     spark = docs.sparkSession
     definition = Path(tokenizer).read_text()
     width = max(_tokenizer(definition).get_vocab_size() - 1, end_id, 1).bit_length()
-    # Ids are written once before they are sorted: sampling for the sort must not encode all texts again.
-    encoded(docs, definition, width, end_id).write.parquet(f"{folder}/encoded")
-    rows = spark.read.parquet(f"{folder}/encoded").withColumn("row", F.monotonically_increasing_id())
-    order = ["doc_id", "tie", "row"]  # the last also parts an id that has very many rows
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    # The sort's bounds come from a sample of the keys, so that ids need neither be encoded twice nor be stored before.
+    bounds = _bounds(rows, width, file_bytes)
     kind = rows.schema["doc_id"].dataType
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
-        part, place, writer = TaskContext.get().partitionId(), 0, None
+        part, place, writer = None, 0, None
 
         def closed() -> pa.RecordBatch:
             name, n_docs, n_ids = writer.close(to_arrow_type(kind))
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "file": name, "n_docs": n_docs, "n_ids": n_ids}])
 
         for batch in batches:
-            for name, n, packed in zip(*(batch.column(x) for x in ("doc_id", "n", "packed"))):
+            for own, name, n, packed in zip(*(batch.column(x) for x in ("part", "doc_id", "n", "packed"))):
+                if own.as_py() != part:
+                    if writer:
+                        yield closed()
+                    part, place, writer = own.as_py(), 0, None
                 # A name for this attempt alone.
                 writer = writer or _Writer(f"{folder}/ids", f"{part:06d}-{place:04d}-{uuid.uuid4().hex}.bits", width)
                 writer.add(name.as_py(), unpack(packed.as_py(), n.as_py(), width))
@@ -322,8 +390,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_by
         if writer:
             yield closed()
 
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "packed")
-    ordered.mapInArrow(write, "part long, place long, file string, n_docs long, n_ids long").write.parquet(f"{folder}/files")
+    order = ["part", "doc_id", "tie", "row"]
+    dealt = encoded(rows, definition, width, end_id, bounds).repartitionById(len(bounds) + 1, "part")
+    files = dealt.sortWithinPartitions(*order).select("part", "doc_id", "n", "packed").mapInArrow(write, _FILES)
+    files.write.parquet(f"{folder}/files")
     # One row a file, of 64 MB and more except for the last of each task.
     before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     files = spark.read.parquet(f"{folder}/files")
