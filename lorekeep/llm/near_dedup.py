@@ -6,35 +6,37 @@ first arrival. Two documents agree in a register with the probability of their p
 similarity. Arrivals are drawn only up to the time at which all registers are bound to be full, so in a long
 document nearly every shingle ends after its first draw.
 
-Registers are cut into bands. Texts that are equal are one vertex from the start. In a bucket, a text
-is held against two leaders, not against all others; a link is verified by the exact similarity of the
-bags. Buckets that still hold more than one component are then compared whole by their registers, in
-blocks, and possible links between components are verified too, the strongest first, until every one that is left has
-been verified or lies within a component.
+Registers are cut into bands. Texts that are equal are one vertex from the start. A text is first held against
+the leader that it meets in most of its buckets, which joins most of what is alike with one comparison a
+text. Buckets that still hold several components are then settled whole: each is an exact join of its bags. Two
+bags are similar only if they share one of the rarest shingles of both, so in a bucket the join looks at few
+pairs, and no pair leaves its task unless it is a link that joins two components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorekeep.llm.common import broadcast_if_small, hidden, map_rows, shown
-from lorekeep.llm.components import components
+from lorekeep.llm.common import hidden, map_rows, shown, small
+from lorekeep.llm.components import components, roots
 from lorekeep.llm.hashing import mix64, shingles
-from lorekeep.session import materialise
+from lorekeep.session import materialise, scratch_path
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-# Pairs whose registers agree in less than this part are not verified: four standard deviations below 0.8.
-SCREEN = 0.65
-# Rows of a bucket that are compared in one task.
-BLOCK = 2048
-# Times as many links of two components are tried in a pass as in the pass before.
-MORE = 16
+# Rows and shingles of a block; the rows of a bucket meet in a task two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+# Bytes of a shingle's name in a bag: 40 bits are shared by one of two million shingles in a text of as many.
+_NAME = 5
 _GOLDEN = 0x9E3779B97F4A7C15
+# Distinct shingles from which on their hashes are kept in 64 bits; below it, 40 bits meet once in a million texts.
+_WIDE = 1 << 16
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,200 +104,239 @@ def vertex(text: str = "text") -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``v, bands, registers`` per row; ``registers`` holds 16 bits of each. Texts without a word have no bands."""
+    """``v, bands, size`` per row; ``size`` counts distinct shingles. Texts without a word have no bands."""
 
     def step(batch: pa.RecordBatch):
-        bands, registers = [], []
+        bands, sizes = [], []
         for text in batch.column("text").to_pylist():
-            found = signature(*bag(text))
+            names, weights = bag(text)
+            found = signature(names, weights)
             keys = np.zeros(BANDS, np.uint64)
             for at in range(ROWS):
                 keys = mix64(keys * np.uint64(31) + found[at::ROWS])
             keys = mix64(keys + np.arange(BANDS, dtype=np.uint64))
             bands.append(keys.view(np.int64) if found.any() else [])
-            registers.append((mix64(found) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-        yield {"v": batch.column("v"), "bands": bands, "registers": registers}
+            sizes.append(len(names))
+        yield {"v": batch.column("v"), "bands": bands, "size": sizes}
 
-    return map_rows(docs.select(vertex().alias("v"), "text"), "v binary, bands array<long>, registers binary", step)
+    return map_rows(docs.select(vertex().alias("v"), "text"), "v binary, bands array<long>, size long", step)
 
 
-def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``v, bag`` of the vertices in ``wanted`` (``v``): packed 32-bit hashes, and their counts behind them if any is above 1."""
+def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``v, bag, counts`` of the vertices in ``wanted`` (``v``): packed names in ascending order; counts if any is above 1."""
 
     def step(batch: pa.RecordBatch):
         packed = []
         for text in batch.column("text").to_pylist():
-            keys, counts = bag(text)
-            # 32 bits tell the shingles of two documents apart well enough.
-            keys, first = np.unique((keys >> np.uint64(32)).astype(np.uint32), return_index=True)
-            counts = counts[first].astype(np.uint32)
-            packed.append((keys.tobytes(), counts.tobytes() if len(counts) and counts.max() > 1 else b""))
+            names, counts = bag(text)
+            names, first = np.unique(names >> np.uint64(64 - 8 * _NAME), return_index=True)
+            counts = counts[first].astype("<u4")
+            data = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_NAME].tobytes()
+            packed.append((data, counts.tobytes() if len(counts) and counts.max() > 1 else b""))
         yield {"v": batch.column("v"), "bag": [one for one, _ in packed], "counts": [two for _, two in packed]}
 
-    # Few vertices are broadcast to the texts; else both are shuffled.
-    rows = docs.select(vertex().alias("v"), "text").join(broadcast_if_small(wanted), "v", "left_semi")
-    # One row per vertex: copies of a text go after the bags are made, which are smaller than texts.
-    bags = map_rows(rows, "v binary, bag binary, counts binary", step).groupBy("v")
-    return bags.agg(F.first(F.struct("bag", "counts")).alias("bag"))
+    rows = docs.select(vertex().alias("v"), "text")
+    if small(wanted):
+        made = map_rows(rows.join(F.broadcast(wanted), "v", "left_semi"), "v binary, bag binary, counts binary", step)
+    else:
+        # Bags are smaller than texts, so they are made before they meet the many that are wanted.
+        made = map_rows(rows, "v binary, bag binary, counts binary", step).join(wanted, "v", "left_semi")
+    return made.groupBy("v").agg(F.first("bag").alias("bag"), F.first("counts").alias("counts"))
+
 
+def _opened(data: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names = np.zeros((len(data) // _NAME, 8), np.uint8)
+    names[:, :_NAME] = np.frombuffer(data, np.uint8).reshape(-1, _NAME)
+    names = names.view("<u8").ravel()
+    return names, np.frombuffer(counts, "<u4") if counts else np.ones(len(names), np.uint32)
 
-def verified(docs: DataFrame, edges: DataFrame, signatures: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """The edges (``a, b``) whose similarity is at least ``similar``, and the likely ones that failed; checkpointed."""
 
-    def screen(batch: pa.RecordBatch):
-        pairs = zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist())
-        same = [np.mean(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= SCREEN for a, b in pairs]
-        yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+def _held(pairs: DataFrame, made: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``v, leader`` whose bags are similar."""
 
     def check(batch: pa.RecordBatch):
-        def unpack(data: dict[str, bytes]):
-            keys = np.frombuffer(data["bag"], np.uint32)
-            return keys, np.frombuffer(data["counts"], np.uint32) if data["counts"] else np.ones(len(keys), np.uint32)
+        columns = [batch.column(name).to_pylist() for name in ("bag", "counts", "_bag", "_counts")]
+        same = [similarity(_opened(a, b), _opened(c, d)) >= similar - 1e-9 for a, b, c, d in zip(*columns)]
+        yield batch.select(["v", "leader"]).filter(pa.array(same, pa.bool_()))
 
-        pairs = zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist())
-        same = [similarity(unpack(a), unpack(b)) >= similar - 1e-9 for a, b in pairs]
-        yield {"a": batch.column("a"), "b": batch.column("b"), "same": same}
+    theirs = made.select(F.col("v").alias("leader"), F.col("bag").alias("_bag"), F.col("counts").alias("_counts"))
+    beside = pairs.join(made, "v").join(theirs, "leader").select("v", "leader", "bag", "counts", "_bag", "_counts")
+    return map_rows(beside, "v binary, leader binary", check)
 
-    def beside(rows: DataFrame, side: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        return rows.join(side.select(F.col("v").alias(key), F.col(value).alias(name)), key)
 
-    likely = beside(beside(edges, signatures, "a", "registers", "ra"), signatures, "b", "registers", "rb")
-    likely = materialise(map_rows(likely.select("a", "b", "ra", "rb"), "a binary, b binary", screen))
-    ends = materialise(likely.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    bags = _bags(docs, ends)
-    pairs = beside(beside(likely, bags, "a", "bag", "ba"), bags, "b", "bag", "bb")
-    told = materialise(map_rows(pairs.select("a", "b", "ba", "bb"), "a binary, b binary, same boolean", check))
-    return told.filter("same").select("a", "b"), told.filter("not same").select("a", "b")
+class _Forest:
+    """Components of a task's rows, by union and find."""
 
+    def __init__(self, labels: list[bytes]) -> None:
+        number = {label: at for at, label in enumerate(dict.fromkeys(labels))}
+        self.of = np.array([number[label] for label in labels], np.int64)
+        self.top = np.arange(len(number))
 
-def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with the component of the vertex in ``column``; a vertex without links is its own."""
-    side = labels.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
-    joined = rows.join(side, F.col(column) == F.col("_v"), "left")
-    return joined.withColumn(name, F.coalesce("_label", column)).drop("_v", "_label")
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        tops = self.top[self.of[rows]]
+        while (above := self.top[tops]).tolist() != tops.tolist():
+            tops = above
+        return tops
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.roots(np.array([x, y])).tolist()
+        self.top[max(x, y)] = min(x, y)
+        return x != y
 
 
-def _across(rows: DataFrame, signatures: DataFrame, failed: DataFrame, most: int) -> DataFrame:
-    """Possible links ``a, b`` between components that share a bucket (``bucket, n, v, label``), none of them in ``failed``.
+def links_between(labels: list[bytes], opened: list[tuple[np.ndarray, np.ndarray]], sides: np.ndarray | None, similar: float) -> list[tuple[int, int]]:
+    """Similar pairs of rows with different labels: enough of them to join all components that similar pairs join.
 
-    A bucket is compared in pairs of blocks; what is not in the largest component of the task is held against all
-    rows. Of the pairs whose registers agree often enough, the ``most`` strongest of every two components are given; if
-    that is one, only the strongest that join components. None are given only where none are left.
+    The similarity is at most the sum of the smaller shares of every shingle. So what two similar bags have in common
+    is not all behind their first shingles, in any one order, that make up ``1 - similar`` of a bag; rare ones come
+    first. With ``sides``, only rows of different sides are compared.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.hash("v"), F.col("_blocks"))
-    owned = rows.withColumn("_blocks", blocks).withColumn("_own", own)
-    placed = (
-        owned.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            "bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "v", "label", "_own"
-        )
-        .join(signatures.select("v", "registers"), "v")
+    forest = _Forest(labels)
+    if len(forest.top) < 2:
+        return []
+    sizes = np.array([len(names) for names, _ in opened])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, name, often = np.unique(np.concatenate([names for names, _ in opened]), return_inverse=True, return_counts=True)
+    share = np.concatenate([counts / counts.sum() for _, counts in opened])
+    row = np.repeat(np.arange(len(opened)), sizes)
+    # Rarest first within each row, and the share of what stands before.
+    order = np.lexsort((name, often[name], row))
+    before = np.cumsum(share[order]) - share[order]
+    before -= before[bounds[:-1]].repeat(sizes)
+    front = order[before <= 1 - similar + 1e-9]
+    # Only names in the fronts of two components can bring a pair together.
+    component, names = forest.of[row[front]], name[front]
+    low, high = np.full(len(often), len(forest.top)), np.full(len(often), -1)
+    np.minimum.at(low, names, component)
+    np.maximum.at(high, names, component)
+    front = front[low[names] < high[names]]
+    front = front[np.argsort(name[front], kind="stable")]
+    starts = np.searchsorted(name[front], np.arange(len(often) + 1))
+    rows = row[front]
+    asked = np.argsort(row[front], kind="stable")
+    asked_at = np.searchsorted(row[front][asked], np.arange(len(opened) + 1))
+    share_of, found = np.zeros(len(often)), []
+    for x in range(1, len(opened)):
+        own = name[front[asked[asked_at[x] : asked_at[x + 1]]]]
+        if not len(own):
+            continue
+        others = np.unique(np.concatenate([rows[starts[key] : starts[key + 1]] for key in own]))
+        others = others[others < x]
+        if sides is not None:
+            others = others[sides[others] != sides[x]]
+        if not len(others):
+            continue
+        others = others[forest.roots(others) != forest.roots(np.array([x]))[0]]
+        if not len(others):
+            continue
+        mine = slice(bounds[x], bounds[x + 1])
+        share_of[name[mine]] = share[mine]
+        most = np.array([np.minimum(share_of[name[s]], share[s]).sum() for s in (slice(bounds[y], bounds[y + 1]) for y in others)])
+        share_of[name[mine]] = 0
+        for at in np.argsort(-most, kind="stable"):
+            if most[at] < similar - 1e-9:
+                break
+            y = int(others[at])
+            if forest.roots(np.array([x]))[0] != forest.roots(np.array([y]))[0] and similarity(opened[x], opened[y]) >= similar - 1e-9:
+                forest.join(x, y)
+                found.append((y, x))
+    return found
+
+
+def _settled(rows: DataFrame, made: DataFrame, similar: float) -> DataFrame:
+    """Links ``a, b`` between the components ``label`` of ``bucket, v, label, size`` that share a bucket.
+
+    A bucket of one block is one task. In a larger one the rows outside its largest component meet each other and all
+    rows of that, two blocks at a time; rows of the largest component need not meet each other.
+    """
+    xor = [F.bit_xor(F.xxhash64("v", F.lit(salt))).alias(f"s{salt}") for salt in (1, 2)]
+    per = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("size").alias("size"), *xor)
+    largest = F.max_by(F.struct("label", "c", "size"), F.struct("c", "label"))
+    buckets = per.groupBy("bucket").agg(
+        F.count("*").alias("k"), F.sum("c").alias("n"), F.sum("size").alias("all"), largest.alias("top"),
+        *[F.bit_xor(f"s{salt}").alias(f"s{salt}") for salt in (1, 2)],
+    )
+    # Of buckets with the same rows one is enough.
+    split = buckets.filter("k > 1").groupBy("n", "s1", "s2").agg(F.min_by(F.struct("bucket", "all", "top"), "bucket").alias("one"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    n, whole, top = F.col("n"), F.col("one.all"), F.col("one.top")
+    split = split.select(
+        F.col("one.bucket").alias("bucket"), top["label"].alias("_top"), (blocks(n, whole) == 1).alias("_single"),
+        blocks(n - top["c"], whole - top["size"]).alias("_rest"), blocks(top["c"], top["size"]).alias("_tops"),
     )
-    # A pair is compared in the task of its two blocks and in no other; that is where a failed one goes.
-    end = lambda v, name, label: owned.select("bucket", F.col("v").alias(v), F.col("_own").alias(name), F.col("label").alias(label))
-    known = failed.join(end("a", "_i", "_x"), "a").join(end("b", "_j", "_y"), ["bucket", "b"]).filter("_x != _y")
-    known = known.select(
-        F.col("bucket").alias("_at"), F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "a", "b"
+    placed = rows.join(split, "bucket").withColumn("_side", (F.col("label") == F.col("_top")).cast("int"))
+    own = F.pmod(F.hash("v"), F.when(F.col("_side") == 1, F.col("_tops")).otherwise(F.col("_rest")))
+    task = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    zero = F.lit(0)
+    upto = lambda count: F.sequence(zero, F.col(count) - 1)
+    tasks = (
+        F.when(F.col("_single"), F.array(task(zero, zero, 0)))
+        .when(F.col("_side") == 1, F.transform(upto("_rest"), lambda i: task(i, F.col("_own"), 1)))
+        .otherwise(
+            F.concat(
+                F.transform(upto("_rest"), lambda j: task(F.least("_own", j), F.greatest("_own", j), 0)),
+                F.transform(upto("_tops"), lambda j: task(F.col("_own"), j, 1)),
+            )
+        )
     )
+    placed = placed.withColumn("_own", own).select("bucket", F.explode(tasks).alias("t"), "v", "label", "_side")
+    key = ["bucket", "i", "j", "kind"]
+    placed = placed.select("bucket", "t.*", "v", "label", "_side").join(made, "v").select(*key, "label", "_side", "bag", "counts")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def out() -> pa.RecordBatch:
+            labels = [row[0] for row in held]
+            opened = [_opened(row[2], row[3]) for row in held]
+            sides = np.array([row[1] for row in held]) if last[3] else None
+            links = links_between(labels, opened, sides, similar)
+            ends = [sorted((labels[x], labels[y])) for x, y in links]
+            return pa.RecordBatch.from_arrays([pa.array([end[at] for end in ends], pa.binary()) for at in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *task, label, side, data, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                if task != last and held:
+                    yield out()
+                    held = []
+                last = task
+                held.append((label, side, data, counts))
+        if held:
+            yield out()
+
+    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(settle, "a binary, b binary").distinct()
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table, before: pa.Table) -> pa.Table:
-        names, labels = table.column("v").to_pylist(), table.column("label").to_pylist()
-        number = {label: at for at, label in enumerate(dict.fromkeys(labels))}
-        label = np.array([number[x] for x in labels], np.int64)
-        chosen: list[tuple[bytes, bytes]] = []
-        if len(number) > 1:
-            data = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(names), -1)
-            place = {name: at for at, name in enumerate(names)}
-            tried: dict[int, list[int]] = {}
-            for a, b in zip(before.column("a").to_pylist(), before.column("b").to_pylist()):
-                tried.setdefault(place[a], []).append(place[b])
-                tried.setdefault(place[b], []).append(place[a])
-            own = table.column("_own").to_numpy()
-            rest = label != np.bincount(label).argmax()
-            found = []
-            for row in np.flatnonzero(rest):
-                part = (data == data[row]).mean(axis=1)
-                fits = (part >= SCREEN) & (label != label[row])
-                fits[:row] &= ~rest[:row]  # that pair was met already
-                fits[tried.get(int(row), [])] = False
-                if key[1].as_py() != key[2].as_py():
-                    fits &= own != own[row]
-                other = np.flatnonzero(fits)
-                found.append((part[other], np.full(len(other), row), other))
-            part, one, two = (np.concatenate(x) for x in zip(*found))
-            root = list(range(len(number)))
-            given: dict[tuple[int, int], int] = {}
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for at in np.lexsort((two, one, -part)).tolist():
-                x, y = int(label[one[at]]), int(label[two[at]])
-                if most == 1:
-                    x, y = top(x), top(y)
-                    if x == y:
-                        continue
-                    root[x] = y
-                else:
-                    pair = (min(x, y), max(x, y))
-                    given[pair] = given.get(pair, 0) + 1
-                    if given[pair] > most:
-                        continue
-                chosen.append(tuple(sorted((names[one[at]], names[two[at]]))))
-        return pa.table({"a": pa.array([x[0] for x in chosen], pa.binary()), "b": pa.array([x[1] for x in chosen], pa.binary())})
-
-    tasks = placed.groupBy("bucket", "i", "j").cogroup(known.groupBy("_at", "_low", "_high"))
-    return tasks.applyInArrow(compare, "a binary, b binary").distinct()
+
+def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of the vertex in ``column``; a vertex without links is its own."""
+    side = labels.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+    joined = rows.join(side, F.col(column) == F.col("_v"), "left")
+    return joined.withColumn(name, F.coalesce("_label", column)).drop("_v", "_label")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``v, label`` for the vertices that have links, ``label`` naming the class."""
-    signatures = materialise(
-        signed(docs).groupBy("v").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    )
-    banded = signatures.select("v", F.explode("bands").alias("bucket"))
-    buckets = (
-        banded.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("v").alias("_one"), F.min_by("v", F.xxhash64("v", F.lit(7))).alias("_two"))
-        .filter("n > 1")
-    )
-    members = materialise(banded.join(buckets, "bucket"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = (
-        members.select("v", F.explode(F.array_distinct(F.array("_one", "_two"))).alias("leader"))
-        .filter(F.col("v") != F.col("leader"))
-        .groupBy("v", "leader")
-        .agg(F.count("*").alias("shared"))
-    )
-    stars = materialise(stars)
-    # First the leader a text meets most often; the others only where components are still apart.
-    best = stars.groupBy("v").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-    links, failed = verified(docs, best.select(*ordered(F.col("v"), F.col("leader"))).distinct(), signatures, similar)
-    labels = components(links)
-    apart = _labelled(_labelled(stars, labels, "v", "_x"), labels, "leader", "_y").filter("_x != _y")
-    tried = best.select(*ordered(F.col("v"), F.col("leader")))
-    more = apart.select(*ordered(F.col("v"), F.col("leader"))).distinct().join(tried, ["a", "b"], "left_anti")
-    found, lost = verified(docs, more, signatures, similar)
-    links, failed = links.unionByName(found), failed.unionByName(lost)
-    labels, most = components(links), 1
-    while True:
-        # Buckets that hold more than one component still; pairs that failed are not tried again.
-        rows = _labelled(members.select("bucket", "n", "v"), labels, "v", "label")
-        split = rows.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y")
-        rows = materialise(rows.join(split.select("bucket"), "bucket", "left_semi"))
-        rest = materialise(_across(rows, signatures, failed, most))
-        if rest.isEmpty():
-            return labels
-        found, lost = verified(docs, rest, signatures, similar)
-        failed = failed.unionByName(lost)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        most *= MORE
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "near-dedup")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    vertices = signed(docs).groupBy("v").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
+    banded = stored(vertices, "vertices").select("v", "size", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("v").alias("leader")).filter("_n > 1")
+    members = stored(banded.join(buckets, "bucket").select("bucket", "v", "size", "leader"), "members")
+    # The leader that a text meets in most buckets, the smaller one of several; the leader is the smaller vertex.
+    met = members.filter("v != leader").groupBy("v", "leader").agg(F.count("*").alias("shared"))
+    best = met.groupBy("v").agg(F.min_by("leader", F.struct(-F.col("shared"), "leader")).alias("leader"))
+    made = stored(bags(docs, members.select("v").distinct()), "bags")
+    labels = roots(stored(_held(best, made, similar), "links"))
+    rows = _labelled(members, labels, "v", "label").select("bucket", "v", "label", "size")
+    between = components(stored(_settled(rows, made, similar), "between"))
+    above = between.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+    below = labels.join(above, F.col("label") == F.col("_v"), "left").select("v", F.coalesce("_label", "label").alias("label"))
+    # A label is no vertex of ``labels``: it has no leader itself.
+    return materialise(below.unionByName(between))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

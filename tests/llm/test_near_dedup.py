@@ -77,6 +77,61 @@ def test_links_besides_a_failed_one_are_tried(spark, monkeypatch):
     same(N.near_duplicates(docs).collect(), want)
 
 
+def labelled_links(bags, labels, sides=None, similar=0.8):
+    """Components of labels by all pairs, and by the join."""
+
+    def merged(pairs):
+        root = {label: label for label in labels}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            root[top(labels[x])] = top(labels[y])
+        return [top(label) for label in labels]
+
+    everything = [
+        (x, y) for x, y in combinations(range(len(bags)), 2)
+        if labels[x] != labels[y] and (sides is None or sides[x] != sides[y]) and N.similarity(bags[x], bags[y]) >= similar - 1e-9
+    ]
+    found = N.links_between(labels, bags, sides, similar)
+    assert all((x, y) in everything for x, y in found)
+    partition = lambda tops: {frozenset(at for at, one in enumerate(tops) if one == other) for other in set(tops)}
+    assert partition(merged(found)) == partition(merged(everything))
+    return found
+
+
+def test_join_of_a_bucket_against_all_pairs():
+    draw = np.random.default_rng(5)
+    for trial in range(40):
+        names = np.unique(draw.integers(0, 400, 90)).astype(np.uint64)
+        bags, labels = [], []
+        for row in range(30):
+            kept = draw.random(len(names)) < draw.choice([0.8, 0.9, 0.97])
+            extra = np.unique(draw.integers(500, 600, draw.integers(0, 12))).astype(np.uint64)
+            own = np.concatenate([names[kept], extra])
+            bags.append((own, draw.integers(1, 4, len(own)) if trial % 2 else np.ones(len(own), np.int64)))
+            labels.append(b"%d" % (row if trial % 3 else row // 3))
+        labelled_links(bags, labels, draw.integers(0, 2, 30) if trial % 4 == 3 else None)
+
+
+def test_a_template_costs_no_pairs(monkeypatch):
+    # 3,000 pages that have seven tenths in common, and one pair that is near.
+    draw = np.random.default_rng(6)
+    template = np.arange(210, dtype=np.uint64)
+    pages = [np.concatenate([template, np.sort(draw.choice(1 << 40, 90, replace=False)).astype(np.uint64) + np.uint64(1000)]) for _ in range(2999)]
+    near = pages[1234].copy()
+    near[-5:] += np.arange(1, 6, dtype=np.uint64)
+    bags = [(names, np.ones(len(names), np.int64)) for names in [*pages, np.sort(near)]]
+    compared = []
+    similarity = N.similarity
+    monkeypatch.setattr(N, "similarity", lambda a, b: compared.append(1) or similarity(a, b))
+    assert N.links_between([b"%d" % at for at in range(3000)], bags, None, 0.8) == [(1234, 2999)]
+    assert len(compared) < 10
+
+
 def test_one_row_of_each_class_stays(odd):
     kept = N.keep_one(odd)
     assert kept.columns == odd.columns
