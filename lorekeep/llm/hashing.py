@@ -54,6 +54,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(hashes + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of all runs of ``width`` bytes, in order."""
+    n = max(0, len(data) - width + 1)
+    up, down = _POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    return mix64((sums[width:] - sums[:n]) * down[:n] + np.uint64(width))
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Hashes of all runs of ``n`` words with A-Z in lower case, in order; fewer words make one run."""
     data = np.frombuffer((text or "").encode().lower(), np.uint8)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lorekeep.llm import blocks as B
-from lorekeep.llm.hashing import mix64, span_hashes
+from lorekeep.llm.hashing import mix64, span_hashes, window_hashes
 from lorekeep.session import materialise
 
 LENGTH, SEED = 50, 20
@@ -38,6 +38,8 @@ REACH = LENGTH - SEED  # places in a window at which its seed may begin, less on
 # Different surroundings of a seed above which its windows are sent one by one.
 HOT = 20_000
 _PIECE = 1 << 20
+# Suffixes whose keys are written at a time.
+_TOGETHER = 1 << 12
 # Right side, its length, left side backwards, its length, a mark for single windows; padded to whole words.
 _WORDS = (LENGTH + REACH + 3 + 7) // 8
 _WIDTH = 8 * _WORDS
@@ -56,7 +58,7 @@ class Points(NamedTuple):
 def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sync point of every window of ``data`` and the seeds' hashes."""
     places = np.arange(len(data) - SEED + 1)
-    hashes = span_hashes(data, places, places + SEED)
+    hashes = window_hashes(data, SEED)
     n = len(data) - LENGTH + 1
     least, width = hashes, 1
     while width < REACH + 1:
@@ -75,13 +77,19 @@ def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[np.minimum.accumulate(known[::-1])[::-1]], hashes
 
 
+def _documents_of(bounds: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The document of every byte from ``start`` up to ``end``."""
+    first, last = np.searchsorted(bounds, [start, end - 1], side="right") - 1
+    return np.repeat(np.arange(first, last + 1), np.diff(np.clip(bounds[first : last + 2], start, end)))
+
+
 def sync_points(block: B.Block) -> Points:
     """All sync points, in order; windows never cross documents."""
     found = []
     for start in range(0, max(0, len(block.data) - LENGTH + 1), _PIECE):
         points, hashes = _piece(block.data[start : start + _PIECE + LENGTH - 1])
         where = np.arange(start, start + len(points))
-        doc = np.searchsorted(block.bounds, where, side="right") - 1
+        doc = _documents_of(block.bounds, start, start + len(points))
         inside = where + LENGTH <= block.bounds[doc + 1]
         where, points, doc = where[inside], points[inside], doc[inside]
         if not len(where):
@@ -130,8 +138,9 @@ def _ask_seeds(block: B.Block, buckets: int) -> Iterator[tuple[int, bytes]]:
     seeds = _seeds(points, buckets)
     n = len(seeds.mark)
     around = span_hashes(block.data, points.first, points.last + LENGTH) if n else points.seed
-    pairs = np.unique(np.stack([seeds.of.astype(np.uint64), around]), axis=1)[0].astype(np.int64)
-    kinds = np.minimum(np.bincount(pairs, minlength=n), 0xFFFF).astype(np.uint16)
+    # One number for a seed and its surroundings; the counts only choose between two exact ways.
+    _, met = np.unique(mix64(around + seeds.of.astype(np.uint64)), return_index=True)
+    kinds = np.minimum(np.bincount(seeds.of[met], minlength=n), 0xFFFF).astype(np.uint16)
     # Rows of one id are one document.
     several = np.zeros(n, np.uint8)
     ids = block.ids[points.doc] if n else points.doc
@@ -191,11 +200,14 @@ def _run(block: B.Block, flags: dict, buckets: int) -> Run | None:
     right, left = last + LENGTH - at, at - first
     keys = np.zeros((len(first), _WIDTH), np.uint8)
     padded = np.concatenate([np.zeros(REACH, np.uint8), block.data, np.zeros(LENGTH, np.uint8)])
-    for k in range(LENGTH):
-        keys[:, k] = np.where(k < right, padded[at + (REACH + k)], 0)
+    behind = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)
+    before = np.lib.stride_tricks.sliding_window_view(padded, REACH)
+    # Some rows at a time, so that they stay in the processor's caches.
+    for start in range(0, len(first), _TOGETHER):
+        part = slice(start, start + _TOGETHER)
+        keys[part, :LENGTH] = behind[at[part] + REACH] * (np.arange(LENGTH) < right[part, None])
+        keys[part, LENGTH + 1 : LENGTH + 1 + REACH] = before[at[part]][:, ::-1] * (np.arange(REACH) < left[part, None])
     keys[:, LENGTH] = right
-    for k in range(REACH):
-        keys[:, LENGTH + 1 + k] = np.where(k < left, padded[at + (REACH - 1 - k)], 0)
     keys[:, LENGTH + 1 + REACH] = left
     keys[:, LENGTH + 2 + REACH] = alone
     order = np.lexsort((keys.view(f"S{_WIDTH}").ravel(), bucket))
