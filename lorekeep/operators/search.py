@@ -5,8 +5,7 @@ query, so the pairs never become rows. Four plans share that kernel:
 
 * few queries: their matrix, checked to be small, is broadcast and the vectors are scanned once;
 * few vectors, such as those of a tool catalog: they are broadcast and the queries are scanned once;
-* many of both: queries and vectors are cut into bounded cells, each pair of cells is one task
-  group, and no side is broadcast;
+* many of both: vectors stay where they are, and every task goes through the queries in files, block by block;
 * many of both and vectors stored by cell: queries go to the cells they probe, and only there.
 
 A query side is materialised before its size is looked at, so that every query is embedded once.
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lorekeep import schemas
 from lorekeep.operators.arrow import arrow_step
-from lorekeep.session import materialise
+from lorekeep.session import materialise, read_shared, scratch_path
 
 # Fixed value: the answer when there is no hit.
 NOTHING_FOUND = "No relevant information found in memory"
@@ -39,10 +38,11 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_VECTORS = 65536
 # Hits that may be broadcast when they are joined: few queries times k.
 BROADCAST_HITS = 100_000
-# Rows per cell in the plan without a broadcast. Each side is sent once per cell of the other, which
-# is least for equal sizes.
+# Queries of a file, and vectors held by a task, in the plans without a broadcast.
 CELL_QUERIES = 32768
 CELL_VECTORS = 32768
+# Share of the vectors that gives the first bounds of many queries.
+FLOOR_SHARE = 1 / 64
 # Rows of a stored cell per file.
 CELL_ROWS = 250_000
 # Similarities held at once by one task.
@@ -334,21 +334,76 @@ def _every(parts):
     return F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
 
 
-def _scan_in_cells(
+def _scan_with_files(
     vectors: DataFrame, kernel: _Kernel, queries: DataFrame, schema, cell_queries: int, cell_vectors: int
 ) -> DataFrame:
-    """Every pair of a query cell and a vector cell as one bounded co-group."""
-    query_cells = F.lit(-(-queries.count() // cell_queries) or 1)
-    # Counting stored vectors does not read them.
-    vector_cells = F.lit(-(-vectors.select(kernel.item).count() // cell_vectors) or 1)
-    # Wrapped in a struct, the vectors stay apart from those of the other side when both come from the
-    # same table.
-    left = _with_vector(queries).select(
-        "query_id", F.struct("embedding").alias("_asked"), _part(query_cells, "query_id").alias("_q"),
-        _every(vector_cells).alias("_v"),
-    )
-    right = _with_vector(vectors).withColumn("_v", _part(vector_cells, kernel.group, kernel.item))
-    return _paired(kernel, schema, left, right.withColumn("_q", _every(query_cells)), ["_q", "_v"])
+    """Vectors stay where they are; every task reads the queries from files, block by block.
+
+    Queries are written once, ``cell_queries`` to a file, each with the similarity that a hit has to reach: what a
+    sample of the vectors gives is a lower bound. A task holds ``cell_vectors`` vectors, goes through all files, and
+    remembers a number a query: what it has found raises the bound for its later vectors. So nothing is moved but the queries'
+    files and the candidates, of which a task gives ``k`` a query at most for every block, and few where the bounds are tight.
+    """
+    asked = _with_vector(queries).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = asked.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    path = scratch_path(vectors.sparkSession, "queries")
+    blocks = max(1, -(-n // cell_queries))
+
+    def written(rows: DataFrame, name: str) -> list[str]:
+        rows.repartition(blocks).write.option("maxRecordsPerFile", cell_queries).parquet(f"{path}/{name}")
+        return sorted(vectors.sparkSession.read.parquet(f"{path}/{name}").inputFiles())
+
+    bare = written(asked.withColumn("floor", F.lit(float("-inf"))), "all")
+    held = _with_vector(vectors)
+    drawn = held.sample(FLOOR_SHARE, seed=5)
+    # The k-th best group, or the cap-th best vector, of the sample.
+    sampled = _streamed(drawn, kernel, bare, schema, cell_vectors)
+    if kernel.cap:
+        tops = sampled.groupBy("query_id", kernel.group, kernel.item).agg(F.max("similarity").alias("similarity"))
+    else:
+        tops = sampled.groupBy("query_id", kernel.group).agg(F.max("similarity").alias("similarity"))
+    keep = kernel.cap or kernel.k
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity")))
+    floors = tops.withColumn("_n", place).filter(F.col("_n") == keep).select("query_id", F.col("similarity").alias("floor"))
+    bounded = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return _streamed(held, kernel, written(bounded, "bounded"), schema, cell_vectors)
+
+
+def _streamed(vectors: DataFrame, kernel: _Kernel, files: list[str], schema, rows: int) -> DataFrame:
+    """Candidates of every task's vectors for the queries in ``files``."""
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                if n + part.num_rows > rows:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # Tasks begin with different files, so that they do not all read the same one.
+        first = TaskContext.get().partitionId() % len(files)
+        floors: dict[str, np.ndarray] = {}
+        for table in blocks(batches):
+            for file in files[first:] + files[:first]:
+                asked = read_shared(file)
+                unit, kept = _unit_rows(_matrix(asked.column("embedding").combine_chunks()))
+                wanted = _Queries(asked.column("query_id").to_numpy()[kept], unit)
+                reached = floors.setdefault(file, asked.column("floor").to_numpy()[kept].copy())
+                for start in range(0, table.num_rows, _BLOCK_ROWS):
+                    yield from kernel.scan(table.slice(start, _BLOCK_ROWS), wanted, reached)
+
+    return vectors.mapInArrow(run, schema)
 
 
 def _scan_probed_cells(
@@ -450,7 +505,7 @@ def top_groups(
     elif (held := _fetched(vectors, broadcast_vectors, broadcast_bytes)) is not None:
         found = _scan_queries(queries, kernel, held, schema)
     else:
-        found = _scan_in_cells(vectors, kernel, queries, schema, cell_queries, cell_vectors)
+        found = _scan_with_files(vectors, kernel, queries, schema, cell_queries, cell_vectors)
     if cap:
         nearest = Window.partitionBy("query_id").orderBy(F.desc("similarity"), item)
         found = found.withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") <= cap)

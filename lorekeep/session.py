@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def read_shared(uri: str):
+    """An Arrow table from one Parquet file below the shared folder, read by a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return pq.read_table("/" + unquote(uri.removeprefix("file:")).lstrip("/"), partitioning=None)
+    store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return pq.read_table(path, filesystem=store, partitioning=None)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage reliably, so that the rows and their partitions stay fixed from here on."""
     shared_dir(df.sparkSession)
