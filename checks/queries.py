@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import inputs
 from lorekeep.functions import prompts, records, text as tx, vectors as vx
-from lorekeep.operators import chunking, conversations as cv, dedup, memory, models, search, toolcalls, tools
+from lorekeep.operators import chunking, conversations as cv, dedup, memory, models, search, toolcalls, tools, vector_index
 from lorekeep.plans import ingest as ing, retrieve as rt
 from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
@@ -149,6 +149,31 @@ def lsh_recall(spark, folder):
     return both.groupBy("query_id").agg(F.count("*").alias("hits"), F.count("found").alias("found"))
 
 
+def search_many_queries(spark, folder):
+    """25 queries from every vector, each turned by some places, over all vectors, which stay where they are."""
+    turned = F.concat(F.expr("slice(embedding, turn + 1, size(embedding))"), F.expr("slice(embedding, 1, turn)"))
+    asked = inputs.table(spark, folder, "embeddings").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    asked = asked.select(F.expr("vec_id * 25 + turn").alias("query_id"), turned.alias("embedding"))
+    found = search.search_chunks(asked, inputs.vectors(spark, folder), k=1, broadcast_queries=0, broadcast_vectors=0, cell_queries=4096)
+    return _rounded(found)
+
+
+def index_recall(spark, folder):
+    """A trained index against exact search: whether it finds nine tenths of the hits and fetches a tenth of the vectors.
+
+    The queries are the labels' means; these vectors have no clusters, so every cell's codes are read.
+    """
+    held, asked, path = inputs.vectors(spark, folder), inputs.label_queries(spark, folder), scratch_path(spark, "index")
+    index = vector_index.write_index(held, path)
+    most = held.count() // 10
+    near = vector_index.search_index(asked, path, index, 3, probes=len(index.centres), candidates=most)
+    near = near.select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = search.search_chunks(asked, held).select("query_id", "chunk_id").join(near, ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.count("*").alias("hits"), F.lit(most).alias("fetched"), (F.count("found") >= F.lit(0.9) * F.count("*")).alias("recalled")
+    )
+
+
 def retrieve_with_text(spark, folder):
     hits = search.search_chunks(inputs.label_queries(spark, folder), inputs.vectors(spark, folder))
     return _rounded(search.attach_text(hits, inputs.document_chunks(spark, folder)))
@@ -778,7 +803,7 @@ _ALL: tuple[Query, ...] = (
     batch_store_calls, classify_errors, history_window, history_reset, prompt_window, digest,
     exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
     export_saved, ingest_documents, ingest_stream, tool_index_saved,
-    history_stream, search_few_vectors, lsh_stored_cells, lsh_recall, select_registered_tools,
+    history_stream, search_few_vectors, search_many_queries, lsh_stored_cells, lsh_recall, index_recall, select_registered_tools,
     render_tool_prompt_all, catalog_blocks, failed_listings, tool_index_keyed, markdown_files,
     extract_structured_calls, validate_undecodable, registered_function, ingest_twice, ingest_report,
 )

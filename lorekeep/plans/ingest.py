@@ -55,10 +55,13 @@ def _status(chunks: DataFrame, attempt: int, status, error=None, questions=None)
 def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_id: int) -> DataFrame:
     """Phase one: the new chunks are stored as pending. Returns them without their texts.
 
-    The status goes first: a chunk is never stored without one, and a status left by a failed
-    run has no chunk and no effect.
+    The ids are reserved before they are written, so no later run gives them again. Then the status goes first: a
+    chunk is never stored without one, and a status left by a failed run has no chunk and no effect.
     """
     added, texts = new_chunks(docs, store, size, overlap, next_id)
+    count = added.count()
+    if count:
+        store.reserve(next_id, count)
     store.append_status(_status(added, 0, F.lit("pending")))
     store.append_chunks(texts)
     return added

@@ -2,6 +2,10 @@
 
 ``chunks`` keeps texts, ``questions`` keeps vectors, ``chunk_status`` is a log of attempts, so a scan
 for one of them never reads the others. One writer at a time is assumed; readers are free.
+
+The next id stands in a record of one row, kept twice and written in turn: ids are reserved before chunks that bear them are
+written. A batch that is lost in between leaves ids that nothing has, and the record before
+it stays readable while the other one is written.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ _TABLES = {
     "questions": schemas.QUESTIONS,
 }
 
+_RECORD, _RECORDS = "next_id long", ("even", "odd")
+
 
 @dataclass(frozen=True)
 class Store:
@@ -61,11 +67,35 @@ class Store:
         """Chunk rows without their text."""
         return self.chunks.drop("text")
 
+    def _records(self) -> dict[str, int]:
+        """What the records that can be read say; one that a lost writer left half written is passed over."""
+        found = {}
+        for name in _RECORDS:
+            try:
+                row = self.spark.read.schema(_RECORD).parquet(self._location(f"next_id/{name}")).first()
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                row = None
+            if row is not None:
+                found[name] = row.next_id
+        return found
+
     def next_id(self) -> int:
-        """One above the highest id; reads the id column alone."""
+        """The first id that was never reserved; reads a record of one row, and ids only of a store without one."""
+        known = self._records()
+        if known:
+            return max(known.values())
         highest = self.chunks.agg(F.max("chunk_id")).first()[0]
         return 0 if highest is None else highest + 1
 
+    def reserve(self, first: int, count: int) -> None:
+        """Give away the ids from ``first`` on; the record with the lower number is written anew."""
+        known = self._records()
+        name = min(_RECORDS, key=lambda name: known.get(name, -1))
+        record = self.spark.createDataFrame([(first + count,)], _RECORD).coalesce(1)
+        record.write.mode("overwrite").parquet(self._location(f"next_id/{name}"))
+
     def append_chunks(self, chunks: DataFrame) -> None:
         self._append("chunks", chunks)
 
@@ -85,4 +115,6 @@ def clear_store(spark: SparkSession, path: str) -> Store:
     store = Store(spark, path)
     for table, schema in _TABLES.items():
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(store._location(table))
+    for name in _RECORDS:
+        spark.createDataFrame([(0,)], _RECORD).coalesce(1).write.mode("overwrite").parquet(store._location(f"next_id/{name}"))
     return store

@@ -53,6 +53,51 @@ def test_ingest_and_retrieve(spark, store, rows):
     assert store.next_id() == 0
 
 
+def test_next_id_reads_no_chunks(spark, store, monkeypatch):
+    ing.ingest(spark.createDataFrame([("1", "s", words("cats")), ("2", "s", words("dogs"))], DOCS), store)
+    monkeypatch.setattr(type(store), "chunks", property(lambda self: pytest.fail("chunks were read")))
+    assert store.next_id() == 2
+
+
+def test_a_store_without_a_record_counts_its_chunks(spark, store):
+    chunks = [(7, "h", "s", 0, 1, "t")]
+    store.append_chunks(spark.createDataFrame(chunks, "chunk_id long, hash string, source string, pos int, length int, text string"))
+    assert store.next_id() == 8
+    store.reserve(8, 2)
+    assert store.next_id() == 10
+
+
+@pytest.mark.parametrize("broken", ["append_status", "append_chunks"])
+def test_a_batch_lost_between_its_writes_takes_its_ids_along(spark, store, monkeypatch, broken):
+    docs = spark.createDataFrame([("1", "s", words("cats")), ("2", "s", words("dogs"))], DOCS)
+
+    def lost(self, rows):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store), broken, lost)
+        with pytest.raises(RuntimeError):
+            ing.ingest(docs, store)
+    assert store.chunks.count() == 0 and store.next_id() == 2
+    again = ing.ingest(docs, store).first()
+    assert (again.chunks_stored, again.chunks_complete) == (2, 2)
+    assert sorted(row.chunk_id for row in store.chunks.collect()) == [2, 3]
+    assert store.questions.select("question_id").distinct().count() == store.questions.count() == 4
+
+
+def test_a_record_that_is_half_written_is_passed_over(spark, store, tmp_path):
+    store.reserve(0, 3)
+    store.reserve(3, 4)
+    assert store.next_id() == 7
+    import shutil
+
+    # The folder of the newest record as a lost writer leaves it.
+    newest = max(("even", "odd"), key=lambda name: spark.read.parquet(f"{store.path}/next_id/{name}").first()[0])
+    shutil.rmtree(f"{store.path}/next_id/{newest}")
+    (tmp_path / "store" / "next_id" / newest / "_temporary").mkdir(parents=True)
+    assert store.next_id() == 3
+
+
 def test_a_failing_model_leaves_chunks_pending_until_the_last_attempt(spark, store):
     docs = spark.createDataFrame([("1", "s", words("cats")), ("2", "s", words("dogs"))], DOCS)
 
