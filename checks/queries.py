@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks import inputs
 from lorekeep.functions import prompts, records, text as tx, vectors as vx
 from lorekeep.operators import chunking, conversations as cv, dedup, memory, models, search, toolcalls, tools, vector_index
-from lorekeep.plans import ingest as ing, retrieve as rt
+from lorekeep.plans import calls as tool_answers, ingest as ing, retrieve as rt
 from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
 from lorekeep.sources.conversations import write_conversations
@@ -704,6 +704,24 @@ def batch_store_calls(spark, folder):
     return rt.answer_store_calls(calls, stored)[1]
 
 
+def calls_end_to_end(spark, folder):
+    """Messages with calls to a new store: each document is to be kept, each benchmark item is looked up."""
+    call = lambda name, arguments: F.concat(
+        F.lit('<tool_call>{"name": "' + name + '", "arguments": '), F.to_json(F.struct(*arguments)), F.lit("}</tool_call>")
+    )
+    docs, items = inputs.documents(spark, folder), inputs.table(spark, folder, "benchmark")
+    keep = [F.col("text").alias("information"), F.col("lang").alias("context")]
+    look = [F.col("text").alias("query"), (F.col("item_id") % 40 + 1).alias("max_results")]
+    messages = docs.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), call(rt.STORE_TOOL, keep).alias("content")).unionByName(
+        items.select(F.col("item_id").alias("conv_id"), F.lit(2).alias("turn"), call(rt.RETRIEVE_TOOL, look).alias("content"))
+    )
+    store = open_store(spark, scratch_path(spark, "store"))
+    told = tool_answers.answer_messages(messages, store)
+    lines = F.when(F.col("name") == rt.RETRIEVE_TOOL, F.col("answer").contains("(relevance: "))
+    answer = F.when(F.col("name") == rt.STORE_TOOL, F.col("answer"))
+    return told.select("conv_id", "turn", "ordinal", "name", answer.alias("answer"), lines.alias("found"))
+
+
 def classify_errors(spark, folder):
     rows = toolcalls.classify_errors(inputs.error_log(spark, folder))
     return rows.select("event_id", "kind", toolcalls.classify_tool_errors(F.col("error")).alias("tool_kind"))
@@ -800,7 +818,7 @@ _ALL: tuple[Query, ...] = (
     select_tools, select_tools_slots, tool_index_stats, tool_index_header, index_tools,
     catalog_flatten, rpc_result_text, tool_wire_json, render_tool_prompt, extract_tool_calls,
     incomplete_calls, unknown_tools, validate_calls, batch_tool_execution, batch_retrieve_calls,
-    batch_store_calls, classify_errors, history_window, history_reset, prompt_window, digest,
+    batch_store_calls, calls_end_to_end, classify_errors, history_window, history_reset, prompt_window, digest,
     exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
     export_saved, ingest_documents, ingest_stream, tool_index_saved,
     history_stream, search_few_vectors, search_many_queries, lsh_stored_cells, lsh_recall, index_recall, select_registered_tools,

@@ -13,6 +13,9 @@ from lorekeep.operators.search import attach_text, render_results, search_chunks
 from lorekeep.operators.toolcalls import tool_row
 from lorekeep.sources.documents import notes_to_docs
 
+# Results up to which calls are searched together.
+FEW_RESULTS = 16
+
 # The built-in tools.
 RETRIEVE_TOOL = "retrieve_memory"
 STORE_TOOL = "store_memory"
@@ -21,7 +24,7 @@ MEMORY_TOOL_PARAMETERS = {
         "type": "object",
         "properties": {
             "query": {"type": "string", "description": "What to look for, in detail"},
-            "max_results": {"type": "integer", "description": "Number of results (default: 3, range: 1-10)"},
+            "max_results": {"type": "integer", "description": "How many results to give; 3 if left out"},
         },
         "required": ["query"],
     },
@@ -71,8 +74,8 @@ def answer_retrieve_calls(
 ) -> DataFrame:
     """Tool messages for a table of ``call_id, name, arguments``: all searches run as one job.
 
-    Each call may ask for its own number of results, 3 when it does not; the search runs once, for
-    the largest number asked for.
+    Each call may ask for its own number of results, 3 when it does not. Calls that ask for up to ``FEW_RESULTS`` are searched
+    together, and so are those up to four times as many, and so on: one that asks for very many costs the others nothing.
     """
     arguments = F.from_json("arguments", "query STRING, max_results INT")
     asked = calls.filter(F.col("name") == RETRIEVE_TOOL).select(
@@ -80,10 +83,18 @@ def answer_retrieve_calls(
         arguments["query"].alias("text"),
         F.coalesce(arguments["max_results"], F.lit(schemas.TOP_CHUNKS)).alias("_k"),
     )
-    most = asked.agg(F.max("_k")).first()[0] or schemas.TOP_CHUNKS
-    hits = retrieve(asked.select("query_id", "text"), questions, chunks, k=max(most, 1), **options)
-    wanted = hits.join(asked.select("query_id", "_k"), "query_id").filter(F.col("rank") <= F.col("_k"))
-    return render_results(wanted.drop("_k"), asked).withColumnRenamed("query_id", "call_id")
+    steps = F.ceil(F.log(4.0, F.greatest(F.col("_k"), F.lit(1)) / F.lit(float(FEW_RESULTS))))
+    asked = asked.withColumn("_class", F.greatest(steps, F.lit(0)).cast("int"))
+    found = None
+    # A number for each class, of which there are no more than powers of four.
+    for part, most in sorted(map(tuple, asked.groupBy("_class").agg(F.max("_k")).collect())):
+        own = asked.filter(F.col("_class") == part)
+        hits = retrieve(own.select("query_id", "text"), questions, chunks, k=max(most, 1), **options)
+        wanted = hits.join(own.select("query_id", "_k"), "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
+        found = wanted if found is None else found.unionByName(wanted)
+    if found is None:
+        found = retrieve(asked.select("query_id", "text"), questions, chunks, **options)
+    return render_results(found, asked).withColumnRenamed("query_id", "call_id")
 
 
 def answer_store_calls(calls: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
