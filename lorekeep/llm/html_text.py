@@ -7,7 +7,8 @@ unions over the host's token streams, such as ``nav(ul(li(#)+)) div.ad(#)? artic
 pages (texts, characters, characters in links, whether the text ever differs), by which the wrapper tells the slots
 of the main text; a page's texts are then read off by aligning it with the wrapper.
 
-Wrappers merge in any order: each task merges its own pages first, then a few tasks per host, then one.
+Wrappers merge in any order: each task merges its own pages first, then a few tasks per host, then one. Trees of any depth
+are walked without recursion, and the work on a page grows with its size whatever its markup.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,8 +33,12 @@ BROADCAST_BYTES = 16 << 20
 SALTS = 32
 # A slot without a content root is boilerplate if its text never differs on so many pages.
 CONSTANT_PAGES = 3
+# Rows of an alignment that are kept; those between are computed again when the alignment is read off.
+ROWS_KEPT = 256
+# A tag whose quotes do not close ends at the next ">".
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
+    r"((?:(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>))|[^>]*)>"
 )
 _RAW = frozenset("script style noscript template textarea svg iframe title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -57,6 +63,10 @@ _NOISE_WORDS = frozenset(
     "breadcrumb breadcrumbs menu nav navbar navigation topbar footer header masthead comment comments reply replies "
     "respond discussion disqus pagination pager toc tags skip hidden".split()
 )
+# Those that also say how a page around the main text is laid out ("with-sidebar"): fixed values.
+_LAYOUT_WORDS = frozenset("sidebar side header footer nav navbar menu topbar masthead widget breadcrumb breadcrumbs".split())
+# Those that inside the main text name the block of its title: fixed values.
+_TITLE_WORDS = frozenset(("header", "masthead"))
 _ROOT_WORDS = frozenset("article content main post entry story body".split())
 _ATTRIBUTES = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -84,6 +94,8 @@ def page_tree(html: str | None) -> list:
     """``[kind, children]``; a child is a tree or a text ``["#", text, characters in links]``."""
     root: list = ["page", []]
     stack = [root]
+    tags_open = ["page"]
+    count: Counter[str] = Counter()
     buffer: list[str] = []
     links, in_link = 0, 0
     html = html or ""
@@ -96,23 +108,25 @@ def page_tree(html: str | None) -> list:
         buffer.clear()
         links = 0
 
-    def tag_of(node: list) -> str:
-        return node[0].split(".", 1)[0]
-
     def close(tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
+        if not any(count[tag] for tag in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
-            name = tag_of(stack[depth])
+            name = tags_open[depth]
             if name in tags:
                 close_text()
-                del stack[depth:]
+                count.subtract(tags_open[depth:])
+                del stack[depth:], tags_open[depth:]
                 return
             if name in stop:
                 return
 
+    last = html.rfind(">") + 1
     at = 0
     while True:
-        found = _TOKEN.search(html, at)
-        text = html[at : found.start() if found else len(html)]
+        found = _TOKEN.search(html, at, last) if at < last else None
+        start = found.start() if found else html.find("<!--", at)
+        text = html[at : start if start >= 0 else len(html)]
         if text:
             buffer.append(text)
             if in_link:
@@ -120,6 +134,10 @@ def page_tree(html: str | None) -> list:
         if not found:
             break
         at = found.end()
+        if found.group() == "<!--":
+            end = html.find("-->", at)
+            at = end + 3 if end >= 0 else len(html)
+            continue
         closing, tag, attributes = found.groups()
         if tag is None:
             continue
@@ -149,6 +167,8 @@ def page_tree(html: str | None) -> list:
         node = [_kind(tag, attributes.rstrip("/")), []]
         stack[-1][1].append(node)
         stack.append(node)
+        tags_open.append(tag)
+        count[tag] += 1
     close_text()
     return root
 
@@ -157,17 +177,38 @@ def page_tree(html: str | None) -> list:
 # and high are the smallest and largest hash of what pages have there.
 
 
+def _walk(call: Generator):
+    """The result of a recursive function written as a generator, which yields its inner calls."""
+    calls, value = [call], None
+    while calls:
+        try:
+            inner = calls[-1].send(value)
+        except StopIteration as end:
+            calls.pop()
+            value = end.value
+        else:
+            calls.append(inner)
+            value = None
+    return value
+
+
 def folded(node: list) -> list:
     """The wrapper of a single page: neighbours of one kind are a repeated group."""
-    if node[0] == "#":
-        name = zlib.crc32(node[1].encode())
-        return ["#", "", [1, len(node[1]), node[2], name, name]]
+    return _walk(_fold(node))
+
+
+def _fold(node: list) -> Generator:
     children: list = []
-    for child in map(folded, node[1]):
-        if children and children[-1][0] == child[0]:
-            children[-1] = _joined(children[-1], child, "+")
+    for child in node[1]:
+        if child[0] == "#":
+            name = zlib.crc32(child[1].encode())
+            part = ["#", "", [1, len(child[1]), child[2], name, name]]
+        else:
+            part = yield _fold(child)
+        if children and children[-1][0] == part[0]:
+            children[-1] = yield _join(children[-1], part, "+")
         else:
-            children.append(child)
+            children.append(part)
     return [node[0], "", children]
 
 
@@ -177,18 +218,27 @@ def _either(one: str, two: str) -> str:
     return "*" if optional and repeated else "?" if optional else "+" if repeated else ""
 
 
-def _joined(one: list, two: list, quantifier: str = "") -> list:
+def joined(one: list, two: list) -> list:
+    """The wrappers of two sets of pages as one."""
+    return _walk(_join(one, two))
+
+
+def _join(one: list, two: list, quantifier: str = "") -> Generator:
     """Two parts of one kind as one; with "+" they follow each other on a page."""
     quantifier = _either(_either(one[1], two[1]), quantifier)
     if one[0] == "#":
         a, b = one[2], two[2]
         pages = max(a[0], b[0]) if "+" == quantifier and a[0] == b[0] == 1 else a[0] + b[0]
         return ["#", quantifier, [pages, a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4])]]
-    return [one[0], quantifier, _aligned(one[2], two[2])]
+    return [one[0], quantifier, (yield _align(one[2], two[2]))]
 
 
 def _pairs(one: list, two: list) -> Iterator[tuple[int | None, int | None]]:
-    """A longest common subsequence of kinds, with what stands between, in order."""
+    """A longest common subsequence of kinds, with what stands between, in order.
+
+    A row of the table is one integer with a bit per part of ``one``: bit k is 0 where the k + 1 last parts have a longer
+    common subsequence with the parts of ``two`` from the row on than the k last.
+    """
     kinds, others = [part[0] for part in one], [part[0] for part in two]
     head = 0
     while head < min(len(kinds), len(others)) and kinds[head] == others[head]:
@@ -196,16 +246,37 @@ def _pairs(one: list, two: list) -> Iterator[tuple[int | None, int | None]]:
         head += 1
     kinds, others = kinds[head:], others[head:]
     n, m = len(kinds), len(others)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if kinds[i] == others[j] else max(best[i + 1][j], best[i][j + 1])
+    full = (1 << n) - 1
+    places: dict[str, int] = {}
+    for at, kind in enumerate(reversed(kinds)):
+        places[kind] = places.get(kind, 0) | 1 << at
+
+    def after(row: int, kind: str) -> int:
+        same = row & places.get(kind, 0)
+        return (row + same | row - same) & full
+
+    # kept[k]: the row of the k * ROWS_KEPT last parts of ``two``.
+    kept, row = [full], full
+    for at in range(1, m + 1):
+        row = after(row, others[m - at])
+        if at % ROWS_KEPT == 0:
+            kept.append(row)
+    rows: list[int] = []
+    block = -1
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and kinds[i] == others[j]:
             yield head + i, head + j
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            continue
+        if i < n and j < m:
+            if (m - j) // ROWS_KEPT != block:
+                block = (m - j) // ROWS_KEPT
+                rows = [kept[block]]
+                for at in range(block * ROWS_KEPT + 1, min(m, (block + 1) * ROWS_KEPT - 1) + 1):
+                    rows.append(after(rows[-1], others[m - at]))
+            without_i = rows[(m - j) % ROWS_KEPT] >> n - i - 1 & 1
+        if j == m or (i < n and without_i):
             yield head + i, None
             i += 1
         else:
@@ -217,22 +288,61 @@ def _optional(part: list) -> list:
     return [part[0], _either(part[1], "?"), part[2]]
 
 
-def _aligned(one: list, two: list) -> list:
+def _align(one: list, two: list) -> Generator:
     """Both sequences as one: what only one has is optional; equal neighbours that arise are a repeated group."""
     out: list = []
     for i, j in _pairs(one, two):
-        part = _optional(two[j]) if i is None else _optional(one[i]) if j is None else _joined(one[i], two[j])
+        if i is None or j is None:
+            part = _optional(two[j] if i is None else one[i])
+        else:
+            part = yield _join(one[i], two[j])
         if out and out[-1][0] == part[0]:
-            out[-1] = _joined(out[-1], part, "+")
+            out[-1] = yield _join(out[-1], part, "+")
         else:
             out.append(part)
     return out
 
 
+def packed(wrapper: list) -> str:
+    """The wrapper as JSON: its parts in order, each with the number of parts below it or the sums of its slot."""
+    found: list = []
+    open_parts = [wrapper]
+    while open_parts:
+        part = open_parts.pop()
+        if part[0] == "#":
+            found.append(part)
+        else:
+            found.append([part[0], part[1], len(part[2])])
+            open_parts += reversed(part[2])
+    return json.dumps(found, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    """The wrapper that ``packed`` wrote."""
+    top: list = ["", "", []]
+    open_parts = [(top, 1)]
+    for kind, quantifier, below in json.loads(text):
+        while open_parts[-1][1] == len(open_parts[-1][0][2]):
+            open_parts.pop()
+        part = [kind, quantifier, below if kind == "#" else []]
+        open_parts[-1][0][2].append(part)
+        if kind != "#":
+            open_parts.append((part, below))
+    return top[2][0]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a regular expression, for reading."""
-    inner = "" if wrapper[0] == "#" else "(" + " ".join(map(expression, wrapper[2])) + ")"
-    return wrapper[0] + inner + wrapper[1]
+
+    def read(part: list) -> Generator:
+        if part[0] == "#":
+            return "#" + part[1]
+        inner = []
+        for child in part[2]:
+            inner.append((yield read(child)))
+        return f"{part[0]}({' '.join(inner)}){part[1]}"
+
+    return _walk(read(wrapper))
 
 
 def _names(kind: str) -> tuple[str, set[str], set[str]]:
@@ -243,15 +353,18 @@ def _names(kind: str) -> tuple[str, set[str], set[str]]:
     return tag, words, roles
 
 
-def _is_noise(kind: str, in_root: bool) -> bool:
+def _noise(kind: str, in_root: bool) -> str:
+    """"": no noise. "named": noise by names that may also tell how the page around the main text is laid out. "noise": noise."""
     tag, words, roles = _names(kind)
     # A header inside an article holds its title; one of the page does not.
-    return (
-        tag in _NOISE_TAGS
-        or (tag == "header" and not in_root)
-        or (tag not in ("html", "body") and bool(words & _NOISE_WORDS))
-        or bool(roles & _NOISE_ROLES)
-    )
+    if tag in _NOISE_TAGS or (tag == "header" and not in_root) or roles & _NOISE_ROLES:
+        return "noise"
+    found = words & _NOISE_WORDS
+    if tag in ("html", "body"):
+        return ""
+    if in_root:
+        return "noise" if found - _TITLE_WORDS else ""
+    return "noise" if found - _LAYOUT_WORDS else "named" if found else ""
 
 
 def _is_root(kind: str) -> bool:
@@ -259,36 +372,43 @@ def _is_root(kind: str) -> bool:
     return tag in _ROOT_TAGS or "main" in roles or (tag in ("div", "section", "td") and bool(words & _ROOT_WORDS))
 
 
-def marked(wrapper: list) -> list:
-    """The wrapper with a verdict in place of each slot's sums: true for slots of the main text."""
-    rooted = False
+# Verdicts on slots, from the strongest: in a root with no noise around it, in a root below an element that is noise only
+# by its name, in no root but neither constant nor made of links.
+IN_ROOT, IN_NAMED, VARIES = 1, 2, 4
 
-    def look(part: list, root: bool) -> None:
-        nonlocal rooted
-        if part[0] == "#":
-            rooted = rooted or root
-        elif not _is_noise(part[0], root):
-            for child in part[2]:
-                look(child, root or _is_root(part[0]))
 
-    def mark(part: list, root: bool, noise: bool) -> list:
+def marked(wrapper: list) -> list:
+    """The wrapper with verdicts in place of each slot's sums, 0 for slots that are never main text."""
+
+    def mark(part: list, root: bool, named: bool, noise: bool) -> Generator:
         if part[0] == "#":
             pages, chars, links, low, high = part[2]
             boilerplate = (pages >= CONSTANT_PAGES and low == high) or 2 * links > chars
-            return ["#", part[1], not noise and (root if rooted else not boilerplate)]
-        noise = noise or _is_noise(part[0], root)
+            verdict = IN_ROOT if root and not named else IN_NAMED if root else 0
+            if not named and not boilerplate:
+                verdict |= VARIES
+            return ["#", part[1], 0 if noise else verdict]
+        found = _noise(part[0], root)
+        noise = noise or found == "noise"
+        named = named or found == "named"
         root = root or _is_root(part[0])
-        return [part[0], part[1], [mark(child, root, noise) for child in part[2]]]
+        children = []
+        for child in part[2]:
+            children.append((yield mark(child, root, named, noise)))
+        return [part[0], part[1], children]
 
-    look(wrapper, False)
-    return mark(wrapper, False, False)
+    return _walk(mark(wrapper, False, False, False))
 
 
 def main_text(page: list, wrapper: list) -> str:
-    """The texts of the page's main slots, in order, joined by one space."""
-    found: list[str] = []
+    """The texts of the page's main slots, in order, joined by one space.
+
+    Main slots are those of the strongest verdict that any text of the page has: a page without an article is
+    read by the wrapper's sums, whatever other pages of its host hold.
+    """
+    found: list[tuple[int, str]] = []
 
-    def read(nodes: list, parts: list) -> None:
+    def read(nodes: list, parts: list) -> Generator:
         # Repeated groups stand for any number of neighbours: these are one item of the alignment.
         groups: list[list] = []
         for node in nodes:
@@ -305,13 +425,16 @@ def main_text(page: list, wrapper: list) -> str:
                 continue
             for node in members:
                 if kind == "#":
-                    if part[2]:
-                        found.append(node[1])
+                    found.append((part[2], node[1]))
                 else:
-                    read(node[1], part[2])
+                    yield read(node[1], part[2])
 
-    read(page[1], wrapper[2])
-    return " ".join(found)
+    _walk(read(page[1], wrapper[2]))
+    for verdict in (IN_ROOT, IN_NAMED, VARIES):
+        texts = [text for verdicts, text in found if verdicts & verdict]
+        if texts:
+            return " ".join(texts)
+    return ""
 
 
 def host_of(url: str = "url") -> Column:
@@ -331,25 +454,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 tree = folded(page_tree(page))
-                found[name] = _joined(found[name], tree) if name in found else tree
+                found[name] = joined(found[name], tree) if name in found else tree
         for name, tree in found.items():
             yield pa.RecordBatch.from_pydict(
-                {"host": [name], "salt": pa.array([salt], pa.int32()), "wrapper": [json.dumps(tree, separators=(",", ":"))]}
+                {"host": [name], "salt": pa.array([salt], pa.int32()), "wrapper": [packed(tree)]}
             )
 
     def combined(table: pa.Table) -> list:
-        first, *rest = map(json.loads, sorted(table.column("wrapper").to_pylist()))
+        first, *rest = map(unpacked, sorted(table.column("wrapper").to_pylist()))
         for other in rest:
-            first = _joined(first, other)
+            first = joined(first, other)
         return first
 
     def some(table: pa.Table) -> pa.Table:
-        return table.slice(0, 1).set_column(2, "wrapper", pa.array([json.dumps(combined(table), separators=(",", ":"))]))
+        return table.slice(0, 1).set_column(2, "wrapper", pa.array([packed(combined(table))]))
 
     def last(table: pa.Table) -> pa.Table:
         tree = combined(table)
-        marks = json.dumps(marked(tree), separators=(",", ":"))
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(tree)], "marks": [marks]})
+        marks = packed(marked(tree))
+        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [packed(tree)], "marks": [marks]})
 
     schema = "host string, salt int, wrapper string"
     parts = pages.select(host_of().alias("host"), "html").mapInArrow(partial, schema)
@@ -359,7 +482,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=256)
 def _loaded(marks: str) -> list:
-    return json.loads(marks)
+    return unpacked(marks)
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
