@@ -117,6 +117,16 @@ def _counts() -> list[Column]:
     ]
 
 
+def batch_counts(batch: DataFrame) -> DataFrame:
+    """One row: what a batch with ``status`` and ``questions`` stored."""
+    return batch.agg(*_counts()).select(
+        F.col("stored").alias("chunks_stored"),
+        F.col("complete").alias("chunks_complete"),
+        F.col("failed").alias("chunks_failed"),
+        F.col("questions").cast("long").alias("questions_generated"),
+    )
+
+
 def ingest_stats(batch: DataFrame, store: DataFrame) -> DataFrame:
     """One row: what this batch stored, and what the whole store holds.
 

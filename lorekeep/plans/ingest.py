@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorekeep import schemas
 from lorekeep.operators.chunking import chunk_documents
-from lorekeep.operators.dedup import BROADCAST_KEYS, assign_ids, first_occurrence, without_stored
-from lorekeep.operators.memory import ingest_stats, latest_status, with_status
+from lorekeep.operators.dedup import BROADCAST_KEYS, assign_ids, first_occurrence
+from lorekeep.operators.memory import batch_counts, latest_status, with_status
 from lorekeep.operators.models import EmbeddingModel, TextModel, explode_questions, index_chunks
 from lorekeep.session import materialise
 from lorekeep.sources.store import Store
@@ -35,7 +35,10 @@ def new_chunks(docs: DataFrame, store: Store, size: int, overlap: int, next_id:
     cut = materialise(cut.withColumn("_cut", F.monotonically_increasing_id()))
     batch = materialise(first_occurrence(cut.drop("text")))
     count = batch.count()
-    fresh = assign_ids(without_stored(batch, store.chunks, rows=count), next_id)
+    known = store.known_hashes(batch, count)
+    if count <= BROADCAST_KEYS:
+        known = F.broadcast(known)
+    fresh = assign_ids(batch.join(known, "hash", "left_anti"), next_id)
     numbered = fresh.select("_cut", "chunk_id")
     if count <= BROADCAST_KEYS:
         numbered = F.broadcast(numbered)
@@ -56,7 +59,8 @@ def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_i
     """Phase one: the new chunks are stored as pending. Returns them without their texts.
 
     The ids are reserved before they are written, so no later run gives them again. Then the status goes first: a
-    chunk is never stored without one, and a status left by a failed run has no chunk and no effect.
+    chunk is never stored without one, and a status left by a failed run has no chunk and no effect. The hashes go
+    last: those of a run that broke off before are added by the next.
     """
     added, texts = new_chunks(docs, store, size, overlap, next_id)
     count = added.count()
@@ -64,6 +68,7 @@ def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_i
         store.reserve(next_id, count)
     store.append_status(_status(added, 0, F.lit("pending")))
     store.append_chunks(texts)
+    store.append_hashes(added, next_id + count)
     return added
 
 
@@ -127,11 +132,11 @@ def ingest_batch(
     """Store and index ``doc_key, source, text`` rows: (one row of statistics, the chunks of the batch).
 
     The chunks come with their status, error and statements, as ``load_report`` and ``failures`` take them.
-    With ``resume``, pending chunks left by an earlier run are indexed as well; without it only the
-    log entries of the new chunks are read. ``delay`` seconds, doubled each time, pass before a further attempt.
+    With ``resume``, pending chunks left by an earlier run are indexed as well: the log is read from the settled id on.
+    Without it only the log entries of the new chunks are read. ``delay`` seconds, doubled each time, pass before a further attempt.
     """
     next_id = store.next_id()
-    since = 0 if resume else next_id
+    since = store.settled()[0] if resume else next_id
     added = store_pending(docs, store, size, overlap, next_id)
     for attempt in range(1, max_attempts + 1):
         wait = delay * 2 ** (attempt - 2) if attempt > 1 else 0.0
@@ -155,5 +160,7 @@ def batch_report(added: DataFrame, store: Store, since: int = 0) -> DataFrame:
 
 
 def batch_stats(report: DataFrame, store: Store) -> DataFrame:
-    whole = with_status(store.chunks.select("chunk_id"), store.chunk_status, ("status",))
-    return ingest_stats(report, whole.withColumn("questions", F.lit(None).cast("array<string>")))
+    """One row: what the batch stored, and the totals of the whole store, of which only the part that is not settled is read."""
+    stored, complete, failed = store.settle()
+    totals = {"total_chunks": stored, "total_complete": complete, "total_failed": failed}
+    return batch_counts(report).select("*", *(F.lit(value).cast("long").alias(name) for name, value in totals.items()))

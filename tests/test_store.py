@@ -59,6 +59,90 @@ def test_next_id_reads_no_chunks(spark, store, monkeypatch):
     assert store.next_id() == 2
 
 
+def scanned(df):
+    """Rows that the scans of a query give, as the plan counts them, and how many there are."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    total = 0
+    for at in range(leaves.size()):
+        leaf = leaves.apply(at)
+        while "Stage" in leaf.nodeName():
+            leaf = leaf.plan().collectLeaves().apply(0)
+        if leaf.nodeName().startswith("Scan"):
+            total += leaf.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_looking_hashes_up_reads_as_much_in_a_large_store(spark, store):
+    hashed = lambda low, high: spark.range(low, high, 1, 2).select("id", F.md5(F.col("id").cast("string")).alias("hash"))
+    batch = hashed(5, 9).unionByName(hashed(10_000_000, 10_000_003))
+    read = []
+    for low, high in ((0, 20_000), (20_000, 3_000_000)):
+        store.append_hashes(hashed(low, high), high)
+        store.reserve(low, high - low)
+        store.compact_hashes()
+        known = store.known_hashes(batch, 7)
+        assert known.count() == 4
+        read.append(scanned(known))
+    # A hundred and fifty times the hashes, still no more than the pages of the values looked for.
+    assert 0 < read[0] <= 7 * 20_000 / 256 * 2 and read[1] <= 7 * 20_000, read
+    assert store.hashes().count() == 3_000_000
+
+
+@pytest.mark.parametrize("rows", [10, 1_000, 10_000_000])
+def test_known_hashes_by_value_by_broadcast_and_by_shuffle(spark, store, rows):
+    hashed = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("hash"))
+    store.append_hashes(hashed.filter("id % 3 = 0"), 3000)
+    store.append_hashes(hashed.filter("id % 3 = 0").limit(0), 3000)
+    store.reserve(0, 3000)
+    batch = hashed.filter("id between 100 and 109") if rows == 10 else hashed
+    want = {row.hash for row in batch.filter("id % 3 = 0").collect()}
+    found = [row.hash for row in store.known_hashes(batch, rows).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_hashes_that_a_lost_batch_left_out_are_added(spark, store, monkeypatch):
+    docs = spark.createDataFrame([("1", "s", words("cats")), ("2", "s", words("dogs"))], DOCS)
+
+    def lost(self, *args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store), "append_hashes", lost)
+        with pytest.raises(RuntimeError):
+            ing.ingest(docs, store)
+    assert store.chunks.count() == 2 and store.hashes().count() == 0
+    again = ing.ingest(docs, store).first()
+    assert (again.chunks_stored, again.total_chunks, again.total_complete) == (0, 2, 2)
+    assert store.hashes().count() == 2
+
+
+def test_totals_read_what_has_not_settled(spark, store):
+    assert store.settle() == (0, 0, 0)
+    ing.ingest(spark.createDataFrame([("1", "s", words("cats")), ("2", "s", "too short")], DOCS), store)
+    assert store.settled() == (2, 2, 1, 1)
+    ing.store_pending(spark.createDataFrame([("3", "s", words("dogs")), ("4", "s", words("birds"))], DOCS), store, 4000, 400, 2)
+    # Pending chunks hold the record back, not the totals.
+    assert store.settle() == (4, 1, 1) and store.settled() == (2, 2, 1, 1)
+    row = ing.ingest(spark.createDataFrame([("5", "s", words("fish"))], DOCS), store).first()
+    assert (row.chunks_stored, row.total_chunks, row.total_complete, row.total_failed) == (1, 5, 4, 1)
+    assert store.settled() == (5, 5, 4, 1)
+    whole = memory.with_status(store.chunks, store.chunk_status)
+    assert memory.ingest_stats(whole, whole).first().total_complete == 4
+    clear_store(spark, store.path)
+    assert store.settled() == (0, 0, 0, 0) and store.hashes().count() == 0
+
+
+def test_compacting_twice_keeps_every_hash(spark, store):
+    for topic in ("cats", "dogs", "birds"):
+        ing.ingest(spark.createDataFrame([("1", "s", words(topic))], DOCS), store)
+        store.compact_hashes()
+    again = ing.ingest(spark.createDataFrame([("9", "t", words("dogs"))], DOCS), store).first()
+    assert (again.chunks_stored, again.total_chunks, store.hashes().count()) == (0, 3, 3)
+
+
 def test_a_store_without_a_record_counts_its_chunks(spark, store):
     chunks = [(7, "h", "s", 0, 1, "t")]
     store.append_chunks(spark.createDataFrame(chunks, "chunk_id long, hash string, source string, pos int, length int, text string"))
