@@ -115,6 +115,17 @@ told as (select key, pos, unnest({_statements('text')}[1:2]) as statement,
 summaries as (select key, list(statement order by pos, place) as found from told group by key)"""
 
 
+# What the stand-in for a model says of every piece: nothing, one statement, or one in each of two calls.
+_SAID = "'The passage has ' || length(text) || ' characters and the prompt that came with it asked for %d statements about what it says.'"
+_BY_MODEL = _SUMMARIES[: _SUMMARIES.index("told as (")] + f"""
+told as (
+  select key, pos, {_SAID % 2} as statement, 1 as place from every_piece where length(text) % 7 <> 0
+  union all
+  select key, pos, {_SAID % 1}, 2 from every_piece where length(text) % 7 <> 0 and length(text) % 5 <> 0
+),
+summaries as (select key, list(statement order by pos, place) as found from told group by key)"""
+
+
 def _unit(rows: str) -> str:
     """Bucket weights of ``rows(key, text)``, as single-precision numbers."""
     return f"""
@@ -512,6 +523,11 @@ select row_number() over (order by source, doc_id::varchar, pos) - 1 as chunk_id
        case when found is null then 'failed' else 'complete' end as status,
        case when found is null then 3 else 1 end::bigint as attempt, coalesce(len(found), 0) as vectors
 from fresh left join summaries on summaries.key = fresh.doc_id * 1000 + fresh.pos"""
+SQL["store_cleared"] = SQL["ingest_documents"]
+SQL["summaries_by_model"] = SQL["extractive_summaries"].replace(_SUMMARIES, _BY_MODEL).replace(
+    "Failed to generate any summaries", "model down"
+)
+SQL["ingest_failures"] = SQL["ingest_documents"].replace(_SUMMARIES, _BY_MODEL).replace("then 3 else", "then 2 else")
 SQL["ingest_twice"] = f"""{_SUMMARIES},
 hashed as (select c.key as doc_id, c.pos, d.source, length(c.text) as length, md5(c.text) as hash, c.key % 3 = 2 as later
            from chunks c join docs d on d.key = c.key),

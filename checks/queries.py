@@ -15,7 +15,7 @@ from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
 from lorekeep.sources.conversations import write_conversations
 from lorekeep.sources.documents import notes_to_docs, read_markdown
-from lorekeep.sources.store import open_store
+from lorekeep.sources.store import clear_store, open_store
 from lorekeep.sources.tool_index import read_saved_index, read_tool_index, write_keyed_index, write_tool_index
 from lorekeep.streaming import history
 from lorekeep.streaming.ingest import ingest_stream as stream_ingest
@@ -258,7 +258,11 @@ def summary_quality(spark, folder):
 
 
 def extractive_summaries(spark, folder):
-    done = models.summarize_chunks(_chunks(spark, folder))
+    return _summaries(spark, folder)
+
+
+def _summaries(spark, folder, fn=None):
+    done = models.summarize_chunks(_chunks(spark, folder), fn)
     return _doc(done).select(
         "doc_id", "pos", F.size("questions").alias("questions"), F.array_join("questions", "\n").alias("joined"), "error"
     )
@@ -427,6 +431,42 @@ def ingest_twice(spark, folder):
     return _stored(store)
 
 
+def store_cleared(spark, folder):
+    """A store that is cleared and filled again: nothing of before is left, ids start at 0."""
+    path = scratch_path(spark, "store")
+    docs = inputs.docs(spark, folder)
+    ing.ingest(docs.filter(F.expr("cast(doc_key as long) % 3 < 2")), open_store(spark, path))
+    store = clear_store(spark, path)
+    ing.ingest(docs, store)
+    return _stored(store)
+
+
+def model_stand_in(prompts):
+    """One statement a call. Some passages are never answered, some only while two statements are asked for."""
+    answers = []
+    for prompt in prompts:
+        asked = int(prompt.split(" ", 2)[1])
+        size = len(prompt.split("Passage:\n", 1)[1]) - len("\n\nStatements:")
+        if size % 7 == 0 or (asked == 1 and size % 5 == 0):
+            raise RuntimeError("model down")
+        answers.append(
+            f"The passage has {size} characters and the prompt that came with it asked for {asked} statements about what it says."
+        )
+    return answers
+
+
+def summaries_by_model(spark, folder):
+    """Statements of a model that answers one at a time, so that every piece is asked again."""
+    return _summaries(spark, folder, model_stand_in)
+
+
+def ingest_failures(spark, folder):
+    """All documents stored and indexed with a model that fails on some texts, two attempts each."""
+    store = open_store(spark, scratch_path(spark, "store"))
+    ing.ingest(inputs.docs(spark, folder), store, ing.Models(model_stand_in), max_attempts=2)
+    return _stored(store)
+
+
 def ingest_report(spark, folder):
     """The load report of a batch, from what ingest gives back."""
     _, report = ing.ingest_batch(inputs.docs(spark, folder), open_store(spark, scratch_path(spark, "store")))
@@ -824,6 +864,7 @@ _ALL: tuple[Query, ...] = (
     history_stream, search_few_vectors, search_many_queries, lsh_stored_cells, lsh_recall, index_recall, select_registered_tools,
     render_tool_prompt_all, catalog_blocks, failed_listings, tool_index_keyed, markdown_files,
     extract_structured_calls, validate_undecodable, registered_function, ingest_twice, ingest_report,
+    store_cleared, summaries_by_model, ingest_failures,
 )
 
 

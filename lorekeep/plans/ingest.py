@@ -73,14 +73,16 @@ def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_i
 
 
 def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, int, int] | None:
-    """Chunks from id ``since`` on that wait for vectors, with the attempts made so far, and the
+    """Chunks from id ``since`` on that wait for vectors and are due, with the attempts made so far, and the
     range of their ids; None when there are none.
 
     Ids are dense and appended in order, so a range of ids lets the scans of the log and the texts
     skip the files and row groups of everything stored before.
     """
-    status = latest_status(store.chunk_status.filter(F.col("chunk_id") >= since), ("status",))
-    waiting = status.filter(F.col("status") == "pending").select("chunk_id", "attempt")
+    status = latest_status(store.chunk_status.filter(F.col("chunk_id") >= since), ("status", "next_try_at"))
+    due = F.col("next_try_at").isNull() | (F.col("next_try_at") <= F.current_timestamp())
+    # Kept as they are now: what is due may be asked more than once, and time goes on.
+    waiting = materialise(status.filter((F.col("status") == "pending") & due).select("chunk_id", "attempt"))
     low, high = waiting.agg(F.min("chunk_id"), F.max("chunk_id")).first()
     if low is None:
         return None
@@ -88,8 +90,19 @@ def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, int, int] |
     return recent.join(waiting, "chunk_id"), low, high
 
 
-def index_pending(store: Store, models: Models, last: bool, since: int = 0, wait: float = 0.0) -> bool:
-    """Phase two: one attempt at every pending chunk; those failing the ``last`` one are failed.
+def index_pending(
+    store: Store,
+    models: Models,
+    last: bool,
+    since: int = 0,
+    wait: float = 0.0,
+    max_attempts: int | None = None,
+    retry_after: float | None = None,
+) -> bool:
+    """Phase two: one attempt at every pending chunk that is due; those failing the ``last`` one are failed.
+
+    ``max_attempts`` makes failed those that have had so many, each by its own count. With ``retry_after`` the others are
+    due again that many seconds from now, doubled for every attempt they have had.
 
     Vectors go before the status, so that a chunk is only complete once it can be found. Vectors
     of an attempt that broke off are skipped when it is repeated. ``wait`` seconds pass before the attempt if
@@ -104,9 +117,14 @@ def index_pending(store: Store, models: Models, last: bool, since: int = 0, wait
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
     held = store.questions.select("chunk_id").filter(F.col("chunk_id").between(low, high))
     store.append_questions(explode_questions(done).join(held, "chunk_id", "left_anti"))
-    outcome = F.when(F.col("status") == "complete", "complete").otherwise(
-        F.lit("failed" if last else "pending")
-    )
+    spent = F.lit(last)
+    if max_attempts is not None:
+        spent = spent | (F.col("attempt") + 1 >= max_attempts)
+    outcome = F.when(F.col("status") == "complete", "complete").when(spent, "failed").otherwise("pending")
+    again = F.lit(None).cast("timestamp")
+    if retry_after is not None:
+        seconds = F.lit(float(retry_after)) * F.pow(F.lit(2.0), F.col("attempt"))
+        again = F.when(outcome == "pending", F.current_timestamp() + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
     store.append_status(
         done.select(
             "chunk_id",
@@ -114,6 +132,7 @@ def index_pending(store: Store, models: Models, last: bool, since: int = 0, wait
             outcome.alias("status"),
             "error",
             F.when(F.col("status") == "complete", F.col("questions")).alias("questions"),
+            again.alias("next_try_at"),
         )
     )
     return True
@@ -128,16 +147,23 @@ def ingest_batch(
     max_attempts: int = 3,
     resume: bool = True,
     delay: float = 0.0,
+    retry_after: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Store and index ``doc_key, source, text`` rows: (one row of statistics, the chunks of the batch).
 
     The chunks come with their status, error and statements, as ``load_report`` and ``failures`` take them.
     With ``resume``, pending chunks left by an earlier run are indexed as well: the log is read from the settled id on.
     Without it only the log entries of the new chunks are read. ``delay`` seconds, doubled each time, pass before a further attempt.
+
+    With ``retry_after`` nothing waits: one attempt is made at what is due, and what fails it stays pending until so many
+    seconds, doubled each time, have passed. ``retry_due`` or a later batch that resumes tries it again.
     """
     next_id = store.next_id()
     since = store.settled()[0] if resume else next_id
     added = store_pending(docs, store, size, overlap, next_id)
+    if retry_after is not None:
+        index_pending(store, models, False, since, max_attempts=max_attempts, retry_after=retry_after)
+        max_attempts = 0
     for attempt in range(1, max_attempts + 1):
         wait = delay * 2 ** (attempt - 2) if attempt > 1 else 0.0
         if not index_pending(store, models, attempt == max_attempts, since, wait):
@@ -146,6 +172,12 @@ def ingest_batch(
     return batch_stats(report, store), report
 
 
+def retry_due(store: Store, models: Models = Models(), max_attempts: int = 3, retry_after: float = 60.0) -> bool:
+    """One attempt at the pending chunks whose time has come, from the settled id on; false when there are none."""
+    since = store.settled()[0]
+    return index_pending(store, models, False, since, max_attempts=max_attempts, retry_after=retry_after)
+
+
 def ingest(docs: DataFrame, store: Store, models: Models = Models(), *args, **options) -> DataFrame:
     """The statistics of ``ingest_batch`` alone."""
     return ingest_batch(docs, store, models, *args, **options)[0]

@@ -6,7 +6,7 @@ DOCS = "doc_key STRING, source STRING, text STRING"
 
 CHUNKS = "chunk_id LONG, hash STRING, source STRING, pos INT, length INT, text STRING"
 
-CHUNK_STATUS = "chunk_id LONG, attempt INT, status STRING, error STRING, questions ARRAY<STRING>"
+CHUNK_STATUS = "chunk_id LONG, attempt INT, status STRING, error STRING, questions ARRAY<STRING>, next_try_at TIMESTAMP"
 
 QUESTIONS = "question_id STRING, chunk_id LONG, ordinal INT, question STRING, embedding ARRAY<FLOAT>"
 

@@ -231,6 +231,8 @@ class Store:
         self._append("chunks", chunks)
 
     def append_status(self, status: DataFrame) -> None:
+        if "next_try_at" not in status.columns:
+            status = status.withColumn("next_try_at", F.lit(None).cast("timestamp"))
         self._append("chunk_status", status)
 
     def append_questions(self, questions: DataFrame) -> None:

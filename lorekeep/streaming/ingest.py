@@ -17,19 +17,22 @@ def ingest_stream(
     models: Models = Models(),
     size: int = schemas.CHUNK_SIZE,
     overlap: int = schemas.CHUNK_OVERLAP,
+    retry_after: float | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Ingest every micro-batch of ``doc_key, source, text`` rows.
 
     A replayed batch adds nothing: its chunks are already known by hash, and chunks whose vectors
     are missing are still pending and get them then. Only the first batch after a start can be a
-    replay, so only that one looks for pending chunks in the whole log.
+    replay, so only that one looks for pending chunks of others. With ``retry_after`` every batch does, and tries
+    those again that are due, so a long load needs no second pass.
     """
     started = False
 
     def add(batch: DataFrame, batch_id: int) -> None:
         nonlocal started
-        ingest(batch, store, models, size, overlap, resume=not started)
+        resume = not started or retry_after is not None
+        ingest(batch, store, models, size, overlap, resume=resume, retry_after=retry_after)
         started = True
 
     return (

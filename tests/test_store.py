@@ -206,6 +206,39 @@ def test_a_failing_model_leaves_chunks_pending_until_the_last_attempt(spark, sto
     assert (report.stored, report.complete, report.failed, report.success_rate) == (2, 1, 1, 50.0)
 
 
+def test_failed_attempts_are_due_again_later(spark, store):
+    def down(prompts):
+        raise RuntimeError("model down")
+
+    docs = spark.createDataFrame([("1", "s", words("cats"))], DOCS)
+    broken = ing.Models(down)
+    row = ing.ingest(docs, store, broken, retry_after=3600).first()
+    assert (row.chunks_stored, row.chunks_complete, row.chunks_failed) == (1, 0, 0)
+    first = memory.latest_status(store.chunk_status, ("status", "next_try_at")).first()
+    wait = spark.range(1).select(F.lit(first.next_try_at) - F.current_timestamp()).first()[0].total_seconds()
+    assert (first.status, first.attempt) == ("pending", 1) and 3000 < wait <= 3600
+    # Not due: neither a pass nor a later batch touches it.
+    assert not ing.retry_due(store, ing.Models())
+    row = ing.ingest(spark.createDataFrame([("2", "s", words("dogs"))], DOCS), store, retry_after=0).first()
+    assert (row.chunks_complete, row.total_chunks, row.total_complete) == (1, 2, 1)
+
+
+def test_what_is_due_is_tried_until_it_is_complete_or_failed(spark, store):
+    def no_dogs(prompts):
+        if any("dogs" in prompt for prompt in prompts):
+            raise RuntimeError("model down")
+        return [f"The passage tells of {LINE} and more.\nIt also tells of {LINE} too." for _ in prompts]
+
+    docs = spark.createDataFrame([("1", "s", words("cats")), ("2", "s", words("dogs"))], DOCS)
+    ing.ingest(docs, store, ing.Models(no_dogs), retry_after=0)
+    assert ing.retry_due(store, ing.Models(no_dogs), retry_after=0)
+    assert memory.latest_status(store.chunk_status).filter("status = 'pending' and attempt = 2").count() == 1
+    # A batch on another subject resumes it; the third attempt is the last.
+    row = ing.ingest(spark.createDataFrame([("3", "s", words("birds"))], DOCS), store, ing.Models(no_dogs), retry_after=0).first()
+    assert (row.total_chunks, row.total_complete, row.total_failed) == (3, 2, 1)
+    assert not ing.retry_due(store, ing.Models()) and store.settled() == (3, 3, 2, 1)
+
+
 def test_a_chunk_without_vectors_is_not_complete(spark):
     chunks = spark.createDataFrame([(1, words("cats"))], "chunk_id long, text string")
 
@@ -348,12 +381,14 @@ def test_a_batch_cut_off_half_way_is_completed_by_its_replay(spark, store, rows)
 
 
 def test_new_chunks_are_compared_with_the_store_either_way(spark, store, rows, monkeypatch):
-    from lorekeep.operators import dedup
+    from lorekeep.sources import store as sources
 
     ing.ingest(spark.createDataFrame([("1", "s", words("cats"))], DOCS), store)
     both = spark.createDataFrame([("1", "t", words("cats")), ("2", "t", words("dogs"))], DOCS)
-    for limit in (500_000, 0):
-        monkeypatch.setattr(dedup, "BROADCAST_KEYS", limit)
+    for lookup, broadcast in ((512, 500_000), (0, 500_000), (0, 0)):
+        monkeypatch.setattr(sources, "LOOKUP_KEYS", lookup)
+        monkeypatch.setattr(sources, "BROADCAST_KEYS", broadcast)
+        monkeypatch.setattr(ing, "BROADCAST_KEYS", broadcast)
         narrow, whole = ing.new_chunks(both, store, 4000, 400, 1)
         assert rows(narrow, "chunk_id", "doc_key") == rows(whole, "chunk_id", "doc_key") == [(1, "2")]
         assert "text" not in narrow.columns and rows(whole, "text") == [(words("dogs"),)]
