@@ -7,6 +7,15 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, types as T
 
+# Rows of an Arrow batch that are worked on at a time, which bounds what a step holds besides its batch.
+SLICE_ROWS = 512
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
 
 def arrow_step(
     df: DataFrame,
@@ -25,7 +34,7 @@ def arrow_step(
     taken, made = [f"_in_{name}" for name in inputs], added.fieldNames()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             new = compute(*[batch.column(name) for name in taken])
             old = [batch.column(name) for name in kept]
             yield pa.RecordBatch.from_arrays(old + new, names=kept + made)
@@ -51,7 +60,7 @@ def arrow_rows(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         new = to_arrow_schema(added)
-        for batch in batches:
+        for batch in _slices(batches):
             sources, found = [], []
             for source, text in enumerate(batch.column("_in").to_pylist()):
                 for row in rows_of(text):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorekeep import schemas
 from lorekeep.functions import text as tx
+from lorekeep.operators.arrow import SLICE_ROWS
 
 # What marks a structure, and which separators are tried in which order.
 FENCE = "```"
@@ -252,8 +253,12 @@ def sub_chunk_array(
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:
-        cut = [sub_chunk_texts(value, size, overlap) if value else [] for value in texts.to_pylist()]
-        return pa.array(cut, pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        found = [pa.array([], kind)]
+        for start in range(0, len(texts), SLICE_ROWS):
+            values = texts.slice(start, SLICE_ROWS).to_pylist()
+            found.append(pa.array([sub_chunk_texts(value, size, overlap) if value else [] for value in values], kind))
+        return pa.concat_arrays(found)
 
     # A text that fits is not sent to Python.
     long_text = F.when(F.char_length(text) > size, F.col(text))
