@@ -151,8 +151,7 @@ class Store:
         prefixed = rows.select("hash", F.substring("hash", 1, PREFIX_DIGITS).alias("prefix"))
         # Ranges of hashes: a prefix that holds many is written by several tasks, with few a task writes several prefixes.
         ranged = prefixed.repartitionByRange(count // HASHES_PER_FILE + 1, "hash").sortWithinPartitions("prefix", "hash")
-        writer = ranged.write.mode(mode).partitionBy("prefix").option("parquet.bloom.filter.enabled#hash", "true")
-        writer.parquet(self._hash_folder(generation))
+        ranged.write.mode(mode).partitionBy("prefix").parquet(self._hash_folder(generation))
 
     def append_hashes(self, added: DataFrame, upto: int) -> None:
         """Add the hashes of chunks that were stored, which are all the chunks from the id in the record to ``upto``."""
