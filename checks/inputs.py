@@ -30,6 +30,28 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("doc_key"), "source", "text")
 
 
+def markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as markdown: sentences under headings, between rules or in and out of fences; texts with a long fence, one
+    that is never closed, or as a table."""
+    text, sentence = F.col("text"), F.lit(". ")
+    between = lambda mark: F.replace(text, sentence, F.lit(mark))
+    texts = [
+        between(".\n## "),
+        between(".\n-----\n"),
+        between(".\n===\n"),
+        between(".\n```\n"),
+        F.concat(text, F.lit("\n```\n"), text, F.lit("\n```\n\n"), text),
+        F.concat(text, F.lit("\n```\n"), text),
+        F.replace(between(".\n\n"), F.lit(" "), F.lit(" | ")),
+    ]
+    kind = F.col("doc_id") % len(texts)
+    chosen = F.when(kind == 0, texts[0])
+    for number, marked in enumerate(texts[1:], 1):
+        chosen = chosen.when(kind == number, marked)
+    rows = documents(spark, folder)
+    return rows.select(F.col("doc_id").cast("string").alias("doc_key"), "source", chosen.alias("text"))
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Ten vectors per chunk: ``question_id, chunk_id, embedding``."""
     return table(spark, folder, "embeddings").select(

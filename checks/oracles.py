@@ -37,7 +37,7 @@ def _cut(window: str, size: int, rules: list[tuple[str, int]]) -> str:
     return f"(case {branches} else {size} end)"
 
 
-# The tables hold no fences, headings or rules, so only these separators can cut; tests cover the rest.
+# The tables hold no fences, headings or rules, so only these separators can cut; `chunk_markdown` has the rest.
 _CHUNK_RULES = [
     (f"({_NL} || {_NL})", 2000),
     (f"('. ' || {_NL})", 2000),
@@ -607,3 +607,77 @@ SQL["lsh_topk"] = _lsh()
 SQL["refine_answers"] = _refined()
 SQL["history_stream"] = f"""{_HISTORY}
 select conv_id, row_number() over (partition by conv_id order by turn) as position, turn, role, content from talk where back <= 4"""
+SQL["history_stream_idle"] = SQL["history_stream"]
+
+
+def _markdown_chunks(size: int = 4000, overlap: int = 400) -> str:
+    """The chunker with fences, tables, headings and rules, a step of the walk per row."""
+    half = size // 2
+    fence, blank = "'```'", f"({_NL} || {_NL})"
+
+    def inside(at: str) -> str:
+        before = f"substr(text, 1, {at})"
+        return f"(length({before}) - length(replace({before}, {fence}, ''))) // 3 % 2 = 1"
+
+    def leaving(at: str) -> str:
+        found = f"position({fence} in substr(text, {at} + 1))"
+        behind = f"({at} + {found} + 2)"
+        newline = f"case when substr(text, {behind} + 1, 1) = {_NL} then 1 else 0 end"
+        return f"(case when {found} = 0 then {at} else {behind} + {newline} end)"
+
+    def last_match(pattern: str) -> str:
+        """Where the last match begins; 0 without one."""
+        return f"length(regexp_extract(piece, '(?s)^(.*){pattern}', 1))"
+
+    def pipes(part: str) -> str:
+        return f"length({part}) - length(replace({part}, '|', ''))"
+
+    headings = " ".join(
+        f"when {last_match(pattern)} > {half} then {last_match(pattern)}"
+        for pattern in ("\\n#{1,6}\\s", "\\n---+\\n", "\\n===+\\n")
+    )
+    section = f"(case {headings} else {_cut('piece', size, _CHUNK_RULES)} end)"
+    between = "('.' || chr(10) || '%s' || chr(10))"
+    kinds = [
+        "replace(text, '. ', '.' || chr(10) || '## ')",
+        *(f"replace(text, '. ', {between % mark})" for mark in ("-----", "===", "```")),
+        "text || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || text",
+        "text || chr(10) || '```' || chr(10) || text",
+        "replace(replace(text, '. ', '.' || chr(10) || chr(10)), ' ', ' | ')",
+    ]
+    chosen = " ".join(f"when {number} then {kind}" for number, kind in enumerate(kinds))
+    opened = f"({_last('piece', fence)})"
+
+    def step(rows: str) -> str:
+        """From ``raw``, where the last cut leaves off, to the chunk's start and end."""
+        return f"""
+  select key, step, s, total, case
+      when s + {size} >= total then total
+      when fenced then case
+        when closed > s + {size} and closed < s + {size} + 1000 then closed
+        when {opened} > {half} then s + {opened}
+        else greatest(s + {size}, closed) end
+      when {pipes('before')} >= 2 and {pipes('after')} >= 2 and gap between 1 and 499 then s + {size} + gap + 2
+      else s + {section} end as e
+  from (select *, substr(text, s + 1, {size}) as piece, {inside(f's + {size}')} as fenced, {leaving(f's + {size}')} as closed,
+               substr(text, s + {size - 500} + 1, 500) as before, substr(text, s + {size} + 1, 500) as after,
+               position({blank} in substr(text, s + {size} + 1, 501)) - 1 as gap
+        from (select *, case when out > raw then total - length(ltrim(substr(text, out + 1), ' ' || chr(9) || chr(10))) else raw end as s
+              from (select *, case when raw > 0 and {inside('raw')} then {leaving('raw')} else raw end as out from ({rows}))))
+  where s < total"""
+
+    return f"""with recursive marked as (
+  select key, text, length(text) as total
+  from (select doc_id as key, case doc_id % {len(kinds)} {chosen} end as text from documents) where length(text) > 0),
+walk(key, step, s, total, e) as (
+  select key, step, s::bigint, total, e::bigint from ({step("select key, text, total, 0 as step, 0::bigint as raw from marked")})
+  union all
+  select key, step, s::bigint, total, e::bigint from ({step(
+      f"select w.key, m.text, m.total, w.step + 1 as step, w.e - {overlap} as raw from walk w join marked m on m.key = w.key where w.e < w.total")})
+),
+cut as (select w.key, w.s, w.e, {_strip('substr(m.text, w.s + 1, w.e - w.s)')} as text from walk w join marked m on m.key = w.key)
+select key as doc_id, row_number() over (partition by key order by s) - 1 as pos, s as start_at, e as end_at,
+       length(text) as length, md5(text) as hash from cut where text <> ''"""
+
+
+SQL["chunk_markdown"] = _markdown_chunks()

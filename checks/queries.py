@@ -56,6 +56,12 @@ def sub_chunks(spark, folder):
     )
 
 
+def chunk_markdown(spark, folder):
+    """Chunks of texts with fences, headings, rules and tables."""
+    cut = chunking.chunk_documents(inputs.markdown(spark, folder))
+    return _doc(cut).select("doc_id", "pos", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "length", "hash")
+
+
 def dedup_chunks(spark, folder):
     return _doc(dedup.dedup_chunks(_chunks(spark, folder))).select("doc_id", "pos", "source", "length", "hash")
 
@@ -819,18 +825,22 @@ def export_timestamps(spark, folder):
     return cv.export_messages(inputs.timed_messages(spark, folder)).select("conv_id", "turn", "role", "timestamp")
 
 
-def history_stream(spark, folder):
-    """The history window kept by a stream over the conversations, after its last batch."""
+def _history_streamed(spark, folder, **options):
     schema = inputs.table(spark, folder, "conversations").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
     stream = files.parquet(folder).withColumnRenamed("text", "content")
     sink = scratch_path(spark, "history")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, history.ROCKSDB)
+    # A stream that ends with its input has no batches without data.
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": history.ROCKSDB,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         query = (
-            history.history_stream(stream, n=4)
+            history.history_stream(stream, n=4, **options)
             .writeStream.outputMode("update")
             .option("checkpointLocation", f"{sink}/progress")
             .foreachBatch(
@@ -841,14 +851,25 @@ def history_stream(spark, folder):
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     rows = spark.read.parquet(f"{sink}/rows")
     last = rows.groupBy("conv_id").agg(F.max("_batch").alias("_batch"))
     return rows.join(last, ["conv_id", "_batch"], "left_semi").drop("_batch")
 
 
+def history_stream(spark, folder):
+    """The history window kept by a stream over the conversations, after its last batch."""
+    return _history_streamed(spark, folder)
+
+
+def history_stream_idle(spark, folder):
+    """The history window kept by a stream whose conversations may be silent for an hour."""
+    return _history_streamed(spark, folder, idle_seconds=3600)
+
+
 _ALL: tuple[Query, ...] = (
-    chunk_documents, sub_chunks, dedup_chunks, dedup_against_store, chunk_ids, notes_as_docs,
+    chunk_documents, chunk_markdown, sub_chunks, dedup_chunks, dedup_against_store, chunk_ids, notes_as_docs,
     search_topk_exact, search_topk_capped, search_in_cells, lsh_topk, retrieve_with_text,
     retrieve_metadata_missing, render_results, hash_embed, vector_functions, text_search,
     expand_queries, parse_statements, summary_quality, extractive_summaries, question_vectors,
@@ -861,7 +882,7 @@ _ALL: tuple[Query, ...] = (
     batch_store_calls, calls_end_to_end, classify_errors, history_window, history_reset, prompt_window, digest,
     exchange_final_answer, exchange_split_turns, iteration_limit, context_usage, export_messages, export_timestamps,
     export_saved, ingest_documents, ingest_stream, tool_index_saved,
-    history_stream, search_few_vectors, search_many_queries, lsh_stored_cells, lsh_recall, index_recall, select_registered_tools,
+    history_stream, history_stream_idle, search_few_vectors, search_many_queries, lsh_stored_cells, lsh_recall, index_recall, select_registered_tools,
     render_tool_prompt_all, catalog_blocks, failed_listings, tool_index_keyed, markdown_files,
     extract_structured_calls, validate_undecodable, registered_function, ingest_twice, ingest_report,
     store_cleared, summaries_by_model, ingest_failures,

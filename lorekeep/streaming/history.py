@@ -18,8 +18,8 @@ _STATE = "turn LONG, role STRING, content STRING, extra STRING"
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
 
 
-def _last_messages(n: int) -> StatefulProcessor:
-    """State: the last ``n`` messages of a conversation, by turn.
+def _last_messages(n: int, idle_ms: int | None) -> StatefulProcessor:
+    """State: the last ``n`` messages of a conversation, by turn, until none has come for ``idle_ms``.
 
     The class is local so that it travels with the query and needs no module on the workers.
     """
@@ -27,7 +27,8 @@ def _last_messages(n: int) -> StatefulProcessor:
 
     class LastMessages(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.kept = handle.getListState("kept", state)
+            # Every batch puts the whole window anew, so all of it ages from the last message on.
+            self.kept = handle.getListState("kept", state, idle_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             window = {turn: (turn, *rest) for turn, *rest in self.kept.get()}
@@ -68,21 +69,28 @@ def _trimmed(n: int):
     return run
 
 
-def history_stream(messages: DataFrame, n: int = schemas.HISTORY_MESSAGES) -> DataFrame:
+def history_stream(
+    messages: DataFrame, n: int = schemas.HISTORY_MESSAGES, idle_seconds: float | None = None
+) -> DataFrame:
     """A stream with the whole window of each conversation that got messages (update mode).
 
-    Messages keep their ``ts``, ``tool_calls``, ``tool_call_id`` and ``name``, where the input has them.
+    A conversation without a message for ``idle_seconds`` of processing time leaves the state, and a later message begins a
+    window anew; without it every conversation is kept. A trigger that ends when the input does needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off then: state that may expire asks for batches without data for ever. Messages keep their ``ts``, ``tool_calls``, ``tool_call_id`` and ``name``, where the input has them.
 
-    Needs the RocksDB state store. The window after the last batch equals ``history_window``.
+    Needs the RocksDB state store. The window after the last batch equals ``history_window`` of what was not forgotten.
     """
+    if idle_seconds is not None and idle_seconds <= 0:
+        raise ValueError("idle_seconds must be above 0")
+    idle_ms = None if idle_seconds is None else max(1, round(idle_seconds * 1000))
     extras = [name for name in EXTRAS if name in messages.columns]
     extra = F.to_json(F.struct(*extras), _JSON) if extras else F.lit(None).cast("string")
     talk = messages.filter("role <> 'system'").select("conv_id", "turn", "role", "content", extra.alias("extra_json"))
     windows = talk.mapInPandas(_trimmed(n), talk.schema).groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=_last_messages(n),
+        statefulProcessor=_last_messages(n, idle_ms),
         outputStructType=_OUTPUT,
         outputMode="Update",
-        timeMode="None",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
     if extras:
         kept = T.StructType([messages.schema[name] for name in extras])

@@ -69,3 +69,34 @@ def test_messages_keep_their_other_fields(spark, rocksdb, tmp_path):
     assert sorted(got) == [5, 6, 7, 8]
     assert got[5].tool_call_id == "c5" and got[5].tool_calls is None and got[5].ts == at
     assert got[6].tool_calls[0].function.name == "f" and got[6].tool_call_id is None
+
+
+@pytest.fixture
+def batches_with_data(spark):
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("idle, kept", [(0.001, [3]), (3600, [1, 2, 3])])
+def test_silent_conversations_leave_the_state(spark, rocksdb, batches_with_data, tmp_path, idle, kept):
+    source, sink, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    for batch, turns in enumerate(([1, 2], [3])):
+        spark.createDataFrame([(1, turn, "user", f"m{turn}") for turn in turns], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        query = (
+            history_stream(spark.readStream.schema(SCHEMA).parquet(source), n=5, idle_seconds=idle)
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", progress)
+            .foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{sink}/{number}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        assert query.awaitTermination(120)
+    last = spark.read.parquet(f"{sink}/1")
+    assert [(row.position, row.turn) for row in last.orderBy("position").collect()] == list(enumerate(kept, 1))
+
+
+def test_idle_time_is_above_zero(spark):
+    with pytest.raises(ValueError):
+        history_stream(spark.createDataFrame([], SCHEMA), idle_seconds=0)

@@ -43,7 +43,7 @@ def test_no_query_pairs_rows_without_a_key(spark):
     queries = entry.queries()
     for name in registered.QUERIES:
         query = queries[name]
-        if name in ("history_stream", "ingest_stream", "ingest_documents", "ingest_twice", "ingest_report"):
+        if name in ("history_stream", "history_stream_idle", "ingest_stream", "ingest_documents", "ingest_twice", "ingest_report"):
             continue
         plan = query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
