@@ -482,7 +482,7 @@ def ingest_report(spark, folder):
 def ingest_stream(spark, folder):
     """The same from a stream of documents."""
     schema = inputs.table(spark, folder, "documents").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    files = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
     docs = files.select(F.col("doc_id").cast("string").alias("doc_key"), "source", "text")
     store = open_store(spark, scratch_path(spark, "store"))
     stream_ingest(docs, store, scratch_path(spark, "progress")).awaitTermination()
@@ -827,8 +827,9 @@ def export_timestamps(spark, folder):
 
 def _history_streamed(spark, folder, **options):
     schema = inputs.table(spark, folder, "conversations").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-    stream = files.parquet(folder).withColumnRenamed("text", "content")
+    # A pattern, which a stream may be given for a table of one file as for a folder of files.
+    files = spark.readStream.schema(schema).parquet(f"{folder}/conversations.parque[t]")
+    stream = files.withColumnRenamed("text", "content")
     sink = scratch_path(spark, "history")
     # A stream that ends with its input has no batches without data.
     settings = {
