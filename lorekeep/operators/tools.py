@@ -143,6 +143,7 @@ def selected_definitions(selected: DataFrame, tools: DataFrame) -> DataFrame:
 
 def tool_block(name: Column, description: Column, params: Column, required: Column) -> Column:
     """How one tool is shown in a prompt: parameters and an example call."""
+    # The words, marks and indents of all lines below.
     params = F.coalesce(params, F.create_map().cast(schemas.PARAMS))
     required = F.coalesce(required, F.array().cast("array<string>"))
     lines = F.transform(

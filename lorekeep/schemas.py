@@ -42,7 +42,6 @@ SUB_CHUNK_OVERLAP = 200
 SUMMARIES_PER_CHUNK = 2
 SUMMARIES_PER_TOOL = 5
 TOP_CHUNKS = 3
-VECTORS_PER_CHUNK = 10
 HISTORY_MESSAGES = 20
 PROMPT_MESSAGES = 10
 DIGEST_MESSAGES = 5
