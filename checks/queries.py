@@ -14,7 +14,7 @@ from lorekeep.plans import calls as tool_answers, ingest as ing, retrieve as rt
 from lorekeep.session import scratch_path
 from lorekeep.sources import rpc
 from lorekeep.sources.conversations import write_conversations
-from lorekeep.sources.documents import notes_to_docs, read_markdown
+from lorekeep.sources.documents import notes_to_docs, read_markdown, write_text_files
 from lorekeep.sources.store import clear_store, open_store
 from lorekeep.sources.tool_index import read_saved_index, read_tool_index, write_keyed_index, write_tool_index
 from lorekeep.streaming import history
@@ -632,12 +632,9 @@ def tool_index_keyed(spark, folder):
 def markdown_files(spark, folder):
     """Documents written as text files, one per document, and read back."""
     path = scratch_path(spark, "markdown")
-    rows = inputs.table(spark, folder, "documents").select("text", F.col("doc_id").alias("file"))
-    # The writer ends a text with a line separator, which no document holds.
-    rows.repartition("file").write.partitionBy("file").option("lineSep", "\u0001").text(path)
-    body = F.translate("text", "\u0001", "")
-    read = read_markdown(spark, f"{path}/file=*", pattern="*.txt")
-    return read.groupBy(tx.content_hash(body).alias("hash"), F.char_length(body).alias("n")).agg(F.count("*").alias("files"))
+    write_text_files(inputs.table(spark, folder, "documents").select("text"), path)
+    read = read_markdown(spark, f"{path}/folder=*", pattern="*.txt")
+    return read.groupBy(tx.content_hash(F.col("text")).alias("hash"), F.char_length("text").alias("n")).agg(F.count("*").alias("files"))
 
 
 def extract_structured_calls(spark, folder):

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorekeep.functions import text as tx
+from lorekeep.session import shared_file
+
+# Files in a folder that ``write_text_files`` makes.
+FOLDER_FILES = 1000
 
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
@@ -34,6 +41,31 @@ def markdown_stream(spark: SparkSession, path: str, pattern: str = "*.md") -> Da
     )
 
 
+def write_text_files(rows: DataFrame, path: str) -> int:
+    """Every ``text`` as a file of its own, ``FOLDER_FILES`` of a task to a folder ``folder=<task>-<number>``; how many there are.
+
+    Tasks write where the rows are, so nothing is moved and no folder is made for a single file. A task that is repeated
+    writes the same files again. Null texts are empty files.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n, store = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            for text in batch.column("text"):
+                folder = f"{path}/folder={task}-{n // FOLDER_FILES}"
+                if n % FOLDER_FILES == 0:
+                    store, place = shared_file(folder)
+                    store.create_dir(place, recursive=True)
+                with store.open_output_stream(f"{place}/{n}.txt", compression=None) as file:
+                    file.write((text.as_py() or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def notes_to_docs(notes: DataFrame, source: str = "chat") -> DataFrame:
     """Documents from ``note_id, information, context`` rows."""
     return notes.select(

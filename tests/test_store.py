@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import memory, models
 from lorekeep.plans import ingest as ing, retrieve as rt
-from lorekeep.sources.documents import markdown_stream, notes_to_docs, read_markdown
+from lorekeep.sources.documents import markdown_stream, notes_to_docs, read_markdown, write_text_files
 from lorekeep.sources.store import clear_store, open_store
 from lorekeep.streaming.ingest import ingest_stream
 
@@ -303,6 +303,17 @@ def test_expansion_and_refinement(spark, rows):
     assert rows(seen, "refined") == [(str(8000 + len("\n\n[Response truncated for refinement]") + len("\n\nAnswer:")),), ("kept",)]
 
 
+def test_many_text_files(spark, tmp_path):
+    """A file per text, but not a folder per file."""
+    texts = [None, " ", "é\u2028x", "two\nlines"] + [f"text {n}" for n in range(2500)]
+    held = spark.createDataFrame([(text,) for text in texts], "text string").coalesce(1)
+    assert write_text_files(held, str(tmp_path / "files")) == len(texts)
+    assert len(list((tmp_path / "files").iterdir())) == 3
+    got = read_markdown(spark, f"{tmp_path}/files/folder=*", pattern="*.txt").select("text").collect()
+    assert sorted(row.text for row in got) == sorted(texts[2:])
+    assert write_text_files(held.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_markdown_files(spark, tmp_path, rows):
     (tmp_path / "b +%.md").write_bytes("one\r\ntwo\rthree é".encode())
     (tmp_path / "blank.md").write_text(" \n\t ")
