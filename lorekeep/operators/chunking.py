@@ -28,7 +28,7 @@ TABLE_REACH = 500
 TABLE_PIPES = 2
 
 # Output rows are handed over in batches of about this many characters.
-_FLUSH_CHARS = 8_000_000
+_FLUSH_CHARS = 1_000_000
 
 Span = tuple[int, int]
 
@@ -196,6 +196,9 @@ def _cut_rows(text_col: str, cut: Callable[[str], Iterator[Span]]):
                         rows, spans, pieces, chars = [], [], [], 0
             if rows:
                 yield flush()
+            # What the batch took goes back, so that a worker holds one batch and not the largest of each step.
+            del texts, kept, rows, spans, pieces, batch
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -170,3 +170,17 @@ def test_sub_chunk_rules(spark, rows):
     got = {row[0]: row[1] for row in df.select("id", sub_chunk_array("text")).collect()}
     assert [len(piece) for piece in got[1]] == [903, 800]
     assert got[2] == ["short"]
+
+
+def test_pieces_leave_in_small_batches():
+    """A batch of long texts is cut without its pieces being held together."""
+    import pyarrow as pa
+
+    from lorekeep.operators import chunking
+
+    texts = ["word " * 20_000] * 40
+    held = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_key", "text"])
+    cut = list(chunking._cut_rows("text", lambda text: chunking.chunk_spans(text, 1000, 100))(iter([held])))
+    assert max(sum(map(len, batch.column("text").to_pylist())) for batch in cut) < 1_100_000
+    rows = pa.Table.from_batches(cut)
+    assert rows.column("doc_key").to_pylist() == [n for n in range(40) for _ in range(rows.num_rows // 40)]
