@@ -1,6 +1,7 @@
 """Every bit of a word goes through the mixer, state lasts to the end of a text, and unseen words are spelled by what training showed."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,6 +52,25 @@ def test_chances_of_a_closed_vocabulary_make_one():
     assert 0.9 < total < 1
 
 
+def test_memory_of_a_block_of_many_documents():
+    """What documents learn is held for those side by side, not for all of a block; so are decisions while they are looked for."""
+    names, counts, ranks, corpus = vocabulary(100_000)
+    tracemalloc.start()
+    inner = L.paths(names, counts, ranks, corpus)
+    kept, peak = tracemalloc.get_traced_memory()
+    assert peak < 2.5 * kept
+    docs = 10_000
+    of = np.random.default_rng(5).integers(0, len(names), 3 * docs)
+    seen = L.Tokens(names, np.zeros(len(names), np.int64), of, np.arange(3 * docs) // 3, np.roll(of, 1), np.roll(of, 2))
+    flat = np.zeros((len(names), L.CLASSES), np.float32)
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    L.mixed(seen, L._class(names)[of], np.ones(len(of), bool), np.zeros(len(of), bool), flat, flat, corpus, inner)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_a_long_text_remembers_its_beginning(spark):
     """Words that stood 1,500 tokens before are told with fewer bits than words that did not."""
     draw = random.Random(1)
