@@ -72,22 +72,29 @@ def store_pending(docs: DataFrame, store: Store, size: int, overlap: int, next_i
     return added
 
 
-def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, int, int] | None:
-    """Chunks from id ``since`` on that wait for vectors and are due, with the attempts made so far, and the
-    range of their ids; None when there are none.
+def pending_chunks(store: Store, since: int = 0) -> tuple[DataFrame, DataFrame] | None:
+    """Chunks from id ``since`` on that wait for vectors and are due, with the attempts made so far, and those of
+    their ids that vectors are stored for (more than once where a chunk has several); None when there are none.
 
     Ids are dense and appended in order, so a range of ids lets the scans of the log and the texts
-    skip the files and row groups of everything stored before.
+    skip the files and row groups of everything stored before. Where all of the range wait, as in a new batch, texts
+    stay where they are; so they do where the ids that wait can be broadcast.
     """
     status = latest_status(store.chunk_status.filter(F.col("chunk_id") >= since), ("status", "next_try_at"))
     due = F.col("next_try_at").isNull() | (F.col("next_try_at") <= F.current_timestamp())
     # Kept as they are now: what is due may be asked more than once, and time goes on.
     waiting = materialise(status.filter((F.col("status") == "pending") & due).select("chunk_id", "attempt"))
-    low, high = waiting.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+    bounds = [f(name) for name in ("chunk_id", "attempt") for f in (F.min, F.max)]
+    low, high, least, most, count = waiting.agg(*bounds, F.count("*")).first()
     if low is None:
         return None
-    recent = store.chunks.filter(F.col("chunk_id").between(low, high))
-    return recent.join(waiting, "chunk_id"), low, high
+    within = F.col("chunk_id").between(low, high)
+    recent, held = store.chunks.filter(within), store.questions.select("chunk_id").filter(within)
+    if count == high - low + 1 and least == most:
+        return recent.withColumn("attempt", F.lit(least)), held
+    if count <= BROADCAST_KEYS:
+        waiting = F.broadcast(waiting)
+    return recent.join(waiting, "chunk_id"), held.join(waiting, "chunk_id", "left_semi")
 
 
 def index_pending(
@@ -112,11 +119,14 @@ def index_pending(
     if found is None:
         return False
     time.sleep(wait)
-    waiting, low, high = found
+    waiting, held = found
     done = index_chunks(waiting, models.summarize, models.embed, dim=models.dim)
     done = materialise(done.select("chunk_id", "attempt", "status", "error", "questions", "embeddings"))
-    held = store.questions.select("chunk_id").filter(F.col("chunk_id").between(low, high))
-    store.append_questions(explode_questions(done).join(held, "chunk_id", "left_anti"))
+    made = explode_questions(done)
+    # Vectors are moved only where an attempt broke off.
+    if not held.isEmpty():
+        made = made.join(held, "chunk_id", "left_anti")
+    store.append_questions(made)
     spent = F.lit(last)
     if max_attempts is not None:
         spent = spent | (F.col("attempt") + 1 >= max_attempts)

@@ -428,3 +428,26 @@ def test_listings(spark, rows):
     shown = memory.failures(joined, 10).first()
     assert shown.error == "e" * 100 + "..." and shown.total_failed == 1
     assert memory.load_total(memory.load_report(joined.limit(0))).first().success_rate is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_a_new_batch_stay_where_they_are(spark, store, rows):
+    docs = spark.createDataFrame([(str(n), "s", words(f"topic{n}")) for n in range(4)], DOCS)
+    ing.store_pending(docs, store, 4000, 400, 0)
+    found, held = ing.pending_chunks(store)
+    assert "Join" not in _plan(found) and held.isEmpty()
+    assert rows(found, "chunk_id", "attempt") == [(n, 0) for n in range(4)]
+    # Of a batch that was indexed in part only the rest is asked for, which few ids tell.
+    status = found.filter("chunk_id % 2 = 0").selectExpr("chunk_id", "1 as attempt", "'complete' as status", "'' as error", "array('') as questions")
+    store.append_status(status)
+    vectors = found.selectExpr("concat('q', chunk_id) as question_id", "chunk_id", "0 as ordinal", "'' as question", "array(1f) as embedding")
+    store.append_questions(vectors.filter("chunk_id < 2"))
+    found, held = ing.pending_chunks(store)
+    assert "broadcast" in _plan(found)
+    assert rows(found, "chunk_id", "attempt") == [(1, 0), (3, 0)] and rows(held, "chunk_id") == [(1,)]
+    # Vectors that are there already are not written again.
+    ing.index_pending(store, ing.Models(), last=True)
+    assert rows(store.questions.groupBy("chunk_id").count()) == [(0, 1), (1, 1), (3, 2)]

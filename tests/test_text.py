@@ -101,3 +101,28 @@ def test_prompts_hold_their_inputs(spark):
     ).first()
     assert all("100% [text]" in prompt for prompt in made)
     assert "5 statements" in made[1] and "name" in made[1] and "name" in made[3]
+
+
+def test_embedding_does_not_hold_a_string_per_token():
+    """Tokens of a batch are counted in Arrow; only the distinct ones become Python's."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{n % 50}" for n in range(row, row + 300)) for row in range(1000)]
+    tracemalloc.start()
+    vx.hash_vectors(texts[:10])
+    tracemalloc.reset_peak()
+    vx.hash_vectors(texts, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 << 20
+
+
+def test_embedding_splits_at_ascii_white_space_only():
+    got = vx.hash_vectors(["\x0b\x0ca\r\n b\t", "a\x1cb", "a\u2003b \x85", "\u0130 i\u0307"], 1 << 16)
+    assert [int((row > 0).sum()) for row in got] == [2, 1, 2, 1]
+
+
+def test_statements_are_looked_at_once():
+    """Lines are split once, and phrases are found without a pattern."""
+    told = str(tx.parse_statements(F.col("text"), 2))
+    assert told.count("split(text") == 1 and "generate|" not in told
