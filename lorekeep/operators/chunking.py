@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorekeep import schemas
 from lorekeep.functions import text as tx
-from lorekeep.operators.arrow import SLICE_ROWS
+from lorekeep.operators.arrow import SLICE_ROWS, arrow_step
 
 # What marks a structure, and which separators are tried in which order.
 FENCE = "```"
@@ -246,6 +246,27 @@ def sub_chunks(
     return _cut_frame(long_texts, text_col, lambda text: sub_chunk_spans(text, size, overlap))
 
 
+def with_sub_chunks(
+    df: DataFrame,
+    out: str,
+    text_col: str = "text",
+    size: int = schemas.SUB_CHUNK_SIZE,
+    overlap: int = schemas.SUB_CHUNK_OVERLAP,
+) -> DataFrame:
+    """Replace the text by the array of its embedding-sized pieces, without a row per piece.
+
+    Rows leave some hundred at a time: a function of columns would hold the pieces of a whole Arrow batch beside its texts.
+    """
+    _check_sizes(size, overlap)
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        pieces = [[] if text is None else sub_chunk_texts(text, size, overlap) for text in texts.to_pylist()]
+        return [pa.array(pieces, pa.list_(pa.string()))]
+
+    added = T.StructType([T.StructField(out, T.ArrayType(T.StringType()))])
+    return arrow_step(df, {"text": F.col(text_col)}, added, compute, [name for name in df.columns if name != text_col])
+
+
 def sub_chunk_array(
     text: str = "text",
     size: int = schemas.SUB_CHUNK_SIZE,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lorekeep import schemas
 from lorekeep.functions import prompts, text as tx, vectors as vx
 from lorekeep.operators.arrow import arrow_step
-from lorekeep.operators.chunking import sub_chunk_array
+from lorekeep.operators.chunking import with_sub_chunks
 
 TextModel = Callable[[list[str]], Sequence[str]]
 EmbeddingModel = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -214,9 +214,9 @@ def summarize(
 def _chunk_statements(
     chunks: DataFrame, fn: TextModel | None, n: int, attempts: int, size: int, overlap: int
 ) -> DataFrame:
-    pieces = chunks.withColumn("_pieces", sub_chunk_array("text", size, overlap))
+    pieces = with_sub_chunks(chunks, "_pieces", size=size, overlap=overlap)
     parts = _collect_statements(pieces, F.col("_pieces"), prompts.summary_prompt, fn, n, attempts)
-    return parts.drop("_pieces", "text")
+    return parts.drop("_pieces")
 
 
 def summarize_chunks(

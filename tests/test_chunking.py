@@ -184,3 +184,14 @@ def test_pieces_leave_in_small_batches():
     assert max(sum(map(len, batch.column("text").to_pylist())) for batch in cut) < 1_100_000
     rows = pa.Table.from_batches(cut)
     assert rows.column("doc_key").to_pylist() == [n for n in range(40) for _ in range(rows.num_rows // 40)]
+
+
+def test_pieces_of_a_chunk_come_in_slices(spark, rows):
+    """The pieces are those of the column; no function of columns holds those of a whole Arrow batch."""
+    from lorekeep.operators import models
+    from lorekeep.operators.chunking import with_sub_chunks
+
+    text = "a" * 700 + "! " + "b" * 200 + ".\n" + "c" * 600
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, ""), (5, text * 3)], "chunk_id int, text string")
+    assert rows(with_sub_chunks(df, "pieces")) == rows(df.select("chunk_id", sub_chunk_array("text")))
+    assert "ArrowEvalPython" not in models.index_chunks(df)._jdf.queryExecution().executedPlan().toString()
