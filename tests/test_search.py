@@ -1,7 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import search
 from lorekeep.operators.search import attach_text, render_results, search_chunks, top_groups, write_cells
 
 QUERIES = "query_id long, embedding array<float>"
@@ -188,3 +192,30 @@ def test_neither_plan_makes_pairs_of_rows(frames):
         plan = search_chunks(*frames, **tuning)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "WindowGroupLimit" in plan
+
+
+def test_known_floors_take_a_tile_in_single_precision():
+    """With floors known a block's similarities are held a tile at a time; what single precision cannot tell apart is still ranked."""
+    rng = np.random.default_rng(11)
+    vectors, queries = rng.standard_normal((4096, 64)), rng.standard_normal((2000, 64))
+    # Directions that differ by less than single precision holds, in every other block of rows; the later one is nearer.
+    for at in range(50):
+        vectors[at], vectors[4000 - at] = queries[at], queries[at]
+        vectors[at, 0] += 3e-3
+        vectors[4000 - at, 0] += 2.9e-3
+    table = pa.table({"chunk_id": np.arange(4096), "question_id": np.arange(4096), "embedding": pa.array(list(vectors))})
+    kernel = search._Kernel("chunk_id", "question_id", 1, None)
+    unit = queries / np.linalg.norm(queries, axis=1)[:, None]
+    exact = np.round(unit @ (vectors / np.linalg.norm(vectors, axis=1)[:, None]).T, 9) + 0.0
+    best = exact.argmax(axis=1)
+    assert (best[:50] == 4000 - np.arange(50)).all()
+    asked, block = search._Queries(np.arange(2000), unit), kernel.hold(table)
+    for floors in (exact.max(axis=1), np.sort(exact, axis=1)[:, -5], np.full(2000, 0.2), np.full(2000, -2.0)):
+        hits = pa.Table.from_batches(kernel.scan(block, asked, floors.copy())).to_pydict()
+        assert hits["query_id"] == list(range(2000)) and hits["chunk_id"] == best.tolist()
+        assert hits["similarity"] == pytest.approx(exact.max(axis=1), abs=2e-9)
+    tracemalloc.start()
+    list(kernel.scan(block, asked, exact.max(axis=1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
