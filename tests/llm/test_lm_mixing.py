@@ -95,3 +95,46 @@ def test_unseen_words_of_known_syllables():
     short, deep = (S.spelled(docs, known) for known in (S.letters(pairs), S.letters(pairs, S.letter_contexts(text))))
     assert all(np.isfinite(logs).all() and (logs < 0).all() for logs in deep)
     assert sum(logs.sum() for logs in deep[:-1]) > 0.75 * sum(logs.sum() for logs in short[:-1])
+
+
+def told(of, names, counts, ranks, corpus):
+    n = len(of)
+    seen = L.Tokens(names, np.zeros(len(names), np.int64), of, np.zeros(n, np.int64), np.append(0, of[:-1]), np.append([0, 0], of[:-2]))
+    flat = np.zeros((len(names), L.CLASSES), np.float32)
+    inner = L.paths(names, counts, ranks, corpus)
+    return L.mixed(seen, L._class(names)[of], counts[of] > 0, np.zeros(n, bool), flat, flat, corpus, inner)
+
+
+def test_a_long_text_takes_few_steps(monkeypatch):
+    """A text of 20,000 tokens is told in some hundred steps, each from what stood before it alone, and what it repeats costs less."""
+    known = vocabulary(3000)
+    of = np.random.default_rng(2).integers(0, 3000, 10_000)
+    calls, bend = [], L._bend
+    monkeypatch.setattr(L, "_bend", lambda dot: calls.append(1) or bend(dot))
+    logs = told(np.concatenate([of, of]), *known)
+    assert len(calls) < 5000
+    assert np.isfinite(logs).all() and logs[10_000:].sum() > 0.8 * logs[:10_000].sum()
+    other = told(np.concatenate([of, of[:5000], of[:5000][::-1]]), *known)
+    assert (other[:15_000] == logs[:15_000]).all()
+
+
+def test_tokens_stand_by_step():
+    length = np.array([200_000, 2 * L._STEPS + 1, L._STEPS, 3, 1])
+    start = np.cumsum(length) - length
+    places, lane, before, begin = L._steps(start, length)
+    assert (np.sort(places) == np.arange(length.sum())).all()
+    assert (places >= start[lane] + before).all()
+    sizes = np.array([np.bincount(lane[a:b], minlength=5) for a, b in zip(begin[:-1], begin[1:])])
+    assert sizes.max(axis=0).tolist() == [L._MOST_A_STEP, 3, 1, 1, 1]
+    # What is told in a step stands behind all that was told before it.
+    for at, n in enumerate(length):
+        mine = places[lane == at]
+        assert (mine == start[at] + np.arange(n)).all()
+
+
+@pytest.mark.parametrize("distinct", [1, 2, 3000])
+def test_very_long_texts_stay_finite(distinct):
+    """Where a hundred tokens are told in a step, maps stay chances, whatever the tokens are."""
+    of = np.random.default_rng(3).integers(0, distinct, 60_000)
+    logs = told(of, *vocabulary(3000))
+    assert np.isfinite(logs).all() and (logs <= 0).all()

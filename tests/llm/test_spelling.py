@@ -112,3 +112,16 @@ def test_unseen_words_are_paid_for(spark):
     clean, noise = scores[held[0]], scores[held[1]]
     assert noise.n_known == 1 and clean.n_known == clean.n_tokens
     assert noise.bits_per_byte > 3 > clean.bits_per_byte and noise.score < noise.base_score / 2 < clean.score / 2
+
+
+def test_many_unseen_words_take_few_steps(monkeypatch):
+    """Four thousand unseen words of one text are told in some hundred steps, each from the words before alone."""
+    draw = random.Random(6)
+    words = [bytes(draw.choices(range(97, 123), k=8)) for _ in range(4000)]
+    known = S.letters(S.letter_pairs(b" ".join(words[:50])))
+    calls, slots = [], S._slots
+    monkeypatch.setattr(S, "_slots", lambda *args: calls.append(1) or slots(*args))
+    (logs,) = S.spelled([words], known)
+    assert len(calls) <= S._STEPS and np.isfinite(logs).all()
+    (other,) = S.spelled([words[:2000] + words[:2000]], known)
+    assert other[:2000] == pytest.approx(logs[:2000]) and other[2000:].sum() > logs[2000:].sum()
