@@ -138,3 +138,57 @@ def test_very_long_texts_stay_finite(distinct):
     of = np.random.default_rng(3).integers(0, distinct, 60_000)
     logs = told(of, *vocabulary(3000))
     assert np.isfinite(logs).all() and (logs <= 0).all()
+
+
+@pytest.mark.parametrize("counted", [50, 10])
+def test_visits_against_plain_python(monkeypatch, counted):
+    """How often a document came to each decision before, and took its set bit, alone and behind the token before."""
+    monkeypatch.setattr(L, "_COUNTED", counted)
+    names, counts, ranks, corpus = vocabulary(60)
+    inner = L.paths(names, counts, ranks, corpus)
+    draw, length = np.random.default_rng(4), np.array([90, 40, 40, 1, 7])
+    token = np.minimum(draw.geometric(0.1, length.sum()), 60) - 1
+    known, classes, before = draw.random(len(token)) < 0.9, L._class(names)[token], np.roll(token, 1)
+    words = L._Words(inner, length, token, known, classes, before)
+    seen, bits = {}, inner.bit
+    for at, doc in enumerate(np.repeat(np.arange(len(length)), length)):
+        path = bits[inner.start[token[at]] :][: inner.length[token[at]] * known[at]].tolist()
+        been = 0
+        for level, bit in enumerate(path):
+            for mark, behind in zip(words.marks, (None, before[at])):
+                past = seen.setdefault((doc, behind, classes[at], *path[:level]), [])
+                assert divmod(int(mark[words.begin[at] + level]), 1 << 16) == (len(past), sum(past))
+                been += behind is None and len(past) > 0
+                past.append(bit)
+        assert words.been[at] == been
+
+
+def test_counts_stay_within_their_bits():
+    """Of what came very often the share is kept."""
+    n = 150_000
+    out = np.zeros(2 * n, np.uint32)
+    code = np.where(np.arange(n) % 3 == 0, np.uint64(0b11) << np.uint64(62), np.uint64(0b01) << np.uint64(62))
+    L._visits(np.zeros(n, np.int64), code, 2 * np.arange(n), out)
+    assert int(out[-2]) >> 16 == L._MOST and int(out[-2]) & 0xFFFF == pytest.approx(L._MOST / 3, rel=1e-3)
+
+
+def test_documents_of_a_block_share_their_steps(monkeypatch):
+    """Six hundred texts of a thousand tokens, as a block holds, take no more steps than one."""
+    known = vocabulary(50)
+    names, counts, ranks, corpus = known
+    of = np.random.default_rng(8).integers(0, 50, 600_000)
+    doc = np.arange(len(of)) // 1000
+    flat, steps, step = np.zeros((50, L.CLASSES), np.float32), [], L._Classes.step
+    monkeypatch.setattr(L._Classes, "step", lambda *args: steps.append(1) or step(*args))
+    seen = L.Tokens(names, np.zeros(50, np.int64), of, doc, np.where(np.arange(len(of)) % 1000, np.roll(of, 1), 0), np.roll(of, 2))
+    logs = L.mixed(seen, L._class(names)[of], counts[of] > 0, np.zeros(len(of), bool), flat, flat, corpus, L.paths(names, counts, ranks, corpus))
+    assert len(steps) <= L._STEPS and np.isfinite(logs).all()
+
+
+def test_a_chance_next_to_one_stays_a_chance():
+    """Where nearly all of a class has one band, single precision takes its share for one; the others are told all the same."""
+    names, counts, ranks, corpus = vocabulary(700)
+    mass = corpus.mass.copy()
+    mass[mass.argmax()] = 1e12
+    inner = L.paths(names, counts, ranks, corpus._replace(mass=mass))
+    assert (inner.prior > 0).all() and (inner.prior < 1).all()
