@@ -5,6 +5,9 @@ A window of ``m`` words is bound to hold a run of ``g = (m + 1) // 2`` words tha
 the document, so a document is scanned by every ``g``-th run only. All runs of all windows form a hash
 set that is broadcast, if it is as small as benchmarks are, and shuffled otherwise. A run that is in
 the set carries the words around it, on which the whole window is verified word by word.
+
+A document is cut into runs by one regular expression, after its marks have become single spaces: no array of its
+words is built.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from lorekeep.session import materialise
 WINDOW = 10
 # Runs of test windows that may be broadcast: about 250 bytes each.
 BROADCAST_RUNS = 200_000
+# What stands between words, a character each: Java looks a class without ranges up in a table, one with ranges range by range.
+MARKS = "".join(f"\\x{code:02X}" for code in range(128) if not chr(code).isalnum())
 # The same words before A-Z are lowered; lowering only what is compared spares a pass over the text.
-MIXED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MIXED = f"[^{MARKS}]+"
 
 
 def words(text: str = "text") -> Column:
@@ -39,52 +44,52 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def _runs(windows: DataFrame) -> DataFrame:
-    """``run`` (its words as one string), ``m``, ``shift`` (words of the window before it), ``window``, ``item_id``."""
+    """``run`` (hash of its length and words), ``m``, ``shift`` (words of the window before it), ``window``, ``item_id``."""
     g = F.expr("(m + 1) div 2").cast("int")
     shifts = F.sequence(F.lit(0), F.col("m") - g)
     rows = windows.withColumn("shift", F.explode(shifts))
     run = F.lower(F.array_join(F.slice("window", F.col("shift") + 1, g), " "))
-    return rows.select(run.alias("run"), "m", "shift", "window", "item_id")
+    return rows.select(F.xxhash64(g, run).alias("run"), "m", "shift", "window", "item_id")
+
+
+def _cut(spaced: Column, g: int) -> Column:
+    """The words of a text with single spaces, ``g`` to a string; what is left at the end makes a shorter one."""
+    return F.regexp_extract_all(spaced, F.lit(f"[^ ]++(?: [^ ]++){{0,{g - 1}}}+"), F.lit(0))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``key, start, m, item_id``: the windows of items that occur in documents, words counted from 0.
 
-    ``key`` is ``row_key`` of the document. Each length of windows is a scan of its own; all but one of the
+    ``key`` is ``row_key`` of the document. Documents are scanned once and cut for each length of runs; all but one or two of the
     lengths come from items shorter than ``n`` words. What is left is a row per occurrence.
     """
     windows = materialise(item_windows(benchmark, n))
-    lengths = sorted(row.m for row in windows.select("m").distinct().collect())  # at most n numbers
-    found = None
-    rows = docs.select(row_key("doc_id", "text").alias("key"), words().alias("_words"))
-    for m in lengths:
-        g = (m + 1) // 2
-        runs = _runs(windows.filter(F.col("m") == m))
-        runs = broadcast_if_small(runs, BROADCAST_RUNS)
-        # From here to the end of the last window that the run can be in.
-        first = lambda at: F.greatest(at - (m - g), F.lit(0))
-        places = F.transform(
-            F.sequence(F.lit(0), F.size("_words") - g, F.lit(g)),
-            lambda at: F.struct(
-                at.alias("at"),
-                F.lower(F.array_join(F.slice("_words", at + 1, g), " ")).alias("run"),
-                F.slice("_words", first(at) + 1, at + m - first(at)).alias("around"),
-            ),
-        )
-        scanned = rows.filter(F.size("_words") >= m).select("key", F.explode(places).alias("_place"))
-        scanned = scanned.select("key", "_place.at", "_place.run", "_place.around")
-        start = F.col("at") - F.col("shift")
-        inside = F.slice("around", F.greatest(start - first(F.col("at")), F.lit(0)) + 1, m)
-        met = (
-            scanned.join(runs, "run")
-            .filter((start >= 0) & (F.transform(inside, ascii_lower) == F.col("window")))
-            .select("key", start.alias("start"), F.lit(m).alias("m"), "item_id")
-        )
-        found = met if found is None else found.unionByName(met)
-    if found is None:
+    lengths = windows.select(F.expr("(m + 1) div 2").cast("int").alias("g")).distinct().collect()  # at most n numbers
+    if not lengths:
         empty = docs.select(row_key("doc_id", "text").alias("key")).limit(0)
-        found = empty.select("key", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit("").alias("item_id"))
-    return found
+        return empty.select("key", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit("").alias("item_id"))
+    spaced = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"[{MARKS}]+", " "))
+    rows = docs.select(row_key("doc_id", "text").alias("key"), spaced.alias("_spaced"))
+    cut = [F.struct(F.lit(g).alias("g"), _cut(F.col("_spaced"), g).alias("cut")) for g in sorted(row.g for row in lengths)]
+    scanned = rows.select("key", F.inline(F.array(*cut))).select("key", "g", "cut", F.posexplode("cut").alias("at", "run"))
+    # A window that holds the run begins in the run before at the earliest, and ends in the next one. Within one stage the words
+    # around a run are only put together once it is met.
+    around = F.array_join(F.slice("cut", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") > 0, 3).otherwise(2)), " ")
+    scanned = scanned.select(
+        "key",
+        (F.col("at") * F.col("g")).alias("at"),
+        (F.greatest(F.col("at") - 1, F.lit(0)) * F.col("g")).alias("first"),
+        F.xxhash64("g", F.lower("run")).alias("run"),
+        around.alias("around"),
+    )
+    start = F.col("at") - F.col("shift")
+    inside = F.slice(F.split("around", " "), F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("m"))
+    runs = broadcast_if_small(_runs(windows), BROADCAST_RUNS)
+    return (
+        scanned.join(runs, "run")
+        .filter((start >= 0) & (ascii_lower(F.array_join(inside, " ")) == F.array_join("window", " ")))
+        .select("key", start.alias("start"), "m", "item_id")
+    )
 
 
 def _covered(spans: Column) -> Column:

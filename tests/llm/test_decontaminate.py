@@ -67,3 +67,24 @@ def test_cut_texts(spark):
     docs = spark.createDataFrame([(1, "Start. One two, THREE! End"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     same(D.decontaminated(docs, items, "spans").collect(), [(1, "Start. End"), (2, None)])
+
+
+def test_one_scan_for_all_lengths(spark, tmp_path):
+    """Items of many lengths: texts are read and cut once; windows at both ends, over marks, and by short runs are found."""
+    words = "Aa b1, ΑΣ'k é—x (c) d_e 7 -- İ ß".split(" ")
+    texts = [" ".join(words[at:] + words[:at]) + end for at in range(len(words)) for end in ("", " .", " a b1")] + ["", " ,", "é" * 3000, "a b " * 200]
+    rows = list(enumerate(texts))
+    items = [(n, " ".join(words[n % 7 :][:n])) for n in range(12)] + [(12, " ".join(words * 2)), (13, "b a b a b"), (14, "7 i"), (None, "a b a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, held = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(items, "item_id long, text string")
+    want = list(brute(rows, items))
+    assert len({m for m in range(1, 11) if any(len(WORD.findall(text)) == m for _, text in items)}) > 5
+    same(D.report(docs, held).collect(), want)
+    plan = D.hits(docs, held)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_marks_without_ranges():
+    """A class of ranges is looked up range by range, which took most of the time."""
+    assert not re.search(r"(?<!\\)-", D.MIXED) and D.MIXED.startswith("[^")
+    assert [chr(code) for code in range(128) if re.match(D.MIXED, chr(code))] == [chr(code) for code in range(128) if chr(code).isalnum()]
