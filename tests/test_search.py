@@ -219,3 +219,21 @@ def test_known_floors_take_a_tile_in_single_precision():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_bounds_of_many_queries_stay_off_the_driver(spark, data, tmp_path, monkeypatch):
+    """There is one a query, whatever the planner takes the size of the vectors for."""
+    for name, rows, schema in (("asked", data[0], "query_id long, embedding array<float>"), ("held", data[1], "question_id long, chunk_id long, embedding array<float>")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    asked, held = (spark.read.parquet(str(tmp_path / name)) for name in ("asked", "held"))
+    monkeypatch.setattr("lorekeep.operators.search.FLOOR_SHARE", 0.5)
+    plans, kind, write = [], type(asked), type(asked).write
+
+    def watched(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return write.fget(self)
+
+    monkeypatch.setattr(kind, "write", property(watched))
+    got = top_groups(asked, held, group="chunk_id", item="question_id", k=3, broadcast_queries=5, broadcast_vectors=0, cell_queries=6, cell_vectors=100)
+    assert any("Join" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)
+    assert found(got) == brute(*data, 3)
