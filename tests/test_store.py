@@ -1,4 +1,7 @@
+import gzip
+
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lorekeep.operators import memory, models
@@ -314,6 +317,40 @@ def test_many_text_files(spark, tmp_path):
     assert write_text_files(held.limit(0), str(tmp_path / "none")) == 0
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no file's name, and a task reads more than a few files."""
+    held = spark.range(2500).selectExpr("concat('text ', id) as text").coalesce(1)
+    assert write_text_files(held, str(tmp_path / "files")) == 2500
+    got = read_markdown(spark, f"{tmp_path}/files/folder=*", pattern="*.txt")
+    assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 2500
+
+
+@pytest.mark.parametrize("pattern", ["*.{md,txt}", "?[!x]*", "*"])
+@pytest.mark.parametrize("path", ["/plain", "/{plain,other}", "/[_o]*", "/plain/é a.md", "/parts", "/parts/k=1", "/packed"])
+def test_same_files_as_sparks_reader(spark, tmp_path, rows, path, pattern):
+    names = ["a.md", "é a.md", "b +%41.md", "_c.md", ".d.md", "_e=1.md", "f.md._COPYING_", "a\nb.md", "{x}.md", "g.txt"]
+    folders = {"plain": names, "plain/deep": ["h.md"], "other": ["i.md", "ax.txt"], "parts/k=1": ["j.md"], "parts/k=2/deep": ["l.md"], "packed": ["m.md"], "_no": ["n.md"]}
+    for folder, files in folders.items():
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        for name in files:
+            (tmp_path / "in" / folder / name).write_bytes(f"{folder}\r\n{name}\rx".encode() + b"\xff y")
+    (tmp_path / "in" / "plain" / "empty.md").touch()
+    (tmp_path / "in" / "plain" / "gone.md").symlink_to(tmp_path / "gone")
+    with gzip.open(tmp_path / "in" / "packed" / "o.gz", "wb") as file:
+        file.write(b"packed")
+    place = f"{tmp_path}/in{path}"
+    want = spark.read.text(place, wholetext=True, pathGlobFilter=pattern)
+    name = F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B"))
+    want = want.select(name.alias("doc_key"), F.concat(F.lit("file:"), name), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    assert rows(read_markdown(spark, place, pattern)) == rows(want.filter("text != ''"))
+
+
+def test_missing_folder(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        read_markdown(spark, str(tmp_path / "none"))
+
+
 def test_markdown_files(spark, tmp_path, rows):
     (tmp_path / "b +%.md").write_bytes("one\r\ntwo\rthree é".encode())
     (tmp_path / "blank.md").write_text(" \n\t ")
